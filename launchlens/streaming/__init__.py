@@ -1,0 +1 @@
+"""The workflow is batch only: no streaming operator exists to offer."""
