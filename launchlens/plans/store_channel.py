@@ -135,7 +135,7 @@ def cluster_patterns_by_district(
 
 
 def pattern_launches(base: DataFrame, s: StoreSettings = DEFAULT) -> DataFrame:
-    """Earliest launch per pattern and class, over both channels outside the excluded districts."""
+    """Earliest launch per pattern and class in the districts kept; rows without a district go too."""
     df = op.exclude_values(base, "district", s.excluded_districts)
     return op.first_launch(op.keep_values(df, "merchant_class", s.classes))
 
