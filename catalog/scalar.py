@@ -18,7 +18,7 @@ def _(spark, root):
 
 
 @query("x2_age_days", with_views("""
-    select l_orderkey, l_linenumber, cast(o_orderdate as date) - cast(l_shipdate as date) as days
+    select l_orderkey, l_linenumber, cast(cast(o_orderdate as date) - cast(l_shipdate as date) as int) as days
     from lineitem join orders on l_orderkey = o_orderkey"""))
 def _(spark, root):
     lines = v.load_table(spark, "lineitem", root, ["l_orderkey", "l_linenumber", "l_shipdate"])
@@ -33,7 +33,7 @@ def bucket_sql(scheme) -> str:
     tag = v.bucket_tag_sql("days", scheme)
     return f"""
       select l_orderkey, days, {tag} as group_tag from (
-        select l_orderkey, cast(o_orderdate as date) - cast(l_shipdate as date) as days
+        select l_orderkey, cast(cast(o_orderdate as date) - cast(l_shipdate as date) as int) as days
         from lineitem join orders on l_orderkey = o_orderkey)"""
 
 

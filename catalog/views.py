@@ -268,7 +268,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "aged": (("clean", "skus", "launches"), f"""
         select a.*, {bucket_tag_sql('age', SCHEME_WEEK3)} as tag9, {bucket_tag_sql('age', SCHEME_WEEK4)} as tag10
         from (select c.*, l.launch_date, s.pattern, s.style, s.merchant_class, s.color_family, s.season_code,
-            c.sale_date - l.launch_date as age,
+            cast(c.sale_date - l.launch_date as int) as age,
             case when s.color_family = 'Solid' then 'Solid' else 'Non-Solid' end as solid_flag,
             {SEASON_SQL.format(c='s.season_code')} as season
           from clean c join launches l on l.sku = c.sku join skus s on s.sku = c.sku) a"""),
