@@ -146,12 +146,14 @@ def cluster_distances(
     n_blocks = max(1, -(-points.count() // block_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    rows = points.select("*", block.alias("a"), F.explode(every).alias("b"))
-    columns = points.select("own", "v", F.explode(every).alias("a"), block.alias("b"))
+    # Each pair of blocks (a, b) gets a's points as rows and b's as columns.
+    rows = points.select("*", block.alias("a"), F.explode(every).alias("b"), F.lit(True).alias("row"))
+    columns = points.select("*", F.explode(every).alias("a"), block.alias("b"), F.lit(False).alias("row"))
     id_type = points.schema["id"].dataType.simpleString()
+    names = ["id", "own", "other", "n", "total"]
 
-    def add_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "own", "other", "n", "total"]
+    def add_up(pair: pd.DataFrame) -> pd.DataFrame:
+        left, right = pair[pair["row"]], pair[~pair["row"]]
         if left.empty or right.empty:
             return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
         x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
@@ -170,7 +172,7 @@ def cluster_distances(
         return pd.concat(parts)[names]
 
     return (
-        rows.groupBy("a", "b").cogroup(columns.groupBy("a", "b"))
+        rows.union(columns).groupBy("a", "b")
         .applyInPandas(add_up, f"id {id_type}, own int, other int, n bigint, total double")
         .groupBy("id", "own", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     )
