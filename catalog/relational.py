@@ -421,10 +421,15 @@ def overlap_metrics_sql(daily: str = "pattern_days") -> str:
     return f"select * from {parts[0]} join {parts[1]} using ({keys}) join {parts[2]} using ({keys})"
 
 
+def overlap_metrics(spark, root):
+    days = op.materialize(op.pattern_daily(v.sku_daily(spark, root)))
+    return op.launch_overlap_metrics(days)
+
+
 @query("j12_launch_overlap_metrics", with_views(
     overlap_metrics_sql(), "sku_daily", pattern_days=DAILY_SQL))
 def _(spark, root):
-    return op.launch_overlap_metrics(op.pattern_daily(v.sku_daily(spark, root)))
+    return overlap_metrics(spark, root)
 
 
 @query("j13_attach_color_family", with_views("""
@@ -477,9 +482,7 @@ def launch_sql(lines: str, date: str, join: str = "join") -> str:
     select w.sku, w.order_date as sale_date, l.launch_date, {WEB_MEASURES}
     from web w join ({launch_sql('web', 'order_date')}) l on l.sku = w.sku group by all""", "web", "skus"))
 def _(spark, root):
-    web = v.web(spark, root)
-    launch = op.launch_dates(web, v.skus(spark, root), "inner", date="order_date")
-    return op.daily_rollup(web, WEB).join(launch, "sku")
+    return op.with_launch(op.daily_rollup(v.web(spark, root), WEB), v.skus(spark, root), "inner")
 
 
 WEB_FLAG = "case when web_discount is null or web_discount = 0 then 0 else 1 end"
@@ -536,10 +539,8 @@ COMBINED_SQL = f"""
 @query("a8_combine_channels", with_views(COMBINED_SQL, "web", "pos", "skus", pos_days=POS_DAYS_SQL))
 def _(spark, root):
     web, pos, skus = v.web(spark, root), v.pos(spark, root), v.skus(spark, root)
-    web_days = op.daily_rollup(web, WEB).join(
-        op.launch_dates(web, skus, "inner", date="order_date"), "sku")
-    pos_days = op.enrich(op.daily_rollup(pos, POS, ["store"]),
-                         op.launch_dates(pos, skus, "inner"), "sku", ["launch_date"])
+    web_days = op.with_launch(op.daily_rollup(web, WEB), skus, "inner")
+    pos_days = op.with_launch(op.daily_rollup(pos, POS, ["store"]), skus, "inner")
     return op.combine_channels(web_days, pos_days.drop("store"))
 
 
@@ -560,17 +561,16 @@ WEB_BUCKETS_SQL = bucketed_sql(WEB_FLAG_DAYS_SQL, "web", "order_date", "sku")
 POS_BUCKETS_SQL = bucketed_sql(POS_FLAG_DAYS_SQL, "pos", "sale_date", "sku, store")
 
 
-def _tagged(days, launch):
-    return op.enrich(days, launch, "sku", ["launch_date"]).withColumn(
+def _tagged(days, skus):
+    return op.with_launch(days, skus).withColumn(
         "group_tag", fn.age_bucket(fn.age_days("sale_date", "launch_date"), fn.SCHEME_WEEK4))
 
 
 @query("a9_bucket_rollup_web", with_views(WEB_BUCKETS_SQL, "web", "skus"))
 def _(spark, root):
-    web = v.web(spark, root)
-    days = op.daily_rollup(web, WEB, discount_flag=fn.web_discount_flag("web_discount"))
-    launch = op.launch_dates(web, v.skus(spark, root), date="order_date")
-    return op.bucket_rollup(_tagged(days, launch))
+    days = op.daily_rollup(
+        v.web(spark, root), WEB, discount_flag=fn.web_discount_flag("web_discount"))
+    return op.bucket_rollup(_tagged(days, v.skus(spark, root)))
 
 
 @query("a10_bucket_rollup_pos", with_views(POS_BUCKETS_SQL, "pos", "skus"))
@@ -578,7 +578,7 @@ def _(spark, root):
     pos = v.pos(spark, root)
     days = op.daily_rollup(
         pos, POS, ["store"], fn.pos_discount_flag("sale_discount", "misc_discount"))
-    return op.bucket_rollup(_tagged(days, op.launch_dates(pos, v.skus(spark, root))),
+    return op.bucket_rollup(_tagged(days, v.skus(spark, root)),
                             ["sku", "store", "launch_date", "discount_flag"])
 
 
@@ -693,7 +693,7 @@ def round_sql(cols, digits: int = 6) -> str:
     f"select * replace ({round_sql(DONOR_COLS)}) from ({DONOR_SQL})",
     "sku_daily", pattern_days=DAILY_SQL, overlap=overlap_metrics_sql()))
 def _(spark, root):
-    overlap = op.launch_overlap_metrics(op.pattern_daily(v.sku_daily(spark, root)))
+    overlap = overlap_metrics(spark, root)
     return rounded(op.donor_means(overlap, GROUP, RULES), *DONOR_COLS)
 
 
@@ -729,7 +729,8 @@ QUANTILE_COLS = ("amount", "qty", "discount", "retail_price")
         f"select '{c}' as \"column\", {p}::double as prob, round(quantile_cont({c}, {p}), 6) as value from clean"
         for c in QUANTILE_COLS for p in (0.01, 0.5, 0.99)), "clean"))
 def _(spark, root):
-    return rounded(op.quantile_table(v.clean(spark, root), QUANTILE_COLS, (0.01, 0.5, 0.99)), "value")
+    lines = op.materialize(v.clean(spark, root).select(*QUANTILE_COLS))
+    return rounded(op.quantile_table(lines, QUANTILE_COLS, (0.01, 0.5, 0.99)), "value")
 
 
 def skewness_sql(col: str, source: str) -> str:
@@ -807,10 +808,10 @@ POS_SIDE = f"select 'POS' as channel, store, {U_COLS} from ({POS_BUCKETS_SQL})"
 def channel_sides(spark, root):
     web, pos, skus = v.web(spark, root), v.pos(spark, root), v.skus(spark, root)
     web_days = op.daily_rollup(web, WEB, discount_flag=fn.web_discount_flag("web_discount"))
-    web_side = op.bucket_rollup(_tagged(web_days, op.launch_dates(web, skus, date="order_date")))
+    web_side = op.bucket_rollup(_tagged(web_days, skus))
     pos_days = op.daily_rollup(
         pos, POS, ["store"], fn.pos_discount_flag("sale_discount", "misc_discount"))
-    pos_side = op.bucket_rollup(_tagged(pos_days, op.launch_dates(pos, skus)),
+    pos_side = op.bucket_rollup(_tagged(pos_days, skus),
                                 ["sku", "store", "launch_date", "discount_flag"])
     return (op.tag_channel(web_side, "WEB").drop("launch_date"),
             op.tag_channel(pos_side, "POS").drop("launch_date"))

@@ -207,7 +207,7 @@ IMPUTED = ", ".join(
     f"select {', '.join(rel.GROUP)}, pattern, launch_date, {IMPUTED} from overlap left join donors using ({', '.join(rel.GROUP)})",
     "sku_daily", pattern_days=rel.DAILY_SQL, overlap=rel.overlap_metrics_sql(), donors=rel.DONOR_SQL))
 def _(spark, root):
-    overlap = op.launch_overlap_metrics(op.pattern_daily(v.sku_daily(spark, root)))
+    overlap = op.materialize(rel.overlap_metrics(spark, root))
     cols = [c for r in rel.RULES for c in (r.count_col, r.mean_col)]
     out = op.impute_early(overlap, rel.GROUP, rel.RULES)
     return rounded(out.select(*rel.GROUP, "pattern", "launch_date", *cols), *cols)

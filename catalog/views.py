@@ -23,6 +23,7 @@ from launchlens.functions import (
 from launchlens.sources import load_table
 
 MONEY = ("amount", "qty")
+LINES = op.SalesSpec("sku", "sale_date", "slip", "amount", "qty", "std_cost", "retail_price")
 
 
 def sales_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -33,9 +34,11 @@ def sales_lines(spark: SparkSession, root: str) -> DataFrame:
     orders = load_table(spark, "orders", root, ["o_orderkey", "o_orderdate"])
     parts = load_table(spark, "part", root, ["p_partkey", "p_retailprice"])
     sign = F.when(F.col("l_returnflag") == "R", F.lit(-1.0)).otherwise(F.lit(1.0))
+    # Orders last: where both sides are shuffled, the lines come out partitioned by slip,
+    # which is what cleaning groups and joins by.
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("l_orderkey").alias("slip"),
             F.col("l_partkey").alias("sku"),
@@ -156,23 +159,32 @@ def aged(spark: SparkSession, root: str) -> DataFrame:
 
 def sku_daily(spark: SparkSession, root: str) -> DataFrame:
     """Both channels by SKU and day, with product columns and age buckets."""
-    lines = aged(spark, root)
-    keys = ["channel", "sku", "sale_date", "launch_date", "pattern", "style", "merchant_class",
-            "solid_flag", "season", "tag9", "tag10"]
-    spec = op.SalesSpec("sku", "sale_date", "slip", "amount", "qty", "std_cost", "retail_price")
-    return op.daily_rollup(lines, spec, [k for k in keys if k not in ("sku", "sale_date")])
+    product = skus(spark, root)
+    days = op.with_launch(op.daily_rollup(clean(spark, root), LINES, ["channel"]), product, "inner")
+    age = age_days("sale_date", "launch_date")
+    return op.enrich_sku(days, product, [
+        "pattern", "style", "merchant_class", "color_family", "season_code",
+    ]).select(
+        "channel", "sku", "sale_date", "launch_date", "pattern", "style", "merchant_class",
+        solid_flag("color_family").alias("solid_flag"), season_of("season_code").alias("season"),
+        age_bucket(age, SCHEME_WEEK3).alias("tag9"), age_bucket(age, SCHEME_WEEK4).alias("tag10"),
+        *op.MEASURES,
+    )
 
 
 def store_buckets(spark: SparkSession, root: str) -> DataFrame:
     """Store sales of full-line stores by SKU, store and age bucket, with master columns."""
-    lines = aged(spark, root).filter(F.col("channel") == "Pos")
-    spec = op.SalesSpec("sku", "sale_date", "slip", "amount", "qty", "std_cost", "retail_price")
-    daily = op.daily_rollup(lines, spec, ["store", "launch_date", "tag10"])
-    buckets = op.bucket_rollup(daily, ["sku", "store", "launch_date"], "tag10")
+    product = skus(spark, root)
+    # The launch looks at both channels.
+    daily = op.with_launch(
+        op.daily_rollup(clean(spark, root), LINES, ["channel", "store"]), product, "inner"
+    ).filter(F.col("channel") == "Pos").withColumn(
+        "group_tag", age_bucket(age_days("sale_date", "launch_date"), SCHEME_WEEK4)
+    )
     return op.enrich_sku_store(
-        buckets, skus(spark, root), stores(spark, root),
+        op.bucket_rollup(daily, ["sku", "store", "launch_date"]), product, stores(spark, root),
         ["pattern", "style", "merchant_class", "season_code", "color_family"], ["district", "state"],
-    ).withColumnRenamed("tag10", "group_tag")
+    )
 
 
 def bucket_tag_sql(age: str, scheme: tuple[tuple[str, int], ...]) -> str:

@@ -270,6 +270,7 @@ BASE3_VIEWS = {"web3": WEB3_SQL, "pos3": POS3_SQL, "list3": LIST_SQL, "base3": B
 
 def store_base(spark, root):
     web, pos = store_buckets(spark, root)
+    pos = op.materialize(pos)
     totals = pos.groupBy("pattern").agg(fn.exact_sum("price").alias("p"))
     top = totals.orderBy(F.desc("p"), "pattern").limit(30).select("pattern")
     return store_channel.build_pattern_base(web, pos, v.master(spark, root), top, STORE)

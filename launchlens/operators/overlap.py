@@ -112,9 +112,10 @@ def launch_overlap_metrics(
             F.try_divide(f"_totalsales_{name}", f"_units_{name}").alias(f"existing_{name}_avg_price"),
         ]
     per_day = spread.groupBy(*group, F.col("_day").alias(launch)).agg(*sums)
-    keys = daily.select(*group, pattern, launch).distinct()
+    keys = daily.select(*group, pattern, launch).distinct().alias("k")
     # A NULL pattern is no different from any other, so it must find nothing.
-    named = keys.filter(F.col(pattern).isNotNull()).join(per_day, [*group, launch], "left")
-    unnamed = keys.filter(F.col(pattern).isNull())
-    out = named.unionByName(unnamed, allowMissingColumns=True)
-    return out.select(*group, pattern, launch, *columns)
+    same = F.col(f"k.{pattern}").isNotNull()
+    for c in (*group, launch):
+        same = same & (F.col(f"k.{c}") == F.col(f"p.{c}"))
+    out = keys.join(per_day.alias("p"), same, "left")
+    return out.select(*[F.col(f"k.{c}") for c in (*group, pattern, launch)], *columns)

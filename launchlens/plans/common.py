@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from launchlens import operators as op
 from launchlens.sources import POS_LINES, WEB_LINES
 
-__all__ = ["Matrix", "clean_pos", "clean_sales", "clean_web", "design_matrix", "evaluate_fit"]
+__all__ = ["Matrix", "clean_pos", "clean_sales", "clean_web", "design_matrix", "evaluate_fit", "split_rows"]
 
 
 def clean_sales(df: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
@@ -67,6 +67,15 @@ def design_matrix(
     return Matrix(op.materialize(coded.select(y, *xs, *held)), y, xs, list(held))
 
 
+def split_rows(m: Matrix, train_share: float, folds: int, seed: int) -> DataFrame:
+    """Matrix rows marked as training or test; training rows have a fold."""
+    keys = [*m.ids, *m.xs]
+    marked = op.materialize(op.stratified_split(m.df, m.y, keys, train_share, seed=seed))
+    train = op.assign_folds(marked.filter("is_train"), folds, keys, seed, y=m.y)
+    test = marked.filter(~F.col("is_train")).withColumn("fold", F.lit(None).cast("int"))
+    return op.materialize(train.unionByName(test))
+
+
 def evaluate_fit(
     scored: DataFrame, y: str, label: str, offset: float = 0.0, pred: str = "prediction"
 ) -> DataFrame:

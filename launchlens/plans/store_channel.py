@@ -19,7 +19,7 @@ from launchlens.functions import (
     solid_flag,
     web_discount_flag,
 )
-from launchlens.plans.common import Matrix, design_matrix, evaluate_fit
+from launchlens.plans.common import Matrix, design_matrix, evaluate_fit, split_rows
 from launchlens.plans.settings import StoreSettings
 
 DEFAULT = StoreSettings()
@@ -44,16 +44,13 @@ def build_bucketed(
     web: DataFrame, pos: DataFrame, skus: DataFrame, stores: DataFrame, s: StoreSettings = DEFAULT
 ) -> tuple[DataFrame, DataFrame]:
     """Web and store sales by SKU (and store), discount flag and age bucket, with master columns."""
-    def aged(days: DataFrame, launch: DataFrame) -> DataFrame:
-        return op.enrich(days, launch, "sku", ["launch_date"]).withColumn(
+    def aged(days: DataFrame) -> DataFrame:
+        return op.with_launch(days, skus).withColumn(
             "group_tag", age_bucket(age_days("sale_date", "launch_date"), SCHEME_WEEK4)
         )
 
     web_days = op.daily_rollup(web, op.WEB_SPEC, discount_flag=web_discount_flag("web_discount"))
-    web_buckets = op.bucket_rollup(
-        aged(web_days, op.launch_dates(web, skus, date="order_date")),
-        ["sku", "launch_date", "discount_flag"],
-    )
+    web_buckets = op.bucket_rollup(aged(web_days), ["sku", "launch_date", "discount_flag"])
     web_final = op.exclude_values(
         op.enrich_sku(web_buckets, skus, list(s.product_cols), "left"),
         "department", s.excluded_departments,
@@ -61,10 +58,7 @@ def build_bucketed(
     pos_days = op.daily_rollup(
         pos, op.POS_SPEC, ["store"], pos_discount_flag("sale_discount", "misc_discount")
     )
-    pos_buckets = op.bucket_rollup(
-        aged(pos_days, op.launch_dates(pos, skus)),
-        ["sku", "store", "launch_date", "discount_flag"],
-    )
+    pos_buckets = op.bucket_rollup(aged(pos_days), ["sku", "store", "launch_date", "discount_flag"])
     pos_final = op.enrich_sku_store(
         pos_buckets, skus, stores, list(s.product_cols), list(s.store_cols), s.store_type
     )
@@ -107,7 +101,8 @@ def district_profile(
     """One row per pattern: five measures by district, and three counts over districts."""
     rows = op.enrich(stores_base, stores, "store", ["state"])
     rows = op.launched_between(op.first_buckets(rows), high=s.cluster_launched_to)
-    profile = op.pattern_district_profile(rows, s.districts)
+    # Read twice, by the counts and by the pivot.
+    profile = op.materialize(op.pattern_district_profile(rows, s.districts))
     counts = op.pattern_counts(profile)
     # Names of columns to be, so without blanks.
     short = {d: d.replace(" ", "") for d in s.districts if " " in d}
@@ -188,9 +183,7 @@ def matrix(table: DataFrame, s: StoreSettings = DEFAULT) -> Matrix:
 
 def train_linear_family(m: Matrix, s: StoreSettings = DEFAULT) -> dict[str, DataFrame]:
     """Least squares, lasso and backward elimination: metrics, resampling and importance."""
-    keys = [*m.ids, *m.xs]
-    marked = op.stratified_split(m.df, m.y, keys, s.train_share, seed=s.seed)
-    rows = op.materialize(op.assign_folds(marked, s.folds, keys, s.seed, y=m.y))
+    rows = split_rows(m, s.train_share, s.folds, s.seed)
     train = rows.filter("is_train")
     linear = op.fit_linear(train, m.y, m.xs, fold="fold")
     lasso = op.fit_lasso(train, m.y, m.xs, "fold", s.lasso_fractions)

@@ -18,7 +18,7 @@ from launchlens.functions import (
     solid_flag,
     weighted_mean,
 )
-from launchlens.plans.common import Matrix, design_matrix, evaluate_fit
+from launchlens.plans.common import Matrix, design_matrix, evaluate_fit, split_rows
 from launchlens.plans.settings import TwoChannelSettings
 
 DEFAULT = TwoChannelSettings()
@@ -47,22 +47,18 @@ def build_sku_daily(
 
     Lines are rolled up before any join, so joins see days and not lines.
     """
-    web_days = op.daily_rollup(web, op.WEB_SPEC).join(
-        op.launch_dates(web, skus, "inner", date="order_date"), "sku"
-    )
-    store_days = op.exclude_values(
-        op.daily_rollup(pos, op.POS_SPEC, ["store"]), "store", s.excluded_stores
-    )
+    web_days = op.with_launch(op.daily_rollup(web, op.WEB_SPEC), skus, "inner")
+    # The launch looks at all stores' sales, so it comes before any is left out.
+    store_days = op.with_launch(op.daily_rollup(pos, op.POS_SPEC, ["store"]), skus, "inner")
+    store_days = op.exclude_values(store_days, "store", s.excluded_stores)
     district_days = op.rollup_to(
         op.enrich(store_days, stores, "store", ["district", "store_type"])
         .filter(F.col("store_type") == s.store_type),
-        ["sku", "district", "sale_date"],
+        ["sku", "district", "sale_date", "launch_date"],
     )
-    # The launch looks at all stores' sales, also of those left out above.
-    pos_days = op.enrich(
-        district_days.drop("district"), op.launch_dates(pos, skus, "inner"), "sku", ["launch_date"]
+    both = op.enrich_sku(
+        op.combine_channels(web_days, district_days.drop("district")), skus, list(s.product_cols)
     )
-    both = op.enrich_sku(op.combine_channels(web_days, pos_days), skus, list(s.product_cols))
     return op.exclude_values(both, "merchant_class", s.excluded_classes)
 
 
@@ -95,7 +91,9 @@ def cluster_patterns(
 
 def cannibalisation_metrics(base: DataFrame, top: DataFrame) -> DataFrame:
     """Recent launches around each launch of the top patterns, and what they then sold."""
-    return op.launch_overlap_metrics(op.pattern_daily(op.restrict_to(base, top)))
+    # Read twice, for the launches and for their neighbours' sales.
+    days = op.materialize(op.pattern_daily(op.restrict_to(base, top)))
+    return op.launch_overlap_metrics(days)
 
 
 def wide_sales(base: DataFrame, top: DataFrame) -> DataFrame:
@@ -128,7 +126,8 @@ def model_table(
     )
     existing = [f"existing_{n}_{m}" for n in op.WINDOWS for m in ("totalsales", "units", "avg_price")]
     launched = [f"launched_{n}" for n in op.WINDOWS]
-    df = op.zero_fill(df, [*existing, *launched])
+    # Read twice, by the donor means and by the rows they go to.
+    df = op.materialize(op.zero_fill(df, [*existing, *launched]))
     df = op.impute_early(df, ["channel", "merchant_class", "solid_flag"], s.impute)
     df = op.keep_values(df, "merchant_class", s.classes)
     df = op.drop_burst_only(df, "cumulative_units", [f"units_{w}" for w in WEEKS], s.burst_limit)
@@ -158,13 +157,6 @@ def matrix(table: DataFrame, s: TwoChannelSettings = DEFAULT) -> Matrix:
     )
 
 
-def prepare_split(m: Matrix, s: TwoChannelSettings = DEFAULT) -> DataFrame:
-    """Matrix rows marked as training or test, training rows with a fold."""
-    keys = [*m.ids, *m.xs]
-    marked = op.stratified_split(m.df, m.y, keys, s.train_share, seed=s.seed)
-    return op.materialize(op.assign_folds(marked, s.folds, keys, s.seed, y=m.y))
-
-
 def train_all(
     m: Matrix,
     s: TwoChannelSettings = DEFAULT,
@@ -172,7 +164,7 @@ def train_all(
     candidates: list[dict[str, object]] | None = None,
 ) -> dict[str, DataFrame]:
     """Linear, forest, boosted and bagged models: their metrics and importances."""
-    rows = prepare_split(m, s)
+    rows = split_rows(m, s.train_share, s.folds, s.seed)
     train = rows.filter("is_train")
     linear = op.fit_linear(train, m.y, m.xs, fold="fold")
     forest = op.fit_forest(train, m.y, m.xs, "fold", s.folds, s.forest_trees,
