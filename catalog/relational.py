@@ -360,8 +360,8 @@ def district_profile(spark, root):
     return op.pattern_district_profile(v.store_buckets(spark, root), DISTRICTS)
 
 
-def district_wide(spark, root):
-    rows = district_profile(spark, root).withColumn("district", fn.recode("district", SHORT))
+def district_wide(profile):
+    rows = profile.withColumn("district", fn.recode("district", SHORT))
     return op.pivot_wide(rows, ["pattern"], "district", SHORT_NAMES, DISTRICT_VALUES)
 
 
@@ -369,8 +369,8 @@ def district_wide(spark, root):
     select w.*, c.count_merchant_class, c.count_sku, c.count_styles
     from ({DISTRICT_WIDE_SQL}) w join ({COUNTS_SQL}) c on c.pattern = w.pattern""", "store_buckets"))
 def _(spark, root):
-    counts = op.pattern_counts(district_profile(spark, root))
-    return op.attach_features(district_wide(spark, root), counts, ["pattern"], "inner")
+    profile = op.materialize(district_profile(spark, root))
+    return op.attach_features(district_wide(profile), op.pattern_counts(profile), ["pattern"], "inner")
 
 
 FIRST_LAUNCH_SQL = """
@@ -389,7 +389,7 @@ OVERLAP_COUNTS_SQL = f"""
 @query("j11_launch_overlap_counts", with_views(
     OVERLAP_COUNTS_SQL, "sku_daily", first_launches=FIRST_LAUNCH_SQL))
 def _(spark, root):
-    return op.launch_overlap_counts(op.first_launch(v.sku_daily(spark, root)))
+    return op.launch_overlap_counts(op.materialize(op.first_launch(v.sku_daily(spark, root))))
 
 
 DAILY_SQL = f"""
@@ -448,8 +448,8 @@ def _(spark, root):
       and b.launch_date between a.launch_date - 3650 and a.launch_date - 1
     group by a.pattern, a.merchant_class, a.launch_date""", "sku_daily", first_launches=FIRST_LAUNCH_SQL))
 def _(spark, root):
-    return op.launch_overlap_counts(
-        op.first_launch(v.sku_daily(spark, root)), {"prior": (-3650, -1)})
+    launches = op.materialize(op.first_launch(v.sku_daily(spark, root)))
+    return op.launch_overlap_counts(launches, {"prior": (-3650, -1)})
 
 
 # --- aggregates ---------------------------------------------------------------------------

@@ -236,4 +236,4 @@ def _(spark, root):
 
 @query("r3_pivot_by_district", with_views(rel.DISTRICT_WIDE_SQL, "store_buckets"))
 def _(spark, root):
-    return rel.district_wide(spark, root)
+    return rel.district_wide(rel.district_profile(spark, root))

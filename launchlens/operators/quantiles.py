@@ -86,60 +86,73 @@ def exact_quantiles(
     return out
 
 
-def _inside(s: _Search) -> F.Column:
-    return F.col(s.col).between(F.lit(s.low), F.lit(s.high))
+def _intervals(searches: Sequence[_Search]) -> dict[tuple[str, float, float], list[_Search]]:
+    """Searches by interval: at first all ranks of a column share one, later neighbours do."""
+    out: dict[tuple[str, float, float], list[_Search]] = {}
+    for s in searches:
+        out.setdefault((s.col, s.low, s.high), []).append(s)
+    return out
 
 
-def _spread(values: DataFrame, searches: Sequence[_Search], cell) -> DataFrame:
-    """One row per value and search whose interval holds it."""
-    cells = F.array(*[F.when(_inside(s), cell(i, s)) for i, s in enumerate(searches)])
-    return values.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("c")).select("c.*")
+def _spread(values: DataFrame, intervals: Sequence[tuple[str, float, float]], cell) -> DataFrame:
+    """One row (at, ...) per value and interval that holds it."""
+    cells = [
+        F.when(F.col(c).between(F.lit(low), F.lit(high)), cell(i, c, low, high))
+        for i, (c, low, high) in enumerate(intervals)
+    ]
+    exploded = values.select(F.explode(F.array(*cells)).alias("c"))
+    return exploded.filter(F.col("c").isNotNull()).select("c.*")
 
 
 def _narrow(values: DataFrame, searches: Sequence[_Search], bins: int) -> None:
-    def cell(i: int, s: _Search) -> F.Column:
-        spot = (F.col(s.col) - F.lit(s.low)) / F.lit(s.high - s.low) * bins
+    """Move each search to the bin of its interval that holds its rank."""
+    def cell(i: int, c: str, low: float, high: float) -> F.Column:
+        spot = (F.col(c) - F.lit(low)) / F.lit(high - low) * bins
         return F.struct(
-            F.lit(i).alias("search"),
-            F.least(F.floor(spot), F.lit(bins - 1)).alias("bin"),
-            F.col(s.col).alias("v"),
+            F.lit(i).alias("at"), F.least(F.floor(spot), F.lit(bins - 1)).alias("bin"), F.col(c).alias("v")
         )
 
+    shared = _intervals(searches)
     counted = (
-        _spread(values, searches, cell)
-        .groupBy("search", "bin")
+        _spread(values, list(shared), cell)
+        .groupBy("at", "bin")
         .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect()  # at most len(searches) * bins rows
+        .orderBy("at", "bin")
+        .collect()  # at most one row per interval and bin
     )
-    by_search: dict[int, list] = {}
-    for row in counted:
-        by_search.setdefault(row["search"], []).append(row)
-    for i, s in enumerate(searches):
-        below = s.below
-        for row in sorted(by_search[i], key=lambda r: r["bin"]):
-            if s.rank < below + row["n"]:
-                s.low, s.high, s.below, s.inside = row["lo"], row["hi"], below, row["n"]
-                break
-            below += row["n"]
+    for i, group in enumerate(shared.values()):
+        found = [r for r in counted if r["at"] == i]
+        for s in group:
+            below = s.below
+            for row in found:
+                if s.rank < below + row["n"]:
+                    s.low, s.high, s.below, s.inside = row["lo"], row["hi"], below, row["n"]
+                    break
+                below += row["n"]
 
 
 def _sort_inside(values: DataFrame, searches: Sequence[_Search]) -> None:
+    """Read each rank off its interval's few sorted values."""
     if not searches:
         return
-    rows = (
-        _spread(values, searches, lambda i, s: F.struct(F.lit(i).alias("search"), F.col(s.col).alias("v")))
-        .groupBy("search").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-        .select("search", F.element_at("vs", _pick(searches)).alias("v"))
-        .collect()
-    )
-    for row in rows:
-        s = searches[row["search"]]
-        s.low = s.high = row["v"]
+    shared = _intervals(searches)
 
+    def cell(i: int, c: str, low: float, high: float) -> F.Column:
+        return F.struct(F.lit(i).alias("at"), F.col(c).alias("v"))
 
-def _pick(searches: Sequence[_Search]) -> F.Column:
-    places = F.array(*[F.lit(s.rank - s.below + 1) for s in searches])
-    return F.element_at(places, F.col("search") + 1)
+    places = F.array(*[
+        F.array(*[F.lit(s.rank - s.below + 1) for s in group]) for group in shared.values()
+    ])
+    few = _spread(values, list(shared), cell).groupBy("at").agg(
+        F.sort_array(F.collect_list("v")).alias("vs")
+    )
+    rows = few.select(
+        "at", F.transform(F.element_at(places, F.col("at") + 1), lambda i: F.element_at("vs", i)).alias("found")
+    ).collect()
+    groups = list(shared.values())
+    for row in rows:
+        for s, v in zip(groups[row["at"]], row["found"]):
+            s.low = s.high = v
 
 
 def quantile_table(
