@@ -27,6 +27,32 @@ def test_launch_dates_how(frame):
     assert op.launch_dates(sales, skus, "inner").count() == 1
 
 
+def test_with_launch_equals_the_join(frame):
+    days = frame([(1, D(2019, 3, 2)), (1, D(2019, 3, 1)), (2, D(2019, 3, 1)), (3, D(2019, 3, 5)), (None, D(2019, 1, 1))],
+                 "sku int, sale_date date")
+    skus = frame([(1, D(2019, 2, 1)), (3, D(2020, 1, 1))], "sku int, launch_date date")
+    got = [(r.sku, r.launch_date) for r in op.with_launch(days, skus).collect()]
+    assert sorted(got, key=str) == [
+        (1, D(2019, 2, 1)), (1, D(2019, 2, 1)), (2, D(2019, 3, 1)), (3, D(2019, 3, 5)), (None, None)]
+    joined = op.enrich(days, op.launch_dates(days, skus), "sku", ["launch_date"])
+    assert sorted(((r.sku, r.launch_date) for r in joined.collect()), key=str) == sorted(got, key=str)
+    assert op.with_launch(days, skus, "inner").count() == 3
+
+
+def test_a_hot_sku_is_rolled_up_before_it_is_gathered(spark):
+    # One SKU has most lines: the rows that reach the per-SKU window are its days, not its lines.
+    lines = spark.range(30_000).selectExpr(
+        "if(id % 3 > 0, 7, id % 50) as sku", "date_add(date'2019-01-01', cast(id % 10 as int)) as sale_date",
+        "cast(id % 500 as string) as slip", "1.0d as net_sale_amount", "1.0d as sale_quantity",
+        "0.5d as standard_cost", "2.0d as retail_price")
+    days = op.daily_rollup(lines, op.POS_SPEC)
+    assert days.filter("sku = 7").count() == 10
+    skus = spark.createDataFrame([(i, None) for i in range(50)], "sku long, launch_date date")
+    out = op.with_launch(days, skus)
+    assert out.agg({"units": "sum"}).first()[0] == 30_000
+    assert {str(r.launch_date) for r in out.filter("sku = 7").collect()} == {"2019-01-01"}
+
+
 def test_combine_channels(frame):
     schema = f"sku int, sale_date date, launch_date date, {MEASURES}"
     day, launch = D(2019, 1, 5), D(2019, 1, 1)
