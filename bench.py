@@ -18,13 +18,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 HEADLINE = (
-    "j1_drop_negative_groups", "a1_negative_groups", "a3_daily_rollup_web", "a6_daily_rollup_pos_flag",
-    "a8_combine_channels", "a10_bucket_rollup_pos", "a12_pattern_profile", "a13_pattern_district_profile",
-    "a16_model_aggregate", "a18_pattern_daily", "a26_quantiles", "t1_top_patterns", "u2_append_channels_distinct",
-    "j8_enrich_sku_store", "j11_launch_overlap_counts", "j12_launch_overlap_metrics", "x22_impute_early",
-    "r1_pivot_wide", "m5_silhouette", "m7_winsorize", "m10_near_zero_var", "m12_stratified_split",
-    "m14_fit_linear_folds", "c2_build_sku_daily", "c4_build_pattern_base", "c9_model_table",
-    "c10_model_table_pos",
+    "j1_drop_negative_groups", "a3_daily_rollup_web", "a6_daily_rollup_pos_flag", "a8_combine_channels",
+    "a12_pattern_profile", "a13_pattern_district_profile", "a16_model_aggregate", "t1_top_patterns",
+    "j8_enrich_sku_store", "j11_launch_overlap_counts", "j12_launch_overlap_metrics", "r1_pivot_wide",
+    "m5_silhouette", "m7_winsorize", "m12_stratified_split", "m14_fit_linear_folds", "c2_build_sku_daily",
+    "c9_model_table",
 )
 
 

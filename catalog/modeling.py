@@ -13,7 +13,6 @@ from catalog.registry import query, r6, rounded
 from catalog.views import money_sql, with_views
 from launchlens import functions as fn
 from launchlens import operators as op
-from launchlens.sources import load_table
 
 SCALED = ("count_sku", "count_styles", "totalsales", "units", "avg_margins", "avg_price")
 
@@ -63,7 +62,7 @@ PAIRS_SQL = """
 
 @query("m4_cluster_distances", f"select * replace (round(total, 6) as total) from ({PAIRS_SQL})")
 def _(spark, root):
-    vectors = load_table(spark, "embeddings", root)
+    vectors = v.load_table(spark, "embeddings", root)
     return rounded(op.cluster_distances(vectors, "vec_id", "embedding", "label"), "total")
 
 
@@ -79,7 +78,7 @@ SILHOUETTE_SQL = f"""
 
 @query("m5_silhouette", SILHOUETTE_SQL)
 def _(spark, root):
-    vectors = load_table(spark, "embeddings", root)
+    vectors = v.load_table(spark, "embeddings", root)
     return rounded(op.silhouette(vectors, "vec_id", "embedding", "label"), "sil_width")
 
 
@@ -152,7 +151,7 @@ def nzv_sql(col: str) -> str:
       n_unique = 1 or (freq_ratio > 19 and percent_unique <= 10) as nzv
     from ({' union all '.join(nzv_sql(c) for c in NZV)})""")
 def _(spark, root):
-    lines = load_table(spark, "lineitem", root).withColumn("one", F.lit(1))
+    lines = v.load_table(spark, "lineitem", root).withColumn("one", F.lit(1))
     return rounded(op.near_zero_var(lines, NZV), "freq_ratio", "percent_unique")
 
 
@@ -244,6 +243,49 @@ def _(spark, root):
     return op.fit_linear(rows, y, xs, fold="fold").resampled
 
 
+SKU_UNITS_SQL = f"""
+    select sku, {money_sql('amount')} as y, {money_sql('qty')} as x from clean group by sku"""
+FOLDS_SQL = """
+    select sku, y, x, cast((row_number() over (order by md5('1234|' || sku)) - 1) % 5 as int) as fold
+    from sku_units"""
+
+
+def sku_units(spark, root) -> DataFrame:
+    rows = v.clean(spark, root).groupBy("sku").agg(
+        fn.exact_sum("amount").alias("y"), fn.exact_sum("qty").alias("x"))
+    return op.materialize(op.assign_folds(op.materialize(rows), 5, ["sku"], 1234))
+
+
+@query("m14_fit_linear_folds_one", with_views("""
+    select f.fold, round(sqrt(avg(power(y - b0 - b1 * x, 2))), 3) as rmse,
+      round(power(corr(y, b0 + b1 * x), 2), 6) as r2, round(avg(abs(y - b0 - b1 * x)), 3) as mae
+    from (select h.fold, regr_intercept(t.y, t.x) as b0, regr_slope(t.y, t.x) as b1
+        from (select distinct fold from folds) h join folds t on t.fold <> h.fold group by h.fold) f
+      join folds r on r.fold = f.fold
+    group by f.fold""", "clean", sku_units=SKU_UNITS_SQL, folds=FOLDS_SQL))
+def _(spark, root):
+    held = op.fit_linear(sku_units(spark, root), "y", ["x"], fold="fold").resampled
+    return rounded(rounded(held, "rmse", "mae", digits=3), "r2")
+
+
+@query("m20_score_one", with_views("""
+    select sku, round((select regr_intercept(y, x) from sku_units)
+      + (select regr_slope(y, x) from sku_units) * x, 3) as prediction
+    from sku_units""", "clean", sku_units=SKU_UNITS_SQL))
+def _(spark, root):
+    rows = sku_units(spark, root)
+    out = op.fit_linear(rows, "y", ["x"]).predict(rows).select("sku", "prediction")
+    return rounded(out, "prediction", digits=3)
+
+
+@query("m16_fit_step_aic_one", with_views("""
+    select round(count(*) * ln(regr_syy(y, x) * (1 - regr_r2(y, x)) / count(*)) + 4, 4) as aic
+    from sku_units""", "clean", sku_units=SKU_UNITS_SQL))
+def _(spark, root):
+    fit = op.fit_step_aic(sku_units(spark, root), "y", ["x"])
+    return spark.createDataFrame([(round(fit.tuning["aic"], 4),)], "aic double")
+
+
 @query("m15_fit_lasso")
 def _(spark, root):
     rows, y, xs = model_rows(spark, root)
@@ -329,5 +371,5 @@ def _(spark, root):
 @query("m24_obs_pred", """
     select l_orderkey, round(exp(l_discount), 6) as obs, round(exp(l_tax), 6) as pred from lineitem""")
 def _(spark, root):
-    pairs = op.obs_pred(load_table(spark, "lineitem", root), "l_discount", "l_tax", keep=["l_orderkey"])
+    pairs = op.obs_pred(v.load_table(spark, "lineitem", root), "l_discount", "l_tax", keep=["l_orderkey"])
     return pairs.select("l_orderkey", r6("obs").alias("obs"), r6("pred").alias("pred"))

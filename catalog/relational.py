@@ -10,7 +10,6 @@ from catalog.registry import query, rounded
 from catalog.views import measures_sql, money_sql, ratio_sql, resum_sql, with_views
 from launchlens import functions as fn
 from launchlens import operators as op
-from launchlens.sources import load_table
 
 WEB = op.WEB_SPEC
 POS = op.POS_SPEC
@@ -20,12 +19,12 @@ POS = op.POS_SPEC
 
 @query("s1_load_table", "select * from part")
 def _(spark, root):
-    return load_table(spark, "part", root)
+    return v.load_table(spark, "part", root)
 
 
 @query("s2_load_columns", "select l_orderkey, l_partkey, l_quantity from lineitem")
 def _(spark, root):
-    return load_table(spark, "lineitem", root, ["l_orderkey", "l_partkey", "l_quantity"])
+    return v.load_table(spark, "lineitem", root, ["l_orderkey", "l_partkey", "l_quantity"])
 
 
 # --- projections ------------------------------------------------------------------------
@@ -39,7 +38,7 @@ def _(spark, root):
       cast(l_orderkey as varchar) as slip
     from lineitem""")
 def _(spark, root):
-    text = load_table(spark, "lineitem", root).select(
+    text = v.load_table(spark, "lineitem", root).select(
         F.col("l_partkey").cast("string").alias("sku"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("sale_date"),
         F.when(F.col("l_returnflag") == "A", "none").otherwise(F.col("l_quantity").cast("string"))
@@ -59,21 +58,21 @@ def _(spark, root):
 def _(spark, root):
     text = F.when(F.col("o_orderstatus") == "P", "pending").otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return load_table(spark, "orders", root).select(
+    return v.load_table(spark, "orders", root).select(
         "o_orderkey", fn.to_date_col(text).alias("order_date"))
 
 
 @query("p3_epoch_days_to_date", """
     select o_orderkey, date '1970-01-01' + cast(o_orderkey % 20000 as int) as day from orders""")
 def _(spark, root):
-    return load_table(spark, "orders", root, ["o_orderkey"]).withColumn(
+    return v.load_table(spark, "orders", root, ["o_orderkey"]).withColumn(
         "day", fn.epoch_days_to_date(F.col("o_orderkey") % 20000))
 
 
 @query("p4_date_to_epoch_days", """
     select o_orderkey, cast(cast(o_orderdate as date) - date '1970-01-01' as int) as days from orders""")
 def _(spark, root):
-    return load_table(spark, "orders", root).select(
+    return v.load_table(spark, "orders", root).select(
         "o_orderkey", fn.date_to_epoch_days(F.col("o_orderdate").cast("date")).alias("days"))
 
 

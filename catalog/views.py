@@ -5,6 +5,7 @@ Each frame has a twin in :data:`SQL`, the same view for the SQL check.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,29 @@ from launchlens.functions import (
     season_of,
     solid_flag,
 )
-from launchlens.sources import load_table
+from launchlens import sources
+
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
+def load_table(
+    spark: SparkSession, name: str, root: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """A given table, under its declared schema."""
+    return sources.load_table(spark, name, root, columns, SCHEMAS[name])
+
 
 MONEY = ("amount", "qty")
 LINES = op.SalesSpec("sku", "sale_date", "slip", "amount", "qty", "std_cost", "retail_price")

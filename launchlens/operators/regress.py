@@ -190,7 +190,7 @@ def fit_lasso(
         best = min(fractions, key=lambda s: scores[s])
         resampled = tables[best]
     out = _in_units(products, *_lasso_share(products.gram(), best), xs)
-    out.tuning = {"fraction": best, **{f"rmse_{s:g}": v for s, v in scores.items()}}
+    out.tuning = {"fraction": float(best), **{f"rmse_{s:g}": v for s, v in scores.items()}}
     out.resampled = resampled
     return out
 
@@ -238,7 +238,7 @@ def fit_step_aic(
     out, value = solve(products.gram())
     # AIC of the target in its own units.
     n = products.gram()[0, 0]
-    out.tuning = {"aic": value + 2 * n * math.log(products.scale[-1])}
+    out.tuning = {"aic": float(value + 2 * n * math.log(products.scale[-1]))}
     out.coefs = {x: b for x, b in out.coefs.items() if b}
     if fold:
         fits = {f: solve(products.gram(f))[0] for f in products.folds}

@@ -18,6 +18,7 @@ DISTRICTS = ("Mid Atlantic", "Midwest", "Northeast", "West")
 
 @dataclass(frozen=True)
 class TwoChannelSettings:
+    # Every default is one of the analysis.
     entry_method: int = 21
     excluded_stores: tuple[int, ...] = (179,)
     store_type: str = "Full Line"
@@ -50,6 +51,7 @@ class TwoChannelSettings:
 
 @dataclass(frozen=True)
 class StoreSettings:
+    # Every default is one of the analysis.
     excluded_stores: tuple[int, ...] = (179,)
     store_type: str = "Full Line"
     excluded_departments: tuple[str, ...] = ("Marketing",)

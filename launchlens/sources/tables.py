@@ -63,13 +63,19 @@ def load_table(
     name: str,
     root: str | None = None,
     columns: Sequence[str] | None = None,
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """A whole table, or some of its columns.
 
     With a root, reads ``root/name.parquet``; without, a catalog table. The
-    projection reaches the scan, so unread columns cost nothing.
+    projection reaches the scan, so unread columns cost nothing. A declared
+    schema saves the job that reads it off the files.
     """
-    df = spark.table(name) if root is None else spark.read.parquet(f"{root}/{name}.parquet")
+    if root is None:
+        df = spark.table(name)
+    else:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        df = reader.parquet(f"{root}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
