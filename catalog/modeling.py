@@ -234,7 +234,8 @@ def model_rows(spark, root, k: int = 5) -> tuple[DataFrame, str, list[str]]:
 @query("m14_fit_linear_summary")
 def _(spark, root):
     rows, y, xs = model_rows(spark, root)
-    return op.linear_summary(rows, op.fit_linear(rows, y, xs))
+    table = op.linear_summary(rows, op.fit_linear(rows, y, xs))
+    return rounded(table, "estimate", "std_error", "t", "p")
 
 
 @query("m14_fit_linear_folds")
@@ -291,7 +292,7 @@ def _(spark, root):
     rows, y, xs = model_rows(spark, root)
     fit = op.fit_lasso(rows, y, xs, fold="fold")
     return spark.createDataFrame(
-        [(n, float(b), float(fit.tuning["fraction"])) for n, b in fit.coefs.items()],
+        [(n, round(b, 6), fit.tuning["fraction"]) for n, b in fit.coefs.items()],
         "term string, estimate double, fraction double")
 
 
@@ -300,7 +301,7 @@ def _(spark, root):
     rows, y, xs = model_rows(spark, root)
     fit = op.fit_step_aic(rows, y, xs, fold="fold")
     return spark.createDataFrame(
-        [(n, float(b), float(fit.tuning["aic"])) for n, b in fit.coefs.items()],
+        [(n, round(b, 6), round(fit.tuning["aic"], 6)) for n, b in fit.coefs.items()],
         "term string, estimate double, aic double")
 
 
