@@ -34,14 +34,14 @@ def scaled_profile(spark, root) -> DataFrame:
 @query("m2_kmeans_fit")
 def _(spark, root):
     scaled = scaled_profile(spark, root)
-    fit = op.kmeans_fit(scaled, SCALED, k=3, n_start=5)
+    fit = op.kmeans_fit(scaled, SCALED, k=3, n_start=5, key=["pattern"])
     sizes = op.assign_clusters(scaled, fit).groupBy("cluster").agg(F.count("*").alias("n"))
     return sizes.withColumn("cost", F.lit(round(fit.cost, 6)))
 
 
 @query("m3_elbow_curve")
 def _(spark, root):
-    return op.elbow_curve(scaled_profile(spark, root), SCALED, range(1, 9), n_start=3)
+    return op.elbow_curve(scaled_profile(spark, root), SCALED, range(1, 9), n_start=3, key=["pattern"])
 
 
 ONE_CLUSTER = ("qty", "retail_price", "discount")
@@ -85,7 +85,7 @@ def _(spark, root):
 @query("m6_assign_clusters")
 def _(spark, root):
     scaled = scaled_profile(spark, root)
-    return op.assign_clusters(scaled, op.kmeans_fit(scaled, SCALED, k=4, n_start=5)).select(
+    return op.assign_clusters(scaled, op.kmeans_fit(scaled, SCALED, k=4, n_start=5, key=["pattern"])).select(
         "pattern", "cluster")
 
 

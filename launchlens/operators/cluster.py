@@ -49,6 +49,18 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ).transform(df)
 
 
+def _placed(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """Feature vectors; with a key, on the same partition and in the same order every time.
+
+    k-means draws its starting centres by partition and position.
+    """
+    vectors = _vectors(df.select(*key, *cols), cols)
+    if not key:
+        return vectors
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return vectors.repartition(n, *key).sortWithinPartitions(*key)
+
+
 def _best_of(
     vectors: DataFrame, k: int, n_start: int, max_iter: int, seed: int, parallelism: int
 ) -> KMeansModel:
@@ -70,9 +82,13 @@ def kmeans_fit(
     max_iter: int = 100,
     seed: int = 1,
     parallelism: int = 4,
+    key: Sequence[str] = (),
 ) -> Clusters:
-    """The cheapest of several seeded k-means fits."""
-    vectors = _vectors(df.select(*cols), cols).select("_features").persist()
+    """The cheapest of several seeded k-means fits.
+
+    ``key`` identifies a row and makes the fit repeat whatever order rows come in.
+    """
+    vectors = _placed(df, cols, key).select("_features").persist()
     try:
         model = _best_of(vectors, k, n_start, max_iter, seed, parallelism)
         return Clusters(model, list(cols), model.summary.trainingCost)
@@ -107,9 +123,10 @@ def elbow_curve(
     max_iter: int = 100,
     seed: int = 1,
     parallelism: int = 4,
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """Lowest cost found for each number of clusters, as rows (k, cost)."""
-    vectors = _vectors(df.select(*cols), cols).persist()
+    vectors = _placed(df, cols, key).persist()
     try:
         rows = []
         for k in ks:

@@ -124,7 +124,7 @@ def cluster_patterns_by_district(
     profile = op.materialize(district_profile(stores_base, stores, s))
     cols = [c for c in profile.columns if c != "pattern"]
     scaled = op.zscore(profile, cols)
-    fit = op.kmeans_fit(scaled, cols, s.clusters, s.starts, s.max_iter, s.seed)
+    fit = op.kmeans_fit(scaled, cols, s.clusters, s.starts, s.max_iter, s.seed, key=["pattern"])
     labels = op.assign_clusters(scaled, fit).select("pattern", "cluster")
     return profile.join(labels, "pattern", "left")
 

@@ -84,7 +84,7 @@ def cluster_patterns(
     """Early profile of each top pattern with its k-means cluster."""
     profile = op.materialize(early_profile(base, top))
     scaled = op.zscore(profile, PROFILE_COLS)
-    fit = op.kmeans_fit(scaled, PROFILE_COLS, s.clusters, s.starts, s.max_iter, s.seed)
+    fit = op.kmeans_fit(scaled, PROFILE_COLS, s.clusters, s.starts, s.max_iter, s.seed, key=["pattern"])
     labels = op.assign_clusters(scaled, fit).select("pattern", "cluster")
     return profile.join(labels, "pattern", "left")
 
