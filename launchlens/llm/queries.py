@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from launchlens.llm import bpe
+from launchlens.llm import bpe, decontaminate, kd_shards, toxicity
 
 QUERIES = {
+    "op1_toxicity_chain": toxicity.query,
+    "op6_decontaminate": decontaminate.query,
+    "op8_kd_shards": kd_shards.query,
     "op10_byte_bpe": bpe.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontaminate": decontaminate.SQL,
+}
