@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from launchlens.llm import bpe, decontaminate, kd_shards, language, topk, toxicity
+from launchlens.llm import bpe, decontaminate, kd_shards, language, substrings, topk, toxicity
 
 QUERIES = {
     "op1_toxicity_chain": toxicity.query,
     "op2_language_filters": language.query,
     "op3_topk_search": topk.query,
+    "op4_substring_dedup": substrings.query,
     "op6_decontaminate": decontaminate.query,
     "op8_kd_shards": kd_shards.query,
     "op10_byte_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {
     "op3_topk_search": topk.SQL,
+    "op4_substring_dedup": substrings.SQL,
     "op6_decontaminate": decontaminate.SQL,
 }
