@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from launchlens.llm import bpe, decontaminate, kd_shards, language, substrings, topk, toxicity
+from launchlens.llm import bpe, decontaminate, kd_shards, language, substrings, suffix_array, topk, toxicity
 
 QUERIES = {
     "op1_toxicity_chain": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_topk_search": topk.query,
     "op4_substring_dedup": substrings.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_suffix_array": suffix_array.query,
     "op8_kd_shards": kd_shards.query,
     "op10_byte_bpe": bpe.query,
 }
