@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from launchlens.llm import bpe, decontaminate, kd_shards, language, substrings, suffix_array, topk, toxicity
+from launchlens.llm import bpe, decontaminate, jaccard, kd_shards, language, ngram_lm, substrings, suffix_array, topk, toxicity
 
 QUERIES = {
     "op1_toxicity_chain": toxicity.query,
     "op2_language_filters": language.query,
     "op3_topk_search": topk.query,
     "op4_substring_dedup": substrings.query,
+    "op5_jaccard_groups": jaccard.query,
     "op6_decontaminate": decontaminate.query,
     "op7_suffix_array": suffix_array.query,
     "op8_kd_shards": kd_shards.query,
+    "op9_ngram_lm": ngram_lm.query,
     "op10_byte_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {

@@ -6,17 +6,16 @@ symbols, and equal windows have equal names wherever they stand. Three steps fol
 
 1. Runs are packed by ranges of names and compared: only names that occur more than
    once go on. This is a filter; unequal windows with one name pass it.
-2. The runs left are cut out of the texts as pieces and dealt by name. Equal pieces
-   are counted together before they are sent, so thousands of copies are one piece.
-3. A shard of pieces is judged exactly by the operator's own structure, and the
-   verdicts go back to the rows that the pieces come from.
+2. The runs left are cut out of the texts as pieces and dealt by name, equal pieces
+   of a slice once.
+3. A shard of different pieces is judged exactly by the operator's own structure;
+   thousands of copies are one piece. What is to go is sent to the rows.
 
 A row is known by a hash of its id and text; repeated rows get equal verdicts.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,14 +27,17 @@ from pyspark.sql import functions as F
 from launchlens.llm.text import slices
 
 LAST = (1 << 63) - 1
-_FIELDS = ("name", "owner", "rank", "begin", "count")
+_FIELDS = ("name", "owner", "begin", "count")
 #: A shard is handed to the judge when it holds so many bytes; pieces of one name stay together.
 SHARD_BYTES = 256 << 10
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, owner (a hash of both) and rank (the id; a null id comes last)."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("owner"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"))
+    """doc_id, text, owner (a hash of both), rank (the id; a null id comes last) and rest (the further columns)."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(
+        "doc_id", "text", F.xxhash64("doc_id", "text").alias("owner"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"),
+        (F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))).alias("rest"))
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -50,121 +52,157 @@ def _swell(packed: bytes) -> np.ndarray:
 
 
 def repeated_runs(docs: DataFrame, runs_of: Callable, within_row: bool) -> DataFrame:
-    """owner, runs (array of name, begin, count) whose names occur in rows of two ranks, or with ``within_row`` twice anywhere.
+    """owner, runs (array of name, begin, count) whose names occur in two rows, or with ``within_row`` twice anywhere.
 
     ``runs_of(text column)`` gives arrays row, name, begin, count, twice (a run that may repeat itself).
     """
-    spark = docs.sparkSession
-    parts = 1 << int(np.ceil(np.log2(8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    def scan(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        row, name, begin, count, twice = runs_of(batch.column("text"))
+        return name, batch.column("owner").to_numpy()[row], begin, count, twice
+
+    found = repeated_names(docs.select("text", "owner"), scan, within_row)
+    return found.groupBy("owner").agg(F.collect_set(F.struct("name", "begin", "count")).alias("runs"))
+
+
+def _parts(docs: DataFrame) -> int:
+    """Ranges of names: some for each shuffle partition, so that one fits a task with ease."""
+    return 1 << int(np.ceil(np.log2(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def _ranges_of_names(name: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The ranges that have some of the ascending names, and where."""
+    edges = np.searchsorted(name >> np.uint64(64 - int(np.log2(parts))), np.arange(parts + 1))
+    for part in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        yield part, slice(edges[part], edges[part + 1])
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each range of names; the batches come sorted by ``part``."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and row[0] != held[-1][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def repeated_names(docs: DataFrame, scan: Callable, within_row: bool) -> DataFrame:
+    """name, owner, begin, count of what ``scan(batch)`` finds, for names with two owners, or with ``within_row`` two entries or one that says twice."""
+    parts = _parts(docs)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            row, name, begin, count, twice = runs_of(batch.column("text"))
-            owner, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("owner", "rank"))
+            name, owner, begin, count, twice = scan(batch)
             order = np.argsort(name)
-            name, row = name[order], row[order]
-            columns = (name, owner[row].view(np.uint64), rank[row], begin[order], count[order] * 2 + twice[order])
-            edges = np.searchsorted(name >> np.uint64(64 - int(np.log2(parts))), np.arange(parts + 1))
-            full = [p for p in range(parts) if edges[p + 1] > edges[p]]
-            yield pa.record_batch({"part": pa.array(full, pa.int32()), **{
-                f: pa.array([_squeeze(c[edges[p]: edges[p + 1]]) for p in full], pa.binary()) for f, c in zip(_FIELDS, columns, strict=True)}})
-
-    def compare(held: list[list[bytes]]) -> pa.RecordBatch:
-        name, owner, rank, begin, count = (np.concatenate([_swell(v) for v in column]) for column in zip(*held, strict=True))
-        order = np.argsort(name, kind="stable")
-        name = name[order]
-        starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        sizes = np.diff(np.append(starts, len(name)))
-        if within_row:
-            good = (sizes > 1) | (np.maximum.reduceat(count[order] & np.uint64(1), starts) > 0)
-        else:
-            rank = rank[order].astype(np.int64)
-            good = np.minimum.reduceat(rank, starts) < np.maximum.reduceat(rank, starts)
-        pick = order[np.repeat(good, sizes)]
-        return pa.record_batch({
-            "owner": pa.array(owner[pick].view(np.int64)), "name": pa.array(name[np.repeat(good, sizes)].view(np.int64)),
-            "begin": pa.array(begin[pick].astype(np.int32)), "count": pa.array((count[pick] >> np.uint64(1)).astype(np.int32))})
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = []
-        part = None
-        for batch in batches:
-            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if values[0] != part and held:
-                    yield compare(held)
-                    held = []
-                part = values[0]
-                held.append(list(values[1:]))
-        if held:
-            yield compare(held)
-
-    packed = docs.select("text", "owner", "rank").mapInArrow(pack, "part int, " + ", ".join(f"{f} binary" for f in _FIELDS))
-    runs = packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "owner long, name long, begin int, count int")
-    return runs.groupBy("owner").agg(F.collect_set(F.struct("name", "begin", "count")).alias("runs"))
-
-
-def pieces(docs: DataFrame, runs: DataFrame, content_of: Callable) -> DataFrame:
-    """name, piece (a digest of the content), content, owner, rank, begin of every run.
-
-    ``content_of(text column, row, begin, count)`` gives the contents as bytes.
+            name = name[order]
+            columns = (name, owner[order].view(np.uint64), begin[order], count[order] * 2 + twice[order])
+            ranges = list(_ranges_of_names(name, parts))
+            yield pa.record_batch({"part": pa.array([p for p, _ in ranges], pa.int32()), **{
+                f: pa.array([_squeeze(c[at]) for _, at in ranges], pa.binary()) for f, c in zip(_FIELDS, columns, strict=True)}})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_part(batches):
+            name, owner, begin, count = (np.concatenate([_swell(v) for v in column]) for column in list(zip(*held, strict=True))[1:])
+            order = np.argsort(name, kind="stable")
+            name = name[order]
+            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            sizes = np.diff(np.append(starts, len(name)))
+            if within_row:
+                good = (sizes > 1) | (np.maximum.reduceat(count[order] & np.uint64(1), starts) > 0)
+            else:
+                good = np.minimum.reduceat(owner[order], starts) < np.maximum.reduceat(owner[order], starts)
+            chosen = np.repeat(good, sizes)
+            pick = order[chosen]
+            yield pa.record_batch({
+                "name": pa.array(name[chosen].view(np.int64)), "owner": pa.array(owner[pick].view(np.int64)),
+                "begin": pa.array(begin[pick].astype(np.int32)), "count": pa.array((count[pick] >> np.uint64(1)).astype(np.int32))})
+
+    packed = docs.mapInArrow(pack, "part int, " + ", ".join(f"{f} binary" for f in _FIELDS))
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(compare, "name long, owner long, begin int, count int")
+
+
+def judged_spans(docs: DataFrame, runs: DataFrame, content_of: Callable, judge: Callable, ranges_of: Callable) -> DataFrame:
+    """owner, spans (array of begin, end, not yet merged) of what is to go from each row.
+
+    ``content_of(text column, row, begin, count)`` cuts the pieces of the runs as
+    bytes. Pieces travel packed by ranges of names, equal ones of a slice once.
+    ``judge(contents, least ranks, numbers of occurrences)`` gives a verdict for each
+    of a shard's different contents, and ``ranges_of(verdict, rank, begin)`` what it means for a row.
     """
+    parts = _parts(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lists = batch.column("runs")
             row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
             name, begin, count = (a.to_numpy() for a in lists.flatten().flatten())
+            order = np.argsort(name.view(np.uint64))
+            row, name, begin, count = row[order], name[order].view(np.uint64), begin[order], count[order]
             contents = content_of(batch.column("text"), row, begin, count)
-            yield pa.record_batch({
-                "name": pa.array(name), "piece": pa.array([hashlib.md5(c).digest() for c in contents], pa.binary()),
-                "content": pa.array(contents, pa.binary()), "owner": batch.column("owner").take(pa.array(row)),
-                "rank": batch.column("rank").take(pa.array(row)), "begin": pa.array(begin)})
-
-    met = docs.join(runs.hint("shuffle_hash"), "owner").select("owner", "rank", "text", "runs")
-    return met.mapInArrow(cut, "name long, piece binary, content binary, owner long, rank long, begin int")
-
-
-def verdicts(cut: DataFrame, judge: Callable) -> DataFrame:
-    """piece, verdict (binary): what ``judge(contents, ranks, counts)`` says of all pieces of a shard, each content once."""
-    distinct = cut.groupBy("piece", "name").agg(F.min("rank").alias("rank"), F.count("*").alias("n"), F.first("content").alias("content"))
-
-    def decide(held: list[tuple]) -> pa.RecordBatch:
-        found = judge([h[1] for h in held], [h[2] for h in held], [h[3] for h in held])
-        return pa.record_batch({"piece": pa.array([h[0] for h in held], pa.binary()), "verdict": pa.array(found, pa.binary())})
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
-        for batch in batches:
-            for name, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if name != last and size >= SHARD_BYTES:
-                    yield decide(held)
-                    held, size = [], 0
-                last = name
-                held.append(tuple(row))
-                size += len(row[1])
-        if held:
-            yield decide(held)
-
-    dealt = distinct.select("name", "piece", "content", "rank", "n").repartition("name").sortWithinPartitions("name")
-    return dealt.mapInArrow(shard, "piece binary, verdict binary")
-
-
-def spans(cut: DataFrame, judged: DataFrame, ranges_of: Callable) -> DataFrame:
-    """owner, spans (array of begin, end): ``ranges_of(verdict, rank, begin)`` for every piece of a row, not yet merged."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, begin, end = [], [], []
-            for o, rank, first, verdict in zip(*[batch.column(c).to_pylist() for c in ("owner", "rank", "begin", "verdict")], strict=True):
-                for a, z in ranges_of(verdict, rank, first):
-                    owner.append(o)
-                    begin.append(a)
-                    end.append(z)
-            yield pa.record_batch({"owner": pa.array(owner, pa.int64()), "begin": pa.array(begin, pa.int32()), "end": pa.array(end, pa.int32())})
-
-    met = cut.select("piece", "owner", "rank", "begin").join(judged, "piece")
-    return met.mapInArrow(spread, "owner long, begin int, end int").groupBy("owner").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+            owner, rank = (batch.column(c).to_numpy()[row].view(np.uint64) for c in ("owner", "rank"))
+            rows = []
+            for part, at in _ranges_of_names(name, parts):
+                numbers: dict[bytes, int] = {}
+                which = np.array([numbers.setdefault(c, len(numbers)) for c in contents[at]])
+                names = np.zeros(len(numbers), np.uint64)
+                names[which] = name[at]
+                rows.append((part, zstandard.ZstdCompressor(level=3).compress(b"".join(numbers)), *map(
+                    _squeeze, (np.array([len(c) for c in numbers]), names, which, owner[at], rank[at], begin[at]))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True) if rows else [[]] * 8)], _PACKED)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_part(batches):
+            contents: dict[bytes, int] = {}
+            names: list[int] = []
+            found = []
+            for _, text, sizes, name, which, owner, rank, begin in held:
+                text = zstandard.ZstdDecompressor().decompress(text)
+                ends = np.cumsum(_swell(sizes)).tolist()
+                number = np.zeros(len(ends), np.int64)
+                for i, (a, z, n) in enumerate(zip([0, *ends], ends, _swell(name).tolist(), strict=False)):
+                    number[i] = contents.setdefault(text[a:z], len(contents))
+                    if number[i] == len(names):
+                        names.append(n)
+                found.append((number[_swell(which).astype(np.int64)], *(_swell(c).view(np.int64) for c in (owner, rank, begin))))
+            number, owner, rank, begin = (np.concatenate(c) for c in zip(*found, strict=True))
+            least = np.full(len(contents), LAST)
+            np.minimum.at(least, number, rank)
+            often = np.bincount(number, minlength=len(contents))
+            verdict = _judge_shards(list(contents), names, least.tolist(), often.tolist(), judge)
+            out = [(o, a, z) for n, o, r, b in zip(number.tolist(), owner.tolist(), rank.tolist(), begin.tolist(), strict=True)
+                   for a, z in ranges_of(verdict[n], r, b)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)],
+                ["owner", "begin", "end"])
+
+    # all columns pass, so that the shuffle of the texts is the one that the caller's last join needs too
+    met = docs.join(runs.hint("shuffle_hash"), "owner").select(*docs.columns, "runs")
+    packed = met.mapInArrow(cut, "part int, " + ", ".join(f"{f} binary" for f in _PACKED[1:]))
+    spans = packed.repartition("part").sortWithinPartitions("part").mapInArrow(decide, "owner long, begin int, end int")
+    return spans.groupBy("owner").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+
+
+_PACKED = ["part", "text", "sizes", "name", "which", "owner", "rank", "begin"]
+
+
+def _judge_shards(contents: list[bytes], names: list[int], ranks: list[int], counts: list[int], judge: Callable) -> list[bytes]:
+    """Verdicts for all contents, judged in shards of about ``SHARD_BYTES`` in which each name is whole."""
+    out: list[bytes] = [b""] * len(contents)
+    shard: list[int] = []
+    size = 0
+    order = sorted(range(len(contents)), key=names.__getitem__)
+    for i, following in zip(order, [*order[1:], None], strict=True):
+        shard.append(i)
+        size += len(contents[i])
+        if following is None or (size >= SHARD_BYTES and names[following] != names[i]):
+            for j, verdict in zip(shard, judge([contents[j] for j in shard], [ranks[j] for j in shard], [counts[j] for j in shard]), strict=True):
+                out[j] = verdict
+            shard, size = [], 0
+    return out
 
 
 def merged(found: list[dict] | None) -> list[tuple[int, int]]:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from launchlens.llm import repeats
 from launchlens.llm.text import flat, grams, hash_spans, slide, slices, window_rows, word_spans
@@ -141,10 +142,13 @@ def _ranges(verdict: bytes, document: int, begin: int) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, text, kept (words left, joined by one space), n_words, n_removed, spans."""
+    """``docs`` (doc_id, text and further columns) with kept (words left, joined by one space), n_words, n_removed and spans.
+
+    Further columns of these names are replaced.
+    """
     rows = repeats.keyed(docs)
-    cut = repeats.pieces(rows, repeats.repeated_runs(rows, word_runs, within_row=False), _word_contents)
-    spans = repeats.spans(cut, repeats.verdicts(cut, judge), _ranges)
+    runs = repeats.repeated_runs(rows, word_runs, within_row=False)
+    spans = repeats.judged_spans(rows, runs, _word_contents, judge, _ranges)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -159,13 +163,20 @@ def dedup(docs: DataFrame) -> DataFrame:
                 n_removed.append(n_words[-1] - len(words))
                 gone.append([{"begin": a, "end": z} for a, z in ranges])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()),
-                 pa.array(n_removed, pa.int64()), pa.array(gone, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))],
-                ["doc_id", "text", "kept", "n_words", "n_removed", "spans"])
+                [*batch.columns[:-1], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                 pa.array(gone, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))],
+                ["doc_id", "text", "rest", *_ADDED])
+
+    joined = rows.join(spans.hint("shuffle_hash"), "owner", "left").select("doc_id", "text", "rest", "spans")
+    span = StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())])
+    kinds = (StringType(), LongType(), LongType(), ArrayType(span))
+    done = joined.mapInArrow(keep, StructType([
+        *joined.schema.fields[:-1], *[StructField(n, kind) for n, kind in zip(_ADDED, kinds, strict=True)]]))
+    rest = [F.col("rest").getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text", *_ADDED)]
+    return done.select("doc_id", "text", *rest, *_ADDED)
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.join(spans.hint("shuffle_hash"), "owner", "left").select("doc_id", "text", "spans").mapInArrow(
-        keep, f"doc_id {kind}, text string, kept string, n_words long, n_removed long, spans array<struct<begin:int,end:int>>")
+_ADDED = ("kept", "n_words", "n_removed", "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

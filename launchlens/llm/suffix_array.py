@@ -204,9 +204,9 @@ def _ranges(verdict: bytes, _: int, begin: int) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, kept (binary), n_bytes, n_removed, spans (maximal removed runs, in bytes)."""
-    rows = repeats.keyed(docs)
-    cut = repeats.pieces(rows, repeats.repeated_runs(rows, byte_runs, within_row=True), _byte_contents)
-    spans = repeats.spans(cut, repeats.verdicts(cut, judge), _ranges)
+    rows = repeats.keyed(docs.select("doc_id", "text"))
+    runs = repeats.repeated_runs(rows, byte_runs, within_row=True)
+    spans = repeats.judged_spans(rows, runs, _byte_contents, judge, _ranges)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -228,7 +228,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 ["doc_id", "kept", "n_bytes", "n_removed", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.join(spans.hint("shuffle_hash"), "owner", "left").select("doc_id", "text", "spans").mapInArrow(
+    return rows.join(spans.hint("shuffle_hash"), "owner", "left").mapInArrow(
         keep, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, spans array<struct<begin:int,end:int>>")
 
 
