@@ -7,19 +7,46 @@ returns the columns of ``documents``, the last one what training reads.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from launchlens.llm import bpe
+from launchlens.llm import bpe, decontaminate, jaccard, substrings, toxicity
 
 #: Columns of documents, handed from stage to stage.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects as toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.reject(docs, labels).where(~F.col("rejected")).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays."""
+    return jaccard.keep_one(docs).select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Word windows that an earlier document has are cut out; n_chars follows the text."""
+    cut = substrings.dedup(docs).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark text go."""
+    return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text and a digest of their decoding."""
     return bpe.digests(docs, *bpe.tokenizer())
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard", drop_near_copies),
+    ("substrings", cut_repeats),
+    ("decontaminate", drop_contaminated),
     ("encode", encode),
 ]
 

@@ -1,15 +1,17 @@
 """Byte-level BPE: ranked merges folded by Spark's higher-order functions, decoding by joining byte pieces.
 
 Encoding works on distinct words. The most frequent words of the corpus are
-encoded once and handed to all tasks as a table of at most ``cache_words``
-entries; a word outside the table is encoded where it occurs, by the same
-expression. The table only saves time, so its size never changes a result.
+encoded once by the fold and handed to all tasks as a table of at most
+``cache_words`` entries. A word outside the table takes the same merges where it
+occurs, in Python: a fold costs some 40 microseconds of interpreted expressions, too
+much for words that occur once. The table only saves time; its size never changes
+a result.
 
 Cases: a null text is encoded as an empty one (no ids); repeated rows are
 encoded each; an empty table gives an empty result; words longer than
-``FOLD_BYTES`` bytes take the same merges from a heap, because an array fold is
-quadratic in the word's length. Columns of the input keep their names and may be
-called like the helpers' own.
+``FOLD_BYTES`` bytes are merged from a heap, because an array fold is quadratic in
+the word's length. Further columns stay; one that is called like the result is
+replaced.
 """
 
 from __future__ import annotations
@@ -21,19 +23,24 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from launchlens.llm.text import slices
 
 FOLD_BYTES = 64
+#: Splits that a task remembers.
+MEMO_UNITS = 200_000
 #: White space as the split pattern's \s has it.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches that the split pattern never joins: it splits each of them alike wherever it stands.
 _UNITS = rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 _BUCKETS = 65_521
-_PAIR = 1_000_003
+_PAIR, _NONE = 1_000_003, 1 << 30
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -97,8 +104,22 @@ def _fold(word: Column, table: Column) -> Column:
                        lambda parts: F.transform(parts, lambda part: part.cast("int")))
 
 
-def merge_long(word: bytes, rank_of: dict[bytes, int]) -> list[int]:
-    """The same merges for a long word: a heap of pairs over a linked list of parts."""
+def merge_word(word: bytes, rank_of: dict[bytes, int]) -> list[int]:
+    """The same merges for a word that stands in no table; long ones from a heap of pairs over a linked list of parts."""
+    if len(word) > FOLD_BYTES:
+        return _merge_long(word, rank_of)
+    parts = [word[i:i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        ranks = [rank_of.get(left + right, _NONE) for left, right in zip(parts, parts[1:], strict=False)]
+        best = min(ranks)
+        if best == _NONE:
+            break
+        at = ranks.index(best)
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return [rank_of[part] for part in parts]
+
+
+def _merge_long(word: bytes, rank_of: dict[bytes, int]) -> list[int]:
     n = len(word)
     end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(rank_of[word[i:i + 2]], i, i + 2) for i in range(n - 1) if word[i:i + 2] in rank_of]
@@ -142,7 +163,7 @@ def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text: str = "text", ids: str = "ids", cache_words: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text: str = "text", ids: str = "ids", cache_words: int = 300_000) -> DataFrame:
     """``docs`` with the column ``ids`` (array<int>, never null): the ids of the text without special tokens.
 
     Two passes over the texts: one counts words, one looks them up. What goes to
@@ -154,65 +175,45 @@ def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text: str = "text
               .orderBy(F.desc("n"), "word").limit(cache_words))
     table = (common.select("word").repartition(spark.sparkContext.defaultParallelism)
              .select("word", encode_word(F.col("word"), ranks).alias("ids")).toArrow())
-    known = spark.sparkContext.broadcast((table.column("word").to_pylist(), table.column("ids").to_pylist()))
-    return _assemble(_look_up(docs, known, pieces, pattern, text, ids, ranks), ids)
-
-
-_RARE = "__rare_words"
-
-
-def _look_up(docs: DataFrame, known, pieces: list[bytes], pattern: str, text: str, ids: str, ranks: Column) -> DataFrame:
-    """Ids by table; the k-th rare word of a row stands as -k and is encoded in a column of its own."""
+    packed = pa.BufferOutputStream()
+    with pa.ipc.new_stream(packed, table.schema) as out:
+        out.write_table(table)
+    known = spark.sparkContext.broadcast(packed.getvalue().to_pybytes())
     kept = [c for c in docs.columns if c != ids]
     place = kept.index(text)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, split = re.compile(_UNITS), regex.compile(pattern)
-        table = dict(zip(*known.value, strict=True))
+        words = pa.ipc.open_stream(known.value).read_all()
+        ids_of = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
         rank_of = {piece: rank for rank, piece in enumerate(pieces)}
         memo: dict[str, list[int]] = {}
-        for batch in batches:
-            all_ids, rare_words = [], []
+
+        def of_unit(unit: str) -> list[int]:
+            found: list[int] = []
+            for word in split.findall(unit):
+                found += ids_of.get(word) or merge_word(word.encode(), rank_of)
+            if len(memo) >= MEMO_UNITS:
+                memo.clear()
+            memo[unit] = found
+            return found
+
+        for batch in slices(batches, text):
+            rows = []
             for value in batch.column(place).to_pylist():
                 row: list[int] = []
-                rare: dict[str, int] = {}
                 for unit in units.findall(value or ""):
-                    found = memo.get(unit)
-                    if found is None:
-                        found, whole = [], True
-                        for word in split.findall(unit):
-                            got = table.get(word)
-                            if got is None and len(word.encode()) > FOLD_BYTES:
-                                got = merge_long(word.encode(), rank_of)
-                            if got is None:
-                                whole = False
-                                got = (-rare.setdefault(word, len(rare) + 1),)
-                            found.extend(got)
-                        if whole:
-                            if len(memo) >= 200_000:
-                                memo.clear()
-                            memo[unit] = found
-                    row.extend(found)
-                all_ids.append(pa.array(row, pa.int32()))
-                rare_words.append(list(rare))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, _lists(all_ids), pa.array(rare_words, pa.list_(pa.string()))], [*batch.schema.names, ids, _RARE])
-
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids, ArrayType(IntegerType())).add(_RARE, ArrayType(StringType()))
-    looked = docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(look, schema)
-    return looked.withColumn(_RARE, F.transform(_RARE, lambda word: encode_word(word, ranks)))
+                    row += memo.get(unit) or of_unit(unit)
+                rows.append(pa.array(row, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(rows)], [*batch.schema.names, ids])
 
-
-def _lists(rows: list[pa.Array]) -> pa.Array:
-    sizes = pa.array([0, *map(len, rows)], pa.int32())
-    return pa.ListArray.from_arrays(pa.compute.cumulative_sum(sizes), pa.concat_arrays(rows) if rows else pa.array([], pa.int32()))
+    rest = docs.select(*[F.col(f"`{c}`") for c in kept])
+    return rest.mapInArrow(look, StructType([*rest.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
 
-def _assemble(looked: DataFrame, ids: str) -> DataFrame:
-    """Puts the ids of rare words in their places."""
-    filled = F.when(F.size(_RARE) == 0, F.col(f"`{ids}`")).otherwise(F.flatten(F.transform(
-        F.col(f"`{ids}`"), lambda i: F.when(i < 0, F.get(F.col(_RARE), -i - 1)).otherwise(F.array(i)))))
-    return looked.withColumn(ids, filled).drop(_RARE)
+def _lists(rows: list[pa.Array]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(rows))
 
 
 def decode(docs: DataFrame, pieces: list[bytes], ids: str = "ids", out: str = "decoded") -> DataFrame:
