@@ -248,7 +248,7 @@ def _(spark, root):
 
 @query("f11_having_sum", with_views(f"""
     select slip, {money_sql('amount')} as amount from sales_lines group by slip
-    having sum(cast(amount as decimal(18,4))) < 0""", "sales_lines"))
+    having sum(cast(amount as decimal(28,10))) < 0""", "sales_lines"))
 def _(spark, root):
     sums = v.sales_lines(spark, root).groupBy("slip").agg(fn.exact_sum("amount").alias("amount"))
     return sums.filter(F.col("amount") < 0)
@@ -790,9 +790,9 @@ def _(spark, root):
 
 
 @query("u1_union_bad_keys", with_views("""
-    select slip from sales_lines group by slip having sum(cast(amount as decimal(18,4))) < 0
+    select slip from sales_lines group by slip having sum(cast(amount as decimal(28,10))) < 0
     union
-    select slip from sales_lines group by slip having sum(cast(qty as decimal(18,4))) < 0""", "sales_lines"))
+    select slip from sales_lines group by slip having sum(cast(qty as decimal(28,10))) < 0""", "sales_lines"))
 def _(spark, root):
     lines = v.sales_lines(spark, root)
     by_amount = op.negative_groups(lines, "slip", ["amount"])

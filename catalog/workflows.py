@@ -43,7 +43,7 @@ def listed(values) -> str:
     select * exclude (order_entry_method) from raw_web where order_entry_method = 1
       and order_number not in (
         select order_number from raw_web where order_entry_method = 1 group by order_number
-        having sum(cast(amount as decimal(18,4))) < 0 or sum(cast(confirmed_quantity as decimal(18,4))) < 0)
+        having sum(cast(amount as decimal(28,10))) < 0 or sum(cast(confirmed_quantity as decimal(28,10))) < 0)
     """, "raw_web"))
 def _(spark, root):
     return common.clean_web(v.raw_web(spark, root), TWO.entry_method)
@@ -214,6 +214,20 @@ def _(spark, root):
     return m.df.select(*m.ids, m.y, *m.xs)
 
 
+LOGGED2 = {f"{m}_{w}" for m in ("totalsales", "units") for w in two_channel.WEEKS}
+HOLES2 = ", ".join(
+    f"case when {sql} is null or {sql} + {TWO.log_offset if c in LOGGED2 else 0} <= 0 then '{c}' end"
+    if c in LOGGED2 or c == "cumulative_units" else f"case when {sql} is null then '{c}' end"
+    for c, sql in [("cumulative_units", "cumulative_units"), *zip(two_channel.NUMERIC, NUMERIC2)])
+
+
+@query("c9_left_out", with_views(
+    f"select * from (select {', '.join(f'{c} as {c}_id' for c in two_channel.IDS)}, concat_ws(',', {HOLES2}) as missing"
+    f" from ({TABLE2_SQL})) where missing <> ''", *CHAIN, **TABLE2_VIEWS))
+def _(spark, root):
+    return two_channel.matrix(two_table(spark, root), TWO).left_out
+
+
 SMALL_BOOST = dict(op.BOOSTED, maxIter=10, maxDepth=4)
 CANDIDATES = [{"featureSubsetStrategy": "2"}, {"featureSubsetStrategy": "8"}]
 

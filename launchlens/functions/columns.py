@@ -55,9 +55,15 @@ def _col(c: Column | str) -> Column:
 
 # --- dates -------------------------------------------------------------------
 
-def to_date_col(c: Column | str, fmt: str = "yyyy-MM-dd") -> Column:
-    """Date from text; text that does not parse gives NULL."""
-    return F.try_to_date(_col(c), fmt)
+def to_date_col(c: Column | str, fmt: str | None = None) -> Column:
+    """Date from text; text that does not parse gives NULL.
+
+    Without a format the date is the leading year-month-day of the text, with or
+    without leading zeros, and whatever follows, such as a time, is left aside.
+    """
+    if fmt is not None:
+        return F.try_to_date(_col(c), fmt)
+    return F.try_to_date(F.regexp_extract(_col(c), r"^\s*(\d{4}-\d{1,2}-\d{1,2})", 1), "yyyy-M-d")
 
 
 def epoch_days_to_date(c: Column | str) -> Column:
@@ -141,14 +147,12 @@ def recode(c: Column | str, mapping: Mapping[str, str]) -> Column:
 
 # --- arithmetic --------------------------------------------------------------------
 
-def exact_sum(c: Column | str, places: int = 4) -> Column:
-    """Sum in fixed point, so the result does not depend on row order.
+def exact_sum(c: Column | str) -> Column:
+    """Sum as a wide decimal, so the result does not depend on row order.
 
-    Works on longs throughout (no decimal objects) and, under ANSI mode, raises
-    rather than wraps when a total leaves the long range.
+    Values keep ten places; a total has 28 digits before the point.
     """
-    unit = float(10 ** places)
-    return F.sum(F.rint(_col(c) * F.lit(unit)).cast("bigint")) / F.lit(unit)
+    return F.sum(_col(c).cast("decimal(28,10)")).cast("double")
 
 
 def ratio_of_sums(num: Column | str, den: Column | str) -> Column:

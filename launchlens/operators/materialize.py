@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -14,15 +12,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute a frame once, into the checkpoint folder the cluster names.
 
     A checkpoint lives in shared storage and so outlives lost executors. Where
-    no folder is set, a local session gets one of its own and any other session
-    falls back to a cache, which Spark recomputes after a loss.
+    no folder is named the frame is cached, and Spark recomputes what is lost.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="launchlens-checkpoint-")
         if folder is None:
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         context.setCheckpointDir(folder)

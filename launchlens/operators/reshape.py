@@ -18,10 +18,11 @@ def pivot_wide(
     """One row per distinct ``ids``, one column ``value_key`` per value and key.
 
     The keys are given, so no extra job looks for them. Every column in ``ids``
-    is part of a row's identity: rows that differ in one of them stay apart.
+    is part of a row's identity: rows that differ in one of them stay apart. Of
+    several values for one cell the largest counts.
     """
     cells = {
-        f"{v}_{k}": F.first(F.when(F.col(key) == k, F.col(v)), ignorenulls=True)
+        f"{v}_{k}": F.max(F.when(F.col(key) == k, F.col(v)))
         for v in values for k in keys
     }
     return df.groupBy(*ids).agg(*[c.alias(name) for name, c in cells.items()])

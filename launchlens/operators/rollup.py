@@ -122,20 +122,11 @@ def launch_dates(
 def with_launch(days: DataFrame, skus: DataFrame, how: str = "left") -> DataFrame:
     """Rolled-up rows with the effective launch date of their SKU.
 
-    The first sale is a window minimum, so the sales are read once and not once
-    more for an aggregate to join back. Use it on rollups only: a SKU then has
-    a row per day and store at most, however many lines it sold. The window
-    leaves the rows partitioned by SKU, which the join to the master and later
-    rollups by SKU build on. A row without a SKU has no launch.
+    The first sale is a grouped minimum, combined before it is shuffled, and the
+    launch dates, one row per SKU, are joined back. No task sorts or holds the days
+    of a SKU, however many stores sell it. A row without a SKU has no launch.
     """
-    first = F.min("sale_date").over(Window.partitionBy("sku"))
-    launch = F.when(F.col("sku").isNotNull(), effective_launch("_master", "_first"))
-    return (
-        days.withColumn("_first", first)
-        .join(skus.select("sku", F.col("launch_date").alias("_master")), "sku", how)
-        .withColumn("launch_date", launch)
-        .drop("_first", "_master")
-    )
+    return days.join(launch_dates(days, skus, how), "sku", how)
 
 
 def _sum_measures(df: DataFrame, keys: Sequence[str | Column], *first: Column) -> DataFrame:

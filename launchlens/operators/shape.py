@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from launchlens.functions import to_date_col
+
 __all__ = ["align_to", "conform", "keep_ids", "select_numeric", "tag_channel"]
 
 
-def conform(df: DataFrame, spec: T.StructType, fmt: str = "yyyy-MM-dd") -> DataFrame:
+def conform(df: DataFrame, spec: T.StructType, fmt: str | None = None) -> DataFrame:
     """Cast the columns named in ``spec`` to its types; values that do not cast become NULL.
 
     Other columns pass through, and columns of ``spec`` the frame lacks are left out.
@@ -23,7 +25,7 @@ def conform(df: DataFrame, spec: T.StructType, fmt: str = "yyyy-MM-dd") -> DataF
         if source is None or source == field.dataType:
             continue
         if isinstance(source, T.StringType) and isinstance(field.dataType, T.DateType):
-            casts[field.name] = F.try_to_date(F.col(field.name), fmt)
+            casts[field.name] = to_date_col(field.name, fmt)
         else:
             casts[field.name] = F.col(field.name).try_cast(field.dataType)
     return df.withColumns(casts) if casts else df

@@ -33,38 +33,44 @@ def clean_pos(raw: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Matrix:
-    """A model table ready to fit: the frame, its target, its feature and identity columns."""
+    """A model table ready to fit: the frame, its target, its feature and identity columns, and the rows left out."""
 
     df: DataFrame
     y: str
     xs: list[str]
     ids: list[str]
+    left_out: DataFrame
 
 
 def design_matrix(
-    df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str], ids: Sequence[str]
+    df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str], ids: Sequence[str],
+    missing: str = "leave_out",
 ) -> Matrix:
-    """Dummies for the categorical columns, then no linear combinations and no constants.
+    """Dummies for the categorical columns, then no linear combinations, which constants are too.
 
     The model table is a rollup, small beside the sales, and every step from
-    here on reads it again, so it is materialised first.
+    here on reads it again, so it is materialised first. A row with a hole cannot be
+    fitted: ``missing`` says whether it is left out, and then listed in ``left_out``
+    with the columns at fault, or whether it is an error (``raise``).
     """
+    if missing not in ("leave_out", "raise"):
+        raise ValueError(f"missing must be leave_out or raise, not {missing}")
     held = {f"{c}_id": F.col(c) for c in ids}
-    table = op.materialize(
+    holes = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in (y, *numeric)])
+    rows = op.materialize(
         df.select(*[F.col(c).cast("double").alias(c) for c in (y, *numeric)], *categorical,
                   *[c.alias(n) for n, c in held.items()])
-        # A row with a hole in it cannot be fitted.
-        .dropna(subset=[y, *numeric])
+        .withColumn("_missing", holes)
     )
+    left_out = rows.filter(F.col("_missing") != "").select(*held, F.col("_missing").alias("missing"))
+    if missing == "raise" and not left_out.isEmpty():
+        raise ValueError("rows with missing values: see the columns " + left_out.first()["missing"])
+    table = rows.filter(F.col("_missing") == "").drop("_missing")
     coded, dummies = op.one_hot(table, categorical)
     xs = [*numeric, *dummies]
     redundant = set(op.linear_combos(coded, xs))
     xs = [x for x in xs if x not in redundant]
-    constant = {
-        r["column"] for r in op.near_zero_var(coded, xs).filter("zero_var").collect()
-    }
-    xs = [x for x in xs if x not in constant]
-    return Matrix(op.materialize(coded.select(y, *xs, *held)), y, xs, list(held))
+    return Matrix(op.materialize(coded.select(y, *xs, *held)), y, xs, list(held), left_out)
 
 
 def split_rows(m: Matrix, train_share: float, folds: int, seed: int) -> DataFrame:

@@ -80,3 +80,22 @@ def test_logs_and_clamp(frame):
     assert values(df, fn.log_offset("x", 1)) == [0.0, None, pytest.approx(1.0), None]
     assert values(df, fn.back_transform("x", 1))[0] == 0.0
     assert values(df, fn.clamp("x", -1, 1)) == [0.0, -1.0, 1.0, None]
+
+
+def test_exact_sum_keeps_small_and_large_values(spark):
+    from launchlens.functions import exact_sum
+
+    small = spark.createDataFrame([(0.00004,)] * 1000, "x double")
+    assert small.agg(exact_sum("x").alias("s")).first()["s"] == 0.04
+    large = spark.createDataFrame([(4e14,), (6e14,), (1e15,)], "x double")
+    assert large.agg(exact_sum("x").alias("s")).first()["s"] == 2e15
+
+
+def test_dates_with_times_and_short_parts(spark):
+    from datetime import date
+
+    from launchlens.functions import to_date_col
+
+    rows = spark.createDataFrame([("2019-01-01 00:00:00",), ("2019-1-1",), (" 2019-01-01",), ("x2019-01-01",), (None,)], "d string")
+    got = [r["d"] for r in rows.select(to_date_col("d").alias("d")).collect()]
+    assert got == [date(2019, 1, 1)] * 3 + [None, None]

@@ -134,3 +134,15 @@ def test_impute_early(frame):
                    "later": (2.0, 20.0), "lonely": (None, None)}
     kept = {r["name"]: r.n for r in op.impute_early(df, ["channel"], rule, fallback=True).collect()}
     assert kept["lonely"] == 4.0
+
+
+def test_launch_dates_need_no_window(frame):
+    from datetime import date
+
+    days = frame([(1, date(2020, 1, 5), 1.0), (1, date(2020, 1, 3), 2.0), (2, date(2020, 2, 1), 1.0), (None, date(2020, 2, 2), 1.0)],
+                 "sku int, sale_date date, units double")
+    skus = frame([(1, date(2020, 1, 4))], "sku int, launch_date date")
+    out = op.with_launch(days, skus)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r.sku, r.launch_date) for r in out.collect()), key=str)
+    assert got == sorted([(1, date(2020, 1, 3)), (1, date(2020, 1, 3)), (2, date(2020, 2, 1)), (None, None)], key=str)
