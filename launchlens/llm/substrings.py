@@ -87,7 +87,7 @@ class Automaton:
             child = following[state].get(symbol)
             if child is not None:
                 state, matched = child, matched + 1
-            while length[link[state]] >= window:
+            while state and length[link[state]] >= window:
                 state = link[state]
                 matched = length[state]
             if i >= window - 1:
@@ -163,15 +163,16 @@ def dedup(docs: DataFrame) -> DataFrame:
                 n_removed.append(n_words[-1] - len(words))
                 gone.append([{"begin": a, "end": z} for a, z in ranges])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                [*[batch.column(c) for c in ("doc_id", "text", "rest")], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(gone, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))],
                 ["doc_id", "text", "rest", *_ADDED])
 
-    joined = rows.join(spans.hint("shuffle_hash"), "owner", "left").select("doc_id", "text", "rest", "spans")
+    # all columns pass, as above: one shuffle of the texts serves both joins
+    joined = rows.join(spans.hint("shuffle_hash"), "owner", "left")
     span = StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())])
     kinds = (StringType(), LongType(), LongType(), ArrayType(span))
     done = joined.mapInArrow(keep, StructType([
-        *joined.schema.fields[:-1], *[StructField(n, kind) for n, kind in zip(_ADDED, kinds, strict=True)]]))
+        *[joined.schema[c] for c in ("doc_id", "text", "rest")], *[StructField(n, kind) for n, kind in zip(_ADDED, kinds, strict=True)]]))
     rest = [F.col("rest").getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text", *_ADDED)]
     return done.select("doc_id", "text", *rest, *_ADDED)
 
