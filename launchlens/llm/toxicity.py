@@ -8,7 +8,7 @@ documents get.
 The models are fitted on at most about ``train_rows`` labelled documents, taken by a
 hash of the id (a documented bound); all documents are scored. Cases: a null or
 empty text has no features and gets the models' base rate; several labels of one
-document count as positive if one is; without labelled rows, or without positives
+document count as positive if one is; documents with a missing label are not learned from; without labelled rows, or without positives
 of a category, its probability is 0 everywhere; repeated rows are scored each;
 further columns are kept, also if they are called like a probability column's input.
 """
@@ -35,7 +35,11 @@ PENALTY = 0.001
 def tokens(text: Column) -> Column:
     """The distinct lower-case words and their beginnings."""
     words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))
-    begins = [F.transform(words, lambda w, n=n: F.concat(F.lit(f"{n}^"), F.substring(w, 1, n))) for n in BEGIN]
+
+    def begins_of(n: int) -> Column:
+        return F.transform(words, lambda w: F.concat(F.lit(f"{n}^"), F.substring(w, 1, n)))
+
+    begins = [begins_of(n) for n in BEGIN]
     return F.array_distinct(F.concat(words, *begins))
 
 
@@ -82,7 +86,7 @@ def _fit(rows: DataFrame, earlier: list[str], label: str) -> LogisticRegressionM
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], train_rows: int = TRAIN_ROWS, folds: int = FOLDS) -> Chain:
     """A chain over ``categories`` (name to a Boolean of the labels' columns, in chain order), from documents with labels by doc_id."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        *[F.max(F.coalesce(c, F.lit(False)).cast("double")).alias(f"__y{i}") for i, c in enumerate(categories.values())])
+        *[F.max(c.cast("double")).alias(f"__y{i}") for i, c in enumerate(categories.values())]).dropna()
     n = known.count()
     share = min(1.0, train_rows / max(1, n))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else known
