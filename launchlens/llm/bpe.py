@@ -20,6 +20,7 @@ import base64
 import heapq
 import json
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from launchlens.llm.text import slices
 
 FOLD_BYTES = 64
-#: Splits that a task remembers.
-MEMO_UNITS = 200_000
+#: Splits that a worker remembers.
+MEMO_UNITS = 400_000
 #: White space as the split pattern's \s has it.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches that the split pattern never joins: it splits each of them alike wherever it stands.
@@ -179,23 +180,20 @@ def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text: str = "text
     with pa.ipc.new_stream(packed, table.schema) as out:
         out.write_table(table)
     known = spark.sparkContext.broadcast(packed.getvalue().to_pybytes())
+    serial = uuid.uuid4().hex
     kept = [c for c in docs.columns if c != ids]
     place = kept.index(text)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, split = re.compile(_UNITS), regex.compile(pattern)
-        words = pa.ipc.open_stream(known.value).read_all()
-        ids_of = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
-        rank_of = {piece: rank for rank, piece in enumerate(pieces)}
-        memo: dict[str, list[int]] = {}
+        ids_of, rank_of, memo = _worker_tables(serial, known, pieces)
 
         def of_unit(unit: str) -> list[int]:
             found: list[int] = []
             for word in split.findall(unit):
                 found += ids_of.get(word) or merge_word(word.encode(), rank_of)
-            if len(memo) >= MEMO_UNITS:
-                memo.clear()
-            memo[unit] = found
+            if len(memo) < MEMO_UNITS:
+                memo[unit] = found
             return found
 
         for batch in slices(batches, text):
@@ -211,6 +209,19 @@ def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text: str = "text
     return rest.mapInArrow(look, StructType([*rest.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
 
+_held: dict = {}
+
+
+def _worker_tables(serial: str, known, pieces: list[bytes]) -> tuple[dict, dict, dict]:
+    """The word table, the ranks and the splits seen so far; a worker keeps them from task to task of one encoding."""
+    if serial not in _held:
+        words = pa.ipc.open_stream(known.value).read_all()
+        ids_of = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
+        _held.clear()
+        _held[serial] = ids_of, {piece: rank for rank, piece in enumerate(pieces)}, {}
+    return _held[serial]
+
+
 def _lists(rows: list[pa.Array]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(rows))
