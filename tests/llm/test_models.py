@@ -1,0 +1,134 @@
+"""Learned operators: held-out accuracy, brute-force models, and the odd cases."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from launchlens.llm import language, ngram_lm, toxicity
+
+DOCS = "doc_id long, text string"
+
+
+def syllables(seed, n, parts):
+    random.seed(seed)
+    return " ".join("".join(random.choice(parts) for _ in range(random.randint(1, 3))) for _ in range(n))
+
+
+LANGUAGES = {"aa": ["tho", "er", "an", "sti"], "bb": ["gué", "la", "ción", "ro"], "cc": ["sch", "ung", "ä", "ber"]}
+
+
+def test_language(spark):
+    rows = [(i, syllables(i, 60, LANGUAGES[lang]), lang) for i, lang in enumerate(sorted(LANGUAGES) * 20)]
+    model = language.fit_filter(spark.createDataFrame(rows[:30] + [(99, "x y", None), (98, None, "aa")], DOCS + ", lang string"))
+    odd = [(200, None, "aa"), (201, "12 -- ", "aa"), (202, "", "bb"), (203, "жжж", "cc"), (204, "A", "aa"), (205, rows[1][1] * 300, "bb"), (205, rows[1][1], "bb")]
+    frame = spark.createDataFrame(rows[30:] + odd, DOCS + ", lang string").withColumn("score", F.lit("x"))
+    got = {(r.doc_id, len(r.text or "")): (r.lang_pred, r.score) for r in language.predict(frame, model).collect()}
+    for i, text, lang in rows[30:]:
+        assert got[i, len(text)][0] == lang and 0 < got[i, len(text)][1] <= 1
+    assert got[200, 0] == got[201, 6] == got[202, 0] == ("und", 0.0)
+    assert got[203, 3][1] == 0.0 and got[203, 3][0] in LANGUAGES
+    assert got[205, len(rows[1][1])][0] == got[205, 300 * len(rows[1][1])][0] == "bb"
+    assert language.fit_filter(spark.createDataFrame([], DOCS + ", lang string")) is None
+    assert language.predict(frame, None).where("lang_pred = 'und'").count() == frame.count()
+
+
+def test_filter_returns_all_owners():
+    grams = np.arange(1000, 1500, dtype=np.uint32)
+    owners = [[i % 70] if i % 5 else [1, 69] for i in range(500)]
+    built = language.Filter([f"l{i:02}" for i in range(70)], "l00", grams, owners)
+    masks = built.languages_of(grams)
+    for i, own in enumerate(owners):
+        assert all(int(masks[lang // 64, i]) >> (lang % 64) & 1 for lang in own)
+
+
+def test_ngram_lm(spark):
+    rows = [(i, syllables(i, 30, ["a", "b", "c"])) for i in range(60)] + [(100, None), (None, "A b"), (101, "unseen words"), (102, "a " * 4000), (102, "a")]
+    learns = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 != 2
+    tokens = [[*(t or "").lower().split(), "\0"] for _, t in rows]
+    seen, pairs, contexts = Counter(), Counter(), Counter()
+    for (d, _), own in zip(rows, tokens, strict=True):
+        if learns(d):
+            seen.update(own)
+            pairs.update(zip(own, own[1:], strict=False))
+            contexts.update(own[:-1])
+    n, v = sum(seen.values()), len(seen)
+    alone = lambda w: (seen[w] + 1) / (n + v + 1)
+    kept = {p: (c - ngram_lm.DISCOUNT) / contexts[p[0]] for p, c in pairs.items() if c >= ngram_lm.KEPT}
+    weight = {x: max(1e-9, 1 - sum(p for (a, _), p in kept.items() if a == x)) / (1 - sum(alone(w) for a, w in kept if a == x)) for x in contexts}
+    frame = spark.createDataFrame(rows, DOCS).withColumns({"part": F.lit(7), "n_known": F.lit("x"), "held": ~F.lit(False)}).drop("n_known")
+    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score(frame, learn).collect())
+    want = []
+    for (d, _), own in zip(rows, tokens, strict=True):
+        total = math.log10(alone(own[0]))
+        for a, b in zip(own, own[1:], strict=False):
+            total += math.log10(kept[a, b]) if (a, b) in kept else math.log10(weight.get(a, 1) * alone(b))
+        want.append((str(d), len(own), sum(w in seen for w in own), n, sum(math.log10(alone(w)) for w in own), total))
+    for mine, other in zip(got, sorted(want), strict=True):
+        assert mine[:4] == other[:4]
+        assert mine[4] == pytest.approx(other[4], rel=1e-9)
+        assert abs(mine[5] - other[5]) <= 3 / ngram_lm.STEPS * other[1]
+    assert ngram_lm.score(frame.limit(0), learn).count() == 0
+    assert ngram_lm.score(frame, F.lit(False)).agg(F.max("n_known")).first()[0] == 0
+
+
+def test_elias_fano():
+    for values in ([], [0], [5, 5, 9, 1 << 40], list(range(1000)), [3, 1 << 62]):
+        kept = np.array(values, np.uint64)
+        coded = ngram_lm.EliasFano(ngram_lm.EliasFano.encode(kept))
+        assert coded.values.tolist() == values
+        if values:
+            assert coded.successor(kept).tolist() == [values.index(x) for x in values]
+
+
+def test_toxicity(spark):
+    rows, marks = [], []
+    for i in range(240):
+        text = syllables(i, 25, ["ba", "co", "du", "fe"])
+        toxic, low = i % 4 == 0, i % 3 == 0
+        rows.append((i, text + (" moron scum" if toxic else "") + (" BUY NOW" if low else "")))
+        marks.append((i, int(not low), int(toxic)))
+    docs = spark.createDataFrame([*rows, (500, None), (501, ""), (502, "nice " * 9000 + "scum moron"), (0, rows[0][1]), (None, "scum moron")], DOCS).withColumn("quality", F.lit("q"))
+    labels = spark.createDataFrame([*marks[:180], (180, None, None), (None, 1, 1), (0, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.reject(docs, labels)
+    found = {(r.doc_id, r.rejected) for r in got.collect()}
+    assert {i for i, bad in found if bad} == {*(i for i in range(240) if i % 4 == 0), 502, None}
+    assert "quality" in got.columns
+    nothing = toxicity.reject(docs, labels.limit(0))
+    assert nothing.where("rejected").count() == 0 and nothing.count() == docs.count()
+    assert toxicity.reject(docs.limit(0), labels).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "jaccard", "substrings", "decontaminate", "encode"]
+    texts = [syllables(i, 80, ["ba", "co", "du", "fe", "gi"]) for i in range(60)]
+    passage, item = syllables(900, 60, ["xo", "yu", "za"]), syllables(901, 20, ["qi", "wo", "pe"])
+    texts[1] = texts[0]
+    texts[3] = texts[2].rsplit(" ", 1)[0] + " changed"
+    texts[5], texts[6] = texts[5] + " " + passage, passage + " " + texts[6]
+    texts[8] += " " + item
+    for i in range(20, 40, 2):
+        texts[i] += " scum moron"
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(70, None, None, None, None), (71, "", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, int(20 <= i < 40 and i % 2 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = {r.doc_id: r for r in docs.collect()}
+    clean = {i for i in [*range(60), 70, 71] if not (20 <= i < 40 and i % 2 == 0)}
+    assert set(kept["toxicity"]) == clean
+    assert set(kept["jaccard"]) == clean - {1, 3}
+    assert kept["substrings"][6].text == texts[6].removeprefix(passage + " ") and kept["substrings"][5].text == texts[5]
+    assert kept["substrings"][6].n_chars == len(kept["substrings"][6].text)
+    assert set(kept["decontaminate"]) == clean - {1, 3, 8}
+    assert kept["encode"][70].n_tokens == 0 and set(kept["encode"]) == set(kept["decontaminate"])
