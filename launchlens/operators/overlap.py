@@ -4,9 +4,10 @@ Both operators are range self joins by definition. Neither joins: a launch's
 answer depends on its group and its date only, so the other side is aggregated
 per group and date first, and each launch then looks its own date up.
 
-Contract of both: a pattern has one launch date per group key (``first_launch``
-and ``pattern_daily`` see to that). A window that leaves out day 0 then never
-holds the pattern itself, which is what makes the lookup by date exact.
+Contract of the metrics: a pattern has one launch date per group key
+(``pattern_daily`` sees to that). A window that leaves out day 0 then never
+holds the pattern itself, which is what makes the lookup by date exact. The counts
+also take patterns with several launch dates.
 """
 
 from __future__ import annotations
@@ -34,26 +35,41 @@ def launch_overlap_counts(
 ) -> DataFrame:
     """Number of other patterns of the group launched inside each band before a launch.
 
-    Launches are counted per group and date, and the bands are range frames over
-    those counts, so a window partition holds at most one row per calendar day
-    however many patterns a group has.
+    A pattern may have launched on several dates; it counts once for a band, and
+    never for its own launches. Its launch on day l is its first inside the band
+    ``[d + low, d + high]`` for the days d from ``l - high``, or from the day after
+    ``previous launch - low`` if that is later, to ``l - low``. These stretches are begun and
+    ended in daily sums, so a window partition holds at most a few rows per
+    calendar day however many patterns a group has.
     """
     if any(low <= 0 <= high for low, high in bands.values()):
         raise ValueError("a band must leave out day 0, the launch itself")
-    days = launches.groupBy(*group, launch).agg(F.count(pattern).alias("_n"))
-    ordered = Window.partitionBy(*group).orderBy(date_to_epoch_days(launch))
-    counts = days.select(*group, launch, *[
-        F.coalesce(F.sum("_n").over(ordered.rangeBetween(low, high)), F.lit(0)).alias(f"existing_{name}")
-        for name, (low, high) in bands.items()
-    ])
-    names = [f"existing_{name}" for name in bands]
-    # A launch without a pattern, group key or date compares to nothing.
-    comparable = F.col(pattern).isNotNull()
+    day = date_to_epoch_days(launch)
+    own = Window.partitionBy(*group, pattern).orderBy("_l")
+    dates = launches.filter(F.col(pattern).isNotNull() & F.col(launch).isNotNull()).select(
+        *group, pattern, day.alias("_l")).distinct().withColumn("_before", F.lag("_l").over(own))
+    steps, names = [], []
+    for name, (low, high) in bands.items():
+        begin = F.greatest(F.col("_l") - high, F.col("_before") - low + 1)
+        end = F.col("_l") - low + 1
+        steps += [F.struct(F.when(begin < end, d).alias("_d"), F.lit(name).alias("_band"), F.lit(n).alias("_n")) for d, n in ((begin, 1), (end, -1))]
+        names.append(name)
+    changes = dates.select(*group, F.explode(F.array(*steps)).alias("_s")).select(*group, "_s.*").filter("_d is not null")
+    asked = dates.select(*group, F.col("_l").alias("_d")).distinct()
+    daily = changes.groupBy(*group, "_d").agg(*[
+        F.sum(F.when(F.col("_band") == n, F.col("_n")).otherwise(0)).alias(f"_{n}") for n in names])
+    every = daily.unionByName(asked.select(*group, "_d", *[F.lit(0).cast("long").alias(f"_{n}") for n in names])).groupBy(*group, "_d").agg(
+        *[F.sum(f"_{n}").alias(f"_{n}") for n in names])
+    so_far = Window.partitionBy(*group).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+    counts = every.select(*group, "_d", *[F.sum(f"_{n}").over(so_far).alias(f"_{n}") for n in names])
+    within = {n: F.count("_l").over(own.rangeBetween(*bands[n])) > 0 for n in names}
+    mine = dates.select(*group, pattern, F.col("_l").alias("_d"), *[c.cast("int").alias(f"_own_{n}") for n, c in within.items()])
+    # a launch without a pattern, group key or date compares to nothing
     return (
-        launches.join(counts, [*group, launch], "left")
-        .withColumns({
-            n: F.when(comparable, F.coalesce(F.col(n), F.lit(0))).otherwise(0) for n in names
-        })
+        launches.withColumn("_d", day)
+        .join(counts, [*group, "_d"], "left").join(mine, [*group, pattern, "_d"], "left")
+        .select(*launches.columns, *[
+            F.coalesce(F.when(F.col(pattern).isNotNull(), F.col(f"_{n}") - F.col(f"_own_{n}")), F.lit(0)).alias(f"existing_{n}") for n in names])
     )
 
 

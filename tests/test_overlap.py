@@ -124,3 +124,24 @@ def test_overlap_plans_have_no_self_join_pairs(frame):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "Cartesian" not in plan and "Join Cross" not in plan
         assert ">=" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_counts_with_several_launches_of_a_pattern(frame):
+    import random
+    from datetime import date, timedelta
+
+    from launchlens import operators as op
+
+    random.seed(7)
+    rows = [(f"c{random.randint(0, 1)}", f"p{random.randint(0, 6)}", date(2020, 1, 1) + timedelta(random.randint(0, 150))) for _ in range(90)]
+    rows = list(dict.fromkeys(rows)) + [("c0", None, date(2020, 2, 1)), (None, "p1", date(2020, 2, 1)), ("c0", "p1", None)]
+    got = op.launch_overlap_counts(frame(rows, "merchant_class string, pattern string, launch_date date"))
+    bands = {"1m": (-30, -1), "2m": (-60, -30), "3m": (-90, -60)}
+
+    def want(group, pattern, day, low, high):
+        if pattern is None or group is None or day is None:
+            return 0
+        return len({p for g, p, d in rows if g == group and p not in (None, pattern) and d is not None and low <= (d - day).days <= high})
+
+    found = sorted(((r.merchant_class, r.pattern, r.launch_date, r.existing_1m, r.existing_2m, r.existing_3m) for r in got.collect()), key=str)
+    assert found == sorted(((g, p, d, *[want(g, p, d, *b) for b in bands.values()]) for g, p, d in rows), key=str)
