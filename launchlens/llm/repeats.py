@@ -29,7 +29,7 @@ from launchlens.llm.text import slices
 LAST = (1 << 63) - 1
 _FIELDS = ("name", "owner", "begin", "count")
 #: A shard is handed to the judge when it holds so many bytes; pieces of one name stay together.
-SHARD_BYTES = 256 << 10
+SHARD_BYTES = 128 << 10
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def judged_spans(docs: DataFrame, runs: DataFrame, content_of: Callable, judge:
 
     ``content_of(text column, row, begin, count)`` cuts the pieces of the runs as
     bytes. Pieces travel packed by ranges of names, equal ones of a slice once.
-    ``judge(contents, least ranks, numbers of occurrences)`` gives a verdict for each
+    ``judge(contents, names, least ranks, numbers of occurrences)`` gives a verdict for each
     of a shard's different contents, and ``ranges_of(verdict, rank, begin)`` what it means for a row.
     """
     parts = _parts(docs)
@@ -199,7 +199,7 @@ def _judge_shards(contents: list[bytes], names: list[int], ranks: list[int], cou
         shard.append(i)
         size += len(contents[i])
         if following is None or (size >= SHARD_BYTES and names[following] != names[i]):
-            for j, verdict in zip(shard, judge([contents[j] for j in shard], [ranks[j] for j in shard], [counts[j] for j in shard]), strict=True):
+            for j, verdict in zip(shard, judge(*([values[j] for j in shard] for values in (contents, names, ranks, counts))), strict=True):
                 out[j] = verdict
             shard, size = [], 0
     return out

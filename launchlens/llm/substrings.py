@@ -126,7 +126,7 @@ def _word_contents(column: pa.Array, row: np.ndarray, begin: np.ndarray, count:
     return [b" ".join(raw[a:z].split()) for a, z in zip(starts[lead].tolist(), ends[lead + count + (WINDOW - 2)].tolist(), strict=True)]
 
 
-def judge(contents: list[bytes], documents: list[int], counts: list[int]) -> list[bytes]:
+def judge(contents: list[bytes], names: list[int], documents: list[int], counts: list[int]) -> list[bytes]:
     """For each piece the first document of each of its windows, as 64-bit integers."""
     numbers: dict[bytes, int] = {}
     sequences = [[numbers.setdefault(word, len(numbers)) for word in content.split()] for content in contents]

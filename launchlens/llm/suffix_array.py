@@ -19,8 +19,10 @@ rows. Removal may cut inside a character, so what is left is binary.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,22 +42,26 @@ PIECE_WINDOWS = 256
 
 
 class _Files:
-    """Two files in turn: what a round writes is what the next one reads."""
+    """Two files in turn: what a round writes from the front is what the next one reads."""
 
     def __init__(self, folder: str):
-        self.paths = [os.path.join(folder, name) for name in ("even", "odd")]
+        self.files = [open(os.path.join(folder, name), "w+b", buffering=0) for name in ("even", "odd")]  # noqa: SIM115
         self.kinds: list[tuple[np.dtype, int]] = []
 
     def write(self, *columns: np.ndarray) -> None:
-        self.paths.reverse()
+        self.files.reverse()
         self.kinds = [(c.dtype, len(c)) for c in columns]
-        with open(self.paths[0], "wb", buffering=0) as out:
-            for column in columns:
-                out.write(column.data)
+        self.files[0].seek(0)
+        for column in columns:
+            self.files[0].write(column.data)
 
     def read(self) -> list[np.ndarray]:
-        with open(self.paths[0], "rb", buffering=0) as source:
-            return [np.fromfile(source, kind, n) for kind, n in self.kinds]
+        self.files[0].seek(0)
+        return [np.fromfile(self.files[0], kind, n) for kind, n in self.kinds]
+
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
 
 
 def collection_order(strings: list[bytes], cap: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,8 +70,8 @@ def collection_order(strings: list[bytes], cap: int, folder: str | None = None)
     An end mark follows each string, smaller than every symbol; marks order by
     their strings. A suffix that is only a mark begins at the string's end.
     """
-    with tempfile.TemporaryDirectory(dir=folder) as place:
-        return _insert_columns(strings, cap, _Files(place))
+    with tempfile.TemporaryDirectory(dir=folder) as place, contextlib.closing(_Files(place)) as files:
+        return _insert_columns(strings, cap, files)
 
 
 def _insert_columns(strings: list[bytes], cap: int, files: _Files) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,18 +189,25 @@ def _byte_contents(column: pa.Array, row: np.ndarray, begin: np.ndarray, count:
     return [raw[a:z] for a, z in zip(lead.tolist(), (lead + count + (WINDOW - 1)).tolist(), strict=True)]
 
 
-def judge(contents: list[bytes], ranks: list[int], counts: list[int]) -> list[bytes]:
-    """For each piece a byte for each window: 1 if the window's string starts elsewhere too."""
-    begin, common, _ = collection_order(contents, WINDOW)
+def judge(contents: list[bytes], names: list[int], ranks: list[int], counts: list[int]) -> list[bytes]:
+    """For each piece a byte for each window: 1 if the window's string starts elsewhere too.
+
+    The strings of a name's only piece, if it stands in several places, all start
+    elsewhere, and nothing else can match them; such pieces need no order.
+    """
+    alone = Counter(names)
+    judged = [i for i, name in enumerate(names) if alone[name] > 1 or counts[i] == 1]
+    begin, common, _ = collection_order([contents[i] for i in judged], WINDOW)
     again = common >= WINDOW
     again[:-1] |= again[1:].copy()
     flags = np.zeros(int(begin.max(initial=0)) + 1, np.uint8)
     flags[begin[again]] = 1
-    out, at = [], 0
-    for content, n in zip(contents, counts, strict=True):
-        windows = len(content) - WINDOW + 1
-        out.append(b"\x01" * windows if n > 1 else flags[at: at + windows].tobytes())
-        at += len(content)
+    out = [b"\x01" * (len(c) - WINDOW + 1) for c in contents]
+    at = 0
+    for i in judged:
+        if counts[i] == 1:
+            out[i] = flags[at: at + len(out[i])].tobytes()
+        at += len(contents[i])
     return out
 
 
