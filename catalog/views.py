@@ -114,8 +114,10 @@ def stores(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def clean(spark: SparkSession, root: str) -> DataFrame:
-    return op.drop_negative_groups(sales_lines(spark, root), "slip", MONEY)
+def clean(spark: SparkSession, root: str, channel: str | None = None) -> DataFrame:
+    """Lines without net-return slips; a slip has one channel, so a channel is chosen before."""
+    lines = sales_lines(spark, root)
+    return op.drop_negative_groups(lines if channel is None else lines.filter(F.col("channel") == channel), "slip", MONEY)
 
 
 def _as_web(lines: DataFrame) -> DataFrame:
@@ -150,11 +152,11 @@ def raw_pos(spark: SparkSession, root: str) -> DataFrame:
 
 
 def web(spark: SparkSession, root: str) -> DataFrame:
-    return _as_web(clean(spark, root))
+    return _as_web(clean(spark, root, "Web"))
 
 
 def pos(spark: SparkSession, root: str) -> DataFrame:
-    return _as_pos(clean(spark, root))
+    return _as_pos(clean(spark, root, "Pos"))
 
 
 def master(spark: SparkSession, root: str) -> DataFrame:
@@ -168,9 +170,9 @@ def aged(spark: SparkSession, root: str) -> DataFrame:
     """Clean lines with the product columns, effective launch and age of each."""
     lines = clean(spark, root)
     launch = op.launch_dates(lines, skus(spark, root), "inner")
-    product = skus(spark, root).drop("launch_date")
+    product = skus(spark, root).drop("launch_date").join(launch, "sku")
     return (
-        lines.join(launch, "sku").join(product, "sku")
+        lines.join(product, "sku")
         .withColumns({
             "age": age_days("sale_date", "launch_date"),
             "solid_flag": solid_flag("color_family"),
