@@ -13,7 +13,8 @@ of speed only. Then
    the union of its members' tokens. A node meets the groups of other components with which
    it shares a rare token. Its overlap with the union bounds its overlap with every
    member, so only groups that reach the bound are opened and compared member by
-   member.
+   member. Counts of tokens by their high bits bound pairs and unions first, so that
+   the tokens themselves are fetched for few documents.
 
 Both steps emit about as many rows as there are shared tokens, whatever the size of
 a group of near copies, and between them every pair that can link is compared or
@@ -27,7 +28,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ OVER, UNDER = 3, 4
 GROUP = 64
 #: Frequent tokens that all tasks know, and in how many sets of a slice a token must be to be counted.
 FREQUENT, REPEATS = 200_000, 3
+#: Up to so many rows (of a long each) are named to all tasks; more are joined by shuffle.
+OWNERS = 500_000
 
 
 def token_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +81,27 @@ def _nodes(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, out, np.uint64(0)).view(np.int64)
 
 
+def _bins(tokens: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """How many tokens of each row have which high bits: about two tokens to a bin, 16 to 65,536 bins."""
+    out = []
+    for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        bits = min(16, max(4, (z - a).bit_length() - 1))
+        out.append(np.bincount((tokens[a:z] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes())
+    return out
+
+
+def _folded(bins: np.ndarray, size: int) -> np.ndarray:
+    return bins.reshape(size, -1).sum(1) if len(bins) > size else bins
+
+
+def _most_common(query: bytes, members: list[bytes]) -> int:
+    """The most tokens that a set can share with one of several others, by their bins."""
+    each = [np.frombuffer(b, np.uint16).astype(np.int64) for b in (query, *members)]
+    size = min(map(len, each))
+    own, *others = [_folded(b, size) for b in each]
+    return int(np.minimum(own, np.max(others, axis=0)).sum())
+
+
 def _survey(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: for documents their owner, id, set size and node; for repeated tokens the token and its number of sets."""
 
@@ -96,9 +120,10 @@ def _survey(docs: DataFrame) -> DataFrame:
                 "owner": pa.concat_arrays([batch.column("owner"), none]),
                 "node": pa.concat_arrays([pa.array(node), pa.array(found.view(np.int64))]),
                 "n": pa.concat_arrays([pa.array(size), pa.array(n)]),
+                "bins": pa.array([*_bins(tokens, first), *[None] * len(found)], pa.binary()),
                 "document": pa.array(np.arange(len(node) + len(found)) < len(node))})
 
-    return docs.mapInArrow(scan, "doc_id long, owner long, node long, n long, document boolean")
+    return docs.mapInArrow(scan, "doc_id long, owner long, node long, n long, bins binary, document boolean")
 
 
 def _rare_tokens(docs: DataFrame, frequent) -> DataFrame:
@@ -138,14 +163,29 @@ def _token_table(docs: DataFrame, owners: DataFrame) -> DataFrame:
                 "node": pa.array(_nodes(tokens, first)),
                 "tokens": pa.array([raw[8 * a: 8 * z] for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())})
 
-    met = docs.select("owner", "text").join(owners.hint("shuffle_hash"), "owner", "left_semi")
-    return met.mapInArrow(scan, "node long, tokens binary").dropDuplicates(["node"])
+    n = owners.count()
+    met = docs.select("owner", "text").join(F.broadcast(owners) if n <= OWNERS else owners, "owner", "left_semi")
+    return met.mapInArrow(scan, "node long, tokens binary")
 
 
 def _reaches(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
     return UNDER * common >= OVER * (a + b - common)
 
 
+def _can_reach(pairs: DataFrame, bins: DataFrame) -> DataFrame:
+    """Those ``pairs`` (a, b) whose bins leave room for the threshold."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [i for i, (m, n, left, right) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("m", "n", "left", "right")], strict=True))
+                    if _reaches(_most_common(left, [right]), m, n)]
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    left = bins.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bins").alias("left"))
+    right = bins.select(F.col("node").alias("b"), "n", F.col("bins").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "left", "right").mapInArrow(check, "a long, b long")
+
+
 def _compare_pairs(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """a, b of those ``pairs`` whose sets reach the threshold."""
 
@@ -172,7 +212,7 @@ def _pivot_pairs(rare: DataFrame) -> DataFrame:
     return met.where(fits).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
 
 
-def _group_links(rare: DataFrame, labels: DataFrame, table: DataFrame) -> DataFrame:
+def _group_links(rare: DataFrame, labels: DataFrame, bins: DataFrame, table_of: Callable) -> DataFrame:
     """Links between components: nodes against the groups that they share a rare token with."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     placed = labels.join(sizes, "label").select(
@@ -186,8 +226,21 @@ def _group_links(rare: DataFrame, labels: DataFrame, table: DataFrame) -> DataFr
     asks = F.struct("size", "label") < F.struct(F.col("s").alias("size"), F.col("g").alias("label"))
     fits = (F.col("n") * UNDER >= F.col("low") * OVER) & (F.col("high") * UNDER >= F.col("n") * OVER)
     wanted = mixed.join(matrix, "token").where(asks & fits).select("node", "g", "p").distinct()
-    members = placed.select(F.col("label").alias("g"), F.col("part").alias("p"), "node").join(
-        wanted.select("g", "p").distinct(), ["g", "p"], "left_semi").join(table, "node")
+    placed = settled(placed.select(F.col("label").alias("g"), F.col("part").alias("p"), F.col("node").alias("member")))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [i for i, (n, own, others) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("n", "bins", "others")], strict=True))
+                    if UNDER * _most_common(own, others) >= OVER * n]
+            yield batch.select(["node", "g", "p"]).take(pa.array(kept, pa.int64()))
+
+    unions = placed.join(wanted.select("g", "p").distinct(), ["g", "p"], "left_semi").join(
+        bins.select(F.col("node").alias("member"), F.col("bins").alias("other")), "member").groupBy("g", "p").agg(F.collect_list("other").alias("others"))
+    wanted = settled(wanted.join(bins, "node").join(unions, ["g", "p"]).select("node", "g", "p", "n", "bins", "others").mapInArrow(
+        bound, "node long, g long, p long"))
+    opened = settled(placed.join(wanted.select("g", "p").distinct(), ["g", "p"], "left_semi"))
+    table = table_of(wanted.select("node").union(opened.select("member")).distinct())
+    members = opened.withColumnRenamed("member", "node").join(table, "node")
     groups = members.groupBy("g", "p").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,12 +285,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     order = np.argsort(token)
     frequent = spark.sparkContext.broadcast((token[order], n[order]))
     rare = settled(_rare_tokens(rows, frequent))
-    owners = base.join(rare.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("owner").alias("owner")).select("owner")
-    table = settled(_token_table(rows, owners))
-    near = settled(_compare_pairs(_pivot_pairs(rare), table))
+    bins = base.join(rare.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("bins").alias("bins"), F.min("owner").alias("owner"))
+    bins = settled(bins)
+
+    def table_of(nodes: DataFrame) -> DataFrame:
+        return settled(_token_table(rows, settled(bins.join(nodes, "node", "left_semi").select("owner"))))
+
+    pairs = settled(_can_reach(_pivot_pairs(rare), bins))
+    near = settled(_compare_pairs(pairs, table_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
     grouped = components(near)
     lone = rare.select("node").distinct().join(grouped, "node", "left_anti").select("node", F.col("node").alias("label"))
-    more = settled(_group_links(rare, settled(grouped.unionByName(lone)), table))
+    more = settled(_group_links(rare, settled(grouped.unionByName(lone)), bins.drop("owner"), table_of))
     labels = components(near.unionByName(more))
     named = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left")
     named = named.select("node", F.coalesce("label", "node").alias("label"), "first")
