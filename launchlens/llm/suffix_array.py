@@ -22,7 +22,6 @@ from __future__ import annotations
 import contextlib
 import os
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,11 +191,11 @@ def _byte_contents(column: pa.Array, row: np.ndarray, begin: np.ndarray, count:
 def judge(contents: list[bytes], names: list[int], ranks: list[int], counts: list[int]) -> list[bytes]:
     """For each piece a byte for each window: 1 if the window's string starts elsewhere too.
 
-    The strings of a name's only piece, if it stands in several places, all start
-    elsewhere, and nothing else can match them; such pieces need no order.
+    All strings of a piece that stands in several places start elsewhere. A name needs
+    an order only if one of its pieces stands in one place.
     """
-    alone = Counter(names)
-    judged = [i for i, name in enumerate(names) if alone[name] > 1 or counts[i] == 1]
+    single = {name for name, n in zip(names, counts, strict=True) if n == 1}
+    judged = [i for i, name in enumerate(names) if name in single]
     begin, common, _ = collection_order([contents[i] for i in judged], WINDOW)
     again = common >= WINDOW
     again[:-1] |= again[1:].copy()
