@@ -221,7 +221,7 @@ def bucket_tag_sql(age: str, scheme: tuple[tuple[str, int], ...]) -> str:
 
 def money_sql(expr: str) -> str:
     """Exact sum of a money expression as a double."""
-    return f"cast(sum(cast({expr} as decimal(28,10))) as double)"
+    return f"cast(cast(sum(cast(cast({expr} as varchar) as decimal(28,10))) as varchar) as double)"
 
 
 def measures_sql(amount: str = "amount", qty: str = "qty", slip: str = "slip",
