@@ -228,35 +228,41 @@ def _group_links(rare: DataFrame, labels: DataFrame, bins: DataFrame, table_of:
     wanted = mixed.join(matrix, "token").where(asks & fits).select("node", "g", "p").distinct()
     placed = settled(placed.select(F.col("label").alias("g"), F.col("part").alias("p"), F.col("node").alias("member")))
 
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            union = []
+            for others in batch.column("others").to_pylist():
+                each = [np.frombuffer(o, np.uint16).astype(np.int64) for o in others]
+                size = min(map(len, each))
+                union.append(np.minimum(np.max([_folded(e, size) for e in each], axis=0), 65535).astype(np.uint16).tobytes())
+            yield pa.record_batch({"g": batch.column("g"), "p": batch.column("p"), "union": pa.array(union, pa.binary())})
+
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [i for i, (n, own, others) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("n", "bins", "others")], strict=True))
-                    if UNDER * _most_common(own, others) >= OVER * n]
+            kept = [i for i, (n, own, union) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("n", "bins", "union")], strict=True))
+                    if UNDER * _most_common(own, [union]) >= OVER * n]
             yield batch.select(["node", "g", "p"]).take(pa.array(kept, pa.int64()))
 
     unions = placed.join(wanted.select("g", "p").distinct(), ["g", "p"], "left_semi").join(
-        bins.select(F.col("node").alias("member"), F.col("bins").alias("other")), "member").groupBy("g", "p").agg(F.collect_list("other").alias("others"))
-    wanted = settled(wanted.join(bins, "node").join(unions, ["g", "p"]).select("node", "g", "p", "n", "bins", "others").mapInArrow(
+        bins.select(F.col("node").alias("member"), F.col("bins").alias("other")), "member").groupBy("g", "p").agg(
+        F.collect_list("other").alias("others")).mapInArrow(unite, "g long, p long, union binary")
+    wanted = settled(wanted.join(bins, "node").join(unions, ["g", "p"]).select("node", "g", "p", "n", "bins", "union").mapInArrow(
         bound, "node long, g long, p long"))
     opened = settled(placed.join(wanted.select("g", "p").distinct(), ["g", "p"], "left_semi"))
     table = table_of(wanted.select("node").union(opened.select("member")).distinct())
     members = opened.withColumnRenamed("member", "node").join(table, "node")
-    groups = members.groupBy("g", "p").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place, nodes, union, owner, sizes_of = None, None, None, None, None, None
-        for batch in batches:
-            left, right = [], []
-            for i, (g, p, node, own) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("g", "p", "node", "tokens")], strict=True)):
-                if (g, p) != known:
-                    known, member = (g, p), batch.column("members")[i].as_py()
-                    nodes = [m["node"] for m in member]
-                    each = [np.frombuffer(m["tokens"], np.uint64) for m in member]
-                    sizes_of = np.array([len(e) for e in each])
-                    together = np.concatenate(each)
-                    order = np.argsort(together)
-                    place, owner = together[order], np.repeat(np.arange(len(each)), sizes_of)[order]
-                    union = np.unique(place)
+    def search(queries: pa.Table, group: pa.Table) -> pa.Table:
+        left, right = [], []
+        nodes = group.column("member").to_pylist()
+        each = [np.frombuffer(t, np.uint64) for t in group.column("packed").to_pylist()]
+        if each and queries.num_rows:
+            sizes = np.array([len(e) for e in each])
+            together = np.concatenate(each)
+            order = np.argsort(together)
+            place, owner = together[order], np.repeat(np.arange(len(each)), sizes)[order]
+            union = np.unique(place)
+            for node, own in zip(queries.column("node").to_pylist(), queries.column("tokens").to_pylist(), strict=True):
                 query = np.frombuffer(own, np.uint64)
                 at = np.minimum(np.searchsorted(union, query), len(union) - 1)
                 within = query[union[at] == query]
@@ -265,13 +271,14 @@ def _group_links(rare: DataFrame, labels: DataFrame, bins: DataFrame, table_of:
                 begin, end = np.searchsorted(place, within), np.searchsorted(place, within, "right")
                 spread = np.repeat(begin - np.concatenate([[0], np.cumsum(end - begin)[:-1]]), end - begin) + np.arange((end - begin).sum())
                 common = np.bincount(owner[spread], minlength=len(nodes))
-                for m in np.flatnonzero(_reaches(common, len(query), sizes_of)):
+                for m in np.flatnonzero(_reaches(common, len(query), sizes)):
                     left.append(node)
                     right.append(nodes[m])
-            yield pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    met = wanted.join(table, "node").join(groups, ["g", "p"]).select("g", "p", "node", "tokens", "members")
-    return met.mapInArrow(search, "a long, b long")
+    asking = wanted.join(table, "node").select("g", "p", "node", "tokens")
+    return asking.groupBy("g", "p").cogroup(
+        members.select("g", "p", "node", "tokens").toDF("h", "q", "member", "packed").groupBy("h", "q")).applyInArrow(search, "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
