@@ -30,6 +30,8 @@ MIN_DOCUMENTS = 5
 #: Length of the word beginnings.
 BEGIN = (4, 5)
 PENALTY = 0.001
+#: Passes of a fit over the drawn rows at most.
+ITERATIONS = 15
 
 
 def tokens(text: Column) -> Column:
@@ -79,7 +81,7 @@ def _fit(rows: DataFrame, earlier: list[str], label: str) -> LogisticRegressionM
         return None
     learner = LogisticRegression(
         featuresCol="__input", labelCol=label, probabilityCol="__probability", rawPredictionCol="", predictionCol="",
-        regParam=PENALTY, elasticNetParam=1.0, maxIter=60, tol=1e-5)
+        regParam=PENALTY, elasticNetParam=1.0, maxIter=ITERATIONS, tol=1e-4)
     return learner.fit(_assembled(rows, earlier))
 
 
@@ -93,7 +95,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     names = list(categories)
     sample = docs.select("doc_id", tokens(F.col("text")).alias("__tokens")).join(F.broadcast(drawn), "doc_id")
     sample = sample.select("__tokens", *[f"__y{i}" for i in range(len(names))], F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).alias("__fold"))
-    sample = sample.coalesce(docs.sparkSession.sparkContext.defaultParallelism).persist()
+    sample = sample.coalesce(4).persist()
     try:
         if not n or sample.isEmpty():
             return Chain(None, [(name, None) for name in names])
