@@ -48,6 +48,7 @@ GROUP = 64
 FREQUENT, REPEATS = 200_000, 3
 #: Up to so many rows (of a long each) are named to all tasks; more are joined by shuffle.
 OWNERS = 500_000
+PAIRS = 512
 
 
 def token_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -187,21 +188,25 @@ def _can_reach(pairs: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def _compare_pairs(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """a, b of those ``pairs`` whose sets reach the threshold."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for i, (left, right) in enumerate(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)):
-                left, right = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    """a, b of those ``pairs`` whose sets reach the threshold; the pairs of a pivot meet it in parts of about ``PAIRS``."""
+
+    def compare(some: pa.Table, pivot: pa.Table) -> pa.Table:
+        kept = []
+        if some.num_rows and pivot.num_rows:
+            right = np.frombuffer(pivot.column("packed")[0].as_py(), np.uint64)
+            for i, left in enumerate(some.column("tokens")):
+                left = np.frombuffer(left.as_py(), np.uint64)
                 at = np.minimum(np.searchsorted(left, right), len(left) - 1)
                 if _reaches(int(np.count_nonzero(left[at] == right)), len(left), len(right)):
                     kept.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-
-    left = table.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-    right = table.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+        return some.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    often = pairs.groupBy("b").agg(F.count("*").alias("often"))
+    dealt = pairs.join(often, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("often") / PAIRS)).alias("part"))
+    left = dealt.join(table.select(F.col("node").alias("a"), "tokens"), "a").select("a", "b", "part", "tokens")
+    right = dealt.select("b", "part").distinct().join(table.select(F.col("node").alias("b"), "tokens"), "b").select(
+        "b", "part", "tokens").toDF("pivot", "q", "packed")
+    return left.groupBy("b", "part").cogroup(right.groupBy("pivot", "q")).applyInArrow(compare, "a long, b long")
 
 
 def _pivot_pairs(rare: DataFrame) -> DataFrame:
