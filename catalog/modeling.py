@@ -34,14 +34,14 @@ def scaled_profile(spark, root) -> DataFrame:
 @query("m2_kmeans_fit")
 def _(spark, root):
     scaled = scaled_profile(spark, root)
-    fit = op.kmeans_fit(scaled, SCALED, k=3, n_start=5, key=["pattern"])
+    fit = op.kmeans_fit(scaled, SCALED, k=3, key=["pattern"])
     sizes = op.assign_clusters(scaled, fit).groupBy("cluster").agg(F.count("*").alias("n"))
     return sizes.withColumn("cost", F.lit(round(fit.cost, 6)))
 
 
 @query("m3_elbow_curve")
 def _(spark, root):
-    return op.elbow_curve(scaled_profile(spark, root), SCALED, range(1, 9), n_start=3, key=["pattern"])
+    return op.elbow_curve(scaled_profile(spark, root), SCALED, key=["pattern"])
 
 
 ONE_CLUSTER = ("qty", "retail_price", "discount")
@@ -85,7 +85,7 @@ def _(spark, root):
 @query("m6_assign_clusters")
 def _(spark, root):
     scaled = scaled_profile(spark, root)
-    return op.assign_clusters(scaled, op.kmeans_fit(scaled, SCALED, k=4, n_start=5, key=["pattern"])).select(
+    return op.assign_clusters(scaled, op.kmeans_fit(scaled, SCALED, k=4, n_start=50, key=["pattern"])).select(
         "pattern", "cluster")
 
 
@@ -228,7 +228,8 @@ def model_rows(spark, root, k: int = 5) -> tuple[DataFrame, str, list[str]]:
     ).dropna()
     coded, dummies = op.one_hot(op.materialize(rows), ["merchant_class", "solid_flag"])
     xs = ["early_sales", "early_units", "days", "avg_price", *dummies[1:-2], dummies[-1]]
-    return op.materialize(op.assign_folds(coded, k, ["sku"], 1234)), "y", xs
+    # One row per SKU: a fit is many short passes, so it reads one partition.
+    return op.materialize(op.assign_folds(coded, k, ["sku"], 1234)).coalesce(1), "y", xs
 
 
 @query("m14_fit_linear_summary")
@@ -305,28 +306,24 @@ def _(spark, root):
         "term string, estimate double, aic double")
 
 
-CANDIDATES = [{"featureSubsetStrategy": "2"}, {"featureSubsetStrategy": "5"}]
-SMALL_BOOST = dict(op.BOOSTED, maxIter=10, maxDepth=4)
-
-
 @query("m17_fit_forest")
 def _(spark, root):
-    rows, y, xs = model_rows(spark, root, 2)
-    model = op.fit_forest(rows, y, xs, "fold", 2, trees=10, depth=6, candidates=CANDIDATES)
+    rows, y, xs = model_rows(spark, root)
+    model = op.fit_forest(rows, y, xs, "fold")
     return op.regression_metrics(op.obs_pred(model.transform(rows), y, "prediction", None))
 
 
 @query("m18_fit_boosted")
 def _(spark, root):
     rows, y, xs = model_rows(spark, root)
-    model = op.fit_boosted(rows, y, xs, SMALL_BOOST)
+    model = op.fit_boosted(rows, y, xs)
     return op.regression_metrics(op.obs_pred(model.transform(rows), y, "prediction", None))
 
 
 @query("m19_fit_bagged")
 def _(spark, root):
     rows, y, xs = model_rows(spark, root)
-    model = op.fit_bagged(rows, y, xs, trees=10, depth=8)
+    model = op.fit_bagged(rows, y, xs)
     return op.regression_metrics(op.obs_pred(model.transform(rows), y, "prediction", None))
 
 
@@ -364,7 +361,7 @@ def _(spark, root):
 def _(spark, root):
     rows, y, xs = model_rows(spark, root)
     linear = op.importance(rows, op.fit_linear(rows, y, xs), top=10)
-    trees = op.importance(rows, op.fit_bagged(rows, y, xs, trees=5, depth=5), top=10)
+    trees = op.importance(rows, op.fit_bagged(rows, y, xs), top=10)
     return reduce(DataFrame.unionByName, [
         linear.withColumn("model", F.lit("linear")), trees.withColumn("model", F.lit("bagged"))])
 

@@ -19,14 +19,14 @@ CLASSES = ("ECONOMY", "LARGE", "MEDIUM", "SMALL", "STANDARD")
 TWO = TwoChannelSettings(
     entry_method=1, excluded_stores=(7,), excluded_classes=("PROMO",), excluded_styles=("Brand#13",),
     seasons=CODES, launched_from="1994-09-01", launched_to="1997-06-30", n_patterns=20,
-    classes=CLASSES, impute=rel.RULES, burst_limit=30, starts=5, forest_trees=10,
+    classes=CLASSES, impute=rel.RULES, burst_limit=30,
     product_cols=("style", "pattern", "release_season", "merchant_class", "color_family"),
 )
 DISTRICTS = ("AFRICA", "AMERICA", "ASIA", "MIDDLE EAST")
 STORE = StoreSettings(
     excluded_stores=(7,), districts=DISTRICTS, excluded_districts=("EUROPE",), seasons=CODES,
     launched_from="1994-09-01", cluster_launched_to="1997-06-30", classes=CLASSES,
-    cluster_excluded=("red widget",), model_excluded=("red widget", "blue bolt"), starts=5, folds=5,
+    cluster_excluded=("red widget",), model_excluded=("red widget", "blue bolt"),
     product_cols=("style", "pattern", "release_season", "department", "color_family"),
     store_cols=("district",),
 )
@@ -228,15 +228,11 @@ def _(spark, root):
     return two_channel.matrix(two_table(spark, root), TWO).left_out
 
 
-SMALL_BOOST = dict(op.BOOSTED, maxIter=10, maxDepth=4)
-CANDIDATES = [{"featureSubsetStrategy": "2"}, {"featureSubsetStrategy": "8"}]
-
 
 @query("c11_train_all")
 def _(spark, root):
     results = two_channel.run(
-        v.web(spark, root), v.pos(spark, root), v.master(spark, root), v.stores(spark, root), TWO,
-        boosted=SMALL_BOOST, candidates=CANDIDATES)
+        v.web(spark, root), v.pos(spark, root), v.master(spark, root), v.stores(spark, root), TWO)
     return results["metrics"]
 
 

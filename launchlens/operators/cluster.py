@@ -27,6 +27,9 @@ __all__ = [
     "silhouette_score_squared",
 ]
 
+#: Rows that a partition of a keyed fit holds at most, as far as the shuffle partitions allow.
+PARTITION_ROWS = 50_000
+
 
 @dataclass
 class Clusters:
@@ -52,12 +55,13 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _placed(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> DataFrame:
     """Feature vectors; with a key, on the same partition and in the same order every time.
 
-    k-means draws its starting centres by partition and position.
+    k-means draws its starting centres by partition and position. A fit is dozens of
+    passes, so a small frame is one partition.
     """
     vectors = _vectors(df.select(*key, *cols), cols)
     if not key:
         return vectors
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + df.count() // PARTITION_ROWS)
     return vectors.repartition(n, *key).sortWithinPartitions(*key)
 
 
@@ -81,7 +85,7 @@ def kmeans_fit(
     n_start: int = 20,
     max_iter: int = 100,
     seed: int = 1,
-    parallelism: int = 4,
+    parallelism: int = 8,
     key: Sequence[str] = (),
 ) -> Clusters:
     """The cheapest of several seeded k-means fits.
@@ -122,7 +126,7 @@ def elbow_curve(
     n_start: int = 20,
     max_iter: int = 100,
     seed: int = 1,
-    parallelism: int = 4,
+    parallelism: int = 8,
     key: Sequence[str] = (),
 ) -> DataFrame:
     """Lowest cost found for each number of clusters, as rows (k, cost)."""

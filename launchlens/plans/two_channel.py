@@ -165,7 +165,8 @@ def train_all(
 ) -> dict[str, DataFrame]:
     """Linear, forest, boosted and bagged models: their metrics and importances."""
     rows = split_rows(m, s.train_share, s.folds, s.seed)
-    train = rows.filter("is_train")
+    # A rollup, and boosting alone reads it thousands of times: one partition.
+    train = rows.filter("is_train").coalesce(1)
     linear = op.fit_linear(train, m.y, m.xs, fold="fold")
     forest = op.fit_forest(train, m.y, m.xs, "fold", s.folds, s.forest_trees,
                            candidates=candidates, seed=s.seed)
