@@ -16,6 +16,7 @@ further columns are kept, also if they are called like a probability column's in
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
@@ -31,7 +32,10 @@ MIN_DOCUMENTS = 5
 BEGIN = (4, 5)
 PENALTY = 0.001
 #: Passes of a fit over the drawn rows at most.
-ITERATIONS = 15
+ITERATIONS = 60
+TOLERANCE = 1e-5
+#: Partitions of the drawn rows, which are few: a pass is a job, and most of its time is overhead.
+FIT_PARTS = 2
 
 
 def tokens(text: Column) -> Column:
@@ -81,7 +85,7 @@ def _fit(rows: DataFrame, earlier: list[str], label: str) -> LogisticRegressionM
         return None
     learner = LogisticRegression(
         featuresCol="__input", labelCol=label, probabilityCol="__probability", rawPredictionCol="", predictionCol="",
-        regParam=PENALTY, elasticNetParam=1.0, maxIter=ITERATIONS, tol=1e-4)
+        regParam=PENALTY, elasticNetParam=1.0, maxIter=ITERATIONS, tol=TOLERANCE)
     return learner.fit(_assembled(rows, earlier))
 
 
@@ -93,9 +97,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     share = min(1.0, train_rows / max(1, n))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else known
     names = list(categories)
-    sample = docs.select("doc_id", tokens(F.col("text")).alias("__tokens")).join(F.broadcast(drawn), "doc_id")
-    sample = sample.select("__tokens", *[f"__y{i}" for i in range(len(names))], F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).alias("__fold"))
-    sample = sample.coalesce(4).persist()
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).alias("__fold")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").repartition(FIT_PARTS)
+    sample = labelled.select(tokens(F.col("text")).alias("__tokens"), *[f"__y{i}" for i in range(len(names))], fold).persist()
     try:
         if not n or sample.isEmpty():
             return Chain(None, [(name, None) for name in names])
@@ -105,14 +109,19 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         earlier: list[str] = []
         models: list[tuple[str, LogisticRegressionModel | None]] = []
         for i, name in enumerate(names):
-            models.append((name, _fit(rows, earlier, f"__y{i}")))
+            parts = [rows]
             if i + 1 < len(names):
-                held = [_with_probability(rows.where(F.col("__fold") == f), earlier, _fit(rows.where(F.col("__fold") != f), earlier, f"__y{i}"), f"p_{name}")
-                        for f in range(folds)]
+                parts += [rows.where(F.col("__fold") != f) for f in range(folds)]
+            # the fits do not depend on each other
+            with ThreadPool(len(parts)) as pool:
+                whole, *out_of_fold = pool.map(lambda part: _fit(part, earlier, f"__y{i}"), parts)  # noqa: B023
+            models.append((name, whole))
+            if i + 1 < len(names):
+                held = [_with_probability(rows.where(F.col("__fold") == f), earlier, model, f"p_{name}") for f, model in enumerate(out_of_fold)]
                 joined = held[0]
                 for part in held[1:]:
                     joined = joined.unionByName(part)
-                rows = joined.persist()
+                rows = joined.coalesce(FIT_PARTS).persist()
                 earlier.append(f"p_{name}")
         return Chain(vocabulary, models)
     finally:

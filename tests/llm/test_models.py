@@ -105,6 +105,13 @@ def test_toxicity(spark):
     assert toxicity.reject(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_fits_run_to_their_end(spark):
+    rows = [(i, syllables(i, 25, ["ba", "co", "du", "fe"]) + " scum" * (i % 4 == 0)) for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(spark.createDataFrame(rows, DOCS), labels, toxicity.given_categories())
+    assert [(m.getMaxIter(), m.getTol()) for _, m in chain.models] == [(60, 1e-5)] * 2
+
+
 def test_pipeline(spark, tmp_path):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "jaccard", "substrings", "decontaminate", "encode"]
