@@ -78,6 +78,20 @@ def test_ngram_lm(spark):
     assert ngram_lm.score(frame, F.lit(False)).agg(F.max("n_known")).first()[0] == 0
 
 
+def test_ngram_lm_deals_out_a_frequent_word(spark, monkeypatch):
+    rows = [(i, "a " * 200 + syllables(i, 20, ["b", "c"])) for i in range(64)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(8)
+    result = lambda: sorted(map(tuple, ngram_lm.score(frame, F.col("doc_id") % 3 > 0).collect()))
+    plain, seen, sums = result(), [], ngram_lm._shard_sums
+    monkeypatch.setattr(ngram_lm, "PART_TOKENS", 2000)
+    monkeypatch.setattr(ngram_lm, "_shard_sums", lambda packed, log_word: (seen.append(packed), sums(packed, log_word))[1])
+    assert result() == plain
+    loads = [(r.part, r.n) for r in seen[0].where("part >= 0 and chunk >= 0").groupBy("part", "salt").agg(F.count("*").alias("n")).collect()]
+    hot = max((p for p, _ in loads), key=lambda p: sum(q == p for q, _ in loads))
+    chunks = sum(n for q, n in loads if q == hot)
+    assert chunks == 8 and max(n for q, n in loads if q == hot) <= 3
+
+
 def test_elias_fano():
     for values in ([], [0], [5, 5, 9, 1 << 40], list(range(1000)), [3, 1 << 62]):
         kept = np.array(values, np.uint64)
