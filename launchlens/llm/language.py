@@ -8,8 +8,9 @@ chance.
 
 An n-gram belongs to a language if it makes up at least ``MIN_SHARE`` of the
 language's n-grams, so a language has at most 1 / MIN_SHARE of them and the filter
-that goes to all tasks is bounded whatever the corpus. Counts cover all training
-rows.
+that goes to all tasks is bounded whatever the corpus. Of these languages only those whose
+share is at least ``OWN`` of the n-gram's largest share are stored, so a mask can lack a language
+that does contain the n-gram. Counts cover all training rows.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; a text none of
 whose n-grams is known gets the most frequent language with score 0; ties go to
