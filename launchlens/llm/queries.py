@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from launchlens.llm import bpe, decontaminate, jaccard, kd_shards, language, ngram_lm, substrings, suffix_array, topk, toxicity
+from launchlens.llm import bpe, decontaminate, jaccard, kd_shards, language, merkle, ngram_lm, substrings, suffix_array, topk, toxicity
 
 QUERIES = {
     "op1_toxicity_chain": toxicity.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_kd_shards": kd_shards.query,
     "op9_ngram_lm": ngram_lm.query,
     "op10_byte_bpe": bpe.query,
+    "op12_merkle_manifest": merkle.query,
 }
 ORACLES: dict[str, str] = {
     "op3_topk_search": topk.SQL,
     "op4_substring_dedup": substrings.SQL,
     "op6_decontaminate": decontaminate.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
