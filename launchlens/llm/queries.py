@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from launchlens.llm import bpe, decontaminate, jaccard, kd_shards, language, merkle, ngram_lm, substrings, suffix_array, topk, toxicity
+from launchlens.llm import bpe, decontaminate, jaccard, kd_shards, language, merkle, ngram_lm, secret_links, substrings, suffix_array, topk, toxicity
 
 QUERIES = {
     "op1_toxicity_chain": toxicity.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_lm": ngram_lm.query,
     "op10_byte_bpe": bpe.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_secret_links": secret_links.query,
 }
 ORACLES: dict[str, str] = {
     "op3_topk_search": topk.SQL,
