@@ -12,6 +12,8 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
+from catalog.registry import Query
+
 
 def session(cpus: str = "*") -> SparkSession:
     return (
@@ -52,15 +54,13 @@ def sorted_rows(columns: list[str], rows: list[tuple]) -> list[tuple]:
     return sorted((tuple(_value(r[i]) for i in order) for r in rows), key=_key)
 
 
-def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, root: str, name: str) -> tuple[bool, str]:
+def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, root: str, query: Query, sql: str | None) -> tuple[bool, str]:
     """Exact comparison of one query's rows with its SQL's."""
-    from catalog import ORACLES, QUERIES
-
-    df = QUERIES[name](spark, root)
+    df = query(spark, root)
     got = sorted_rows(df.columns, [tuple(r) for r in df.collect()])
-    if name not in ORACLES:
+    if sql is None:
         return bool(got), f"{len(got)} rows, no SQL"
-    cur = con.execute(ORACLES[name])
+    cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     types = dict(zip(names, (str(d[1]) for d in cur.description)))
     plain = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
@@ -78,7 +78,7 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, root: str, name
 
 
 def main(argv: list[str]) -> int:
-    from catalog import QUERIES
+    from catalog import ORACLES, QUERIES
 
     root = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(QUERIES)
@@ -88,7 +88,7 @@ def main(argv: list[str]) -> int:
     for name in names:
         start = time.time()
         try:
-            ok, note = compare(spark, con, root, name)
+            ok, note = compare(spark, con, root, QUERIES[name], ORACLES.get(name))
         except Exception as e:  # noqa: BLE001
             ok, note = False, f"{type(e).__name__}: {str(e)[:600]}"
         failed += not ok

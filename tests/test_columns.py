@@ -99,3 +99,15 @@ def test_dates_with_times_and_short_parts(spark):
     rows = spark.createDataFrame([("2019-01-01 00:00:00",), ("2019-1-1",), (" 2019-01-01",), ("x2019-01-01",), (None,)], "d string")
     got = [r["d"] for r in rows.select(to_date_col("d").alias("d")).collect()]
     assert got == [date(2019, 1, 1)] * 3 + [None, None]
+
+
+def test_exact_sum_of_odd_values(frame):
+    def total(*xs):
+        return {frame([(x,) for x in order], "x double").agg(fn.exact_sum("x").alias("s")).first()["s"] for order in (xs, xs[::-1])}
+
+    nan, inf = float("nan"), float("inf")
+    assert all(x != x for x in total(nan, 1.0) | total(nan, inf))
+    assert total(inf, 1.0) == {inf} and total(-inf, 1.0) == {-inf}
+    assert total(-0.1, -0.2, -0.7) == {-1.0} and total(-1.5, 0.25) == {-1.25}
+    assert total(1e18, 0.1, -1e18) == {0.1} and total(5e18, 5e18) == {1e19} and total(1e30, 1.0) == {1e30}
+    assert total(None, None) == {None} and total(None, 2.5) == {2.5}
