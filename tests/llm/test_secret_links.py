@@ -16,9 +16,8 @@ VALUE = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=
 BARE = "Zx9" * 12
 
 
-def assigned(text, at):
-    """End of value and of the whole match from ``at``, by trying all choices in order."""
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+def assigned(text, low, at):
+    """Begin and end of the value of a match from ``at``, by trying all choices in order."""
     for word in WORDS:
         if not low.startswith(word, at):
             continue
@@ -48,9 +47,10 @@ def runs(text, at, allowed):
 
 
 def by_hand(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     out, i = [], 0
     while i < len(text):
-        hit = assigned(text, i)
+        hit = assigned(text, low, i)
         if hit:
             if hit[1] - hit[0] >= 6:
                 out.append((i, 0, hit[1]))
