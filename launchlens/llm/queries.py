@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from launchlens.llm import bpe, decontaminate, jaccard, kd_shards, language, merkle, ngram_lm, secret_links, substrings, suffix_array, topk, toxicity
+from launchlens.llm import (
+    bpe,
+    decontaminate,
+    jaccard,
+    kd_shards,
+    language,
+    merkle,
+    ngram_lm,
+    secret_links,
+    substrings,
+    suffix_array,
+    topk,
+    toxicity,
+    whitening,
+)
 
 QUERIES = {
     "op1_toxicity_chain": toxicity.query,
@@ -15,6 +29,7 @@ QUERIES = {
     "op8_kd_shards": kd_shards.query,
     "op9_ngram_lm": ngram_lm.query,
     "op10_byte_bpe": bpe.query,
+    "op11_embedding_whitening": whitening.query,
     "op12_merkle_manifest": merkle.query,
     "op13_secret_links": secret_links.query,
 }
