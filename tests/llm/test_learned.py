@@ -119,11 +119,54 @@ def test_toxicity(spark):
     assert toxicity.reject(docs.limit(0), labels).count() == 0
 
 
-def test_toxicity_fits_run_to_their_end(spark):
-    rows = [(i, syllables(i, 25, ["ba", "co", "du", "fe"]) + " scum" * (i % 4 == 0)) for i in range(80)]
-    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+def dense_loss(x, y, weights, intercept, scale):
+    margin = x @ weights + intercept
+    return np.logaddexp(0, -np.where(y > 0, 1, -1) * margin).mean() + toxicity.PENALTY * np.abs(weights * scale).sum()
+
+
+def test_toxicity_fit_is_the_least_loss(monkeypatch):
+    """Against proximal gradient steps on the dense matrix, run until they stand still."""
+    monkeypatch.setattr(toxicity, "TOLERANCE", 1e-12)
+    monkeypatch.setattr(toxicity, "ITERATIONS", 3000)
+    draw = np.random.default_rng(1)
+    ones, before = (draw.random((300, 12)) < draw.random(12)).astype(float), draw.random((300, 1))
+    y = (ones[:, 0] + ones[:, 3] * before[:, 0] + draw.random(300) > 1.3).astype(float)
+    row, feature = np.nonzero(ones)
+    model, _ = toxicity.fit_linear(row, feature, before, y, 12)
+    x = np.hstack([ones, before])
+    scale, weights, intercept = x.std(0), np.zeros(13), 0.0
+    for _ in range(60_000):
+        slope = -np.where(y > 0, 1, -1) / (1 + np.exp(np.where(y > 0, 1, -1) * (x @ weights + intercept))) / 300
+        beta = weights * scale - 0.25 * (x.T @ slope) / scale
+        weights = np.sign(beta) * np.maximum(np.abs(beta) - 0.25 * toxicity.PENALTY, 0) / scale
+        intercept -= 0.25 * slope.sum()
+    found = np.zeros(13)
+    found[model.features], found[12:] = model.weights, model.earlier
+    assert dense_loss(x, y, found, model.intercept, scale) <= dense_loss(x, y, weights, intercept, scale) + 1e-7
+    assert np.abs(found - weights).max() < 1e-2
+    chances = model.probability(ones[:, model.features] @ model.weights, before)
+    assert np.allclose(chances, 1 / (1 + np.exp(-(x @ found + model.intercept))))
+
+
+def test_later_categories_see_probabilities_of_other_folds(spark):
+    rows = [(i, syllables(i, 25, ["ba", "co", "du", "fe"]) + " scum" * (i % 4 == 0)) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
     chain = toxicity.fit_chain(spark.createDataFrame(rows, DOCS), labels, toxicity.given_categories())
-    assert [(m.getMaxIter(), m.getTol()) for _, m in chain.models] == [(60, 1e-5)] * 2
+    assert [len(chain.passes[name]) for name in ("degraded", "toxic")] == [1 + toxicity.FOLDS, 1]
+    assert len(chain.models[0][1].earlier) == 0 and len(chain.models[1][1].earlier) == 1
+    one = toxicity.fit_chain(spark.createDataFrame(rows, DOCS), labels, {"only": F.col("toxic") == 1})
+    assert {n for n, _ in one.models} == {"only"} and one.passes["only"][0] <= toxicity.ITERATIONS
+
+
+def test_toxicity_on_unseen_documents(spark):
+    """Fitted on four fifths of the labelled documents, judged on the rest."""
+    root = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 2
+    chain = toxicity.fit_chain(docs, labels.where(~held), toxicity.given_categories())
+    found = chain.score(docs.select("doc_id", "text")).join(labels.where(held), "doc_id").select("toxic", (F.col("p_toxic") >= 0.5).alias("said")).collect()
+    hits = sum(r["said"] and r["toxic"] == 1 for r in found)
+    assert hits >= 0.75 * sum(r["toxic"] == 1 for r in found) and hits >= 0.95 * sum(r["said"] for r in found)
 
 
 def test_pipeline(spark, tmp_path):
