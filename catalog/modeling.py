@@ -54,6 +54,44 @@ def _(spark, root):
     return rounded(op.one_cluster_cost(v.clean(spark, root), ONE_CLUSTER), "cost", digits=2)
 
 
+# Lines by their number in the order: seven different points, so seven clusters cost nothing and are known.
+SEVEN = ("line", "odd")
+SEVEN_COST_SQL = (
+    "select 1 as k, round(count(*) * (var_pop(l_linenumber) + var_pop(l_linenumber % 2)), 3) as cost from lineitem "
+    "union all select 7, 0.0")
+
+
+def numbered_lines(spark, root) -> DataFrame:
+    number = F.col("l_linenumber")
+    return v.load_table(spark, "lineitem", root, ["l_orderkey", "l_linenumber"]).select(
+        "l_orderkey", "l_linenumber", number.cast("double").alias("line"), (number % 2).cast("double").alias("odd"))
+
+
+@query("m2_kmeans_distinct", "select l_linenumber as cluster, count(*) as n, 0.0::double as cost from lineitem group by 1")
+def _(spark, root):
+    lines = numbered_lines(spark, root)
+    fit = op.kmeans_fit(lines, SEVEN, 7)
+    return op.assign_clusters(lines, fit).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("cost", F.lit(fit.cost))
+
+
+@query("m6_assign_distinct", "select l_orderkey, l_linenumber, l_linenumber as cluster from lineitem")
+def _(spark, root):
+    lines = numbered_lines(spark, root)
+    return op.assign_clusters(lines, op.kmeans_fit(lines, SEVEN, 7)).select("l_orderkey", "l_linenumber", "cluster")
+
+
+@query("t3_best_run", SEVEN_COST_SQL)
+def _(spark, root):
+    runs = op.kmeans_runs(numbered_lines(spark, root), SEVEN, (1, 7))
+    costs = spark.createDataFrame([(r.k, r.start, r.cost) for r in runs], "k int, start int, cost double")
+    return rounded(costs.groupBy("k").agg(F.min("cost").alias("cost")), "cost", digits=3)
+
+
+@query("u5_elbow_rows", SEVEN_COST_SQL)
+def _(spark, root):
+    return rounded(op.elbow_curve(numbered_lines(spark, root), SEVEN, (1, 7)), "cost", digits=3)
+
+
 PAIRS_SQL = """
     select a.vec_id as id, a.label as own, b.label as other, count(*) as n,
       sum(list_distance(a.embedding::double[], b.embedding::double[])) as total

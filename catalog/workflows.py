@@ -126,6 +126,12 @@ def _(spark, root):
     return two_channel.cluster_patterns(base, op.top_patterns(base, TWO.n_patterns), TWO)
 
 
+@query("c5_elbow")
+def _(spark, root):
+    base = op.materialize(two_base(spark, root))
+    return two_channel.pattern_elbow(base, op.top_patterns(base, TWO.n_patterns), TWO)
+
+
 DAYS2_SQL = f"""
     select channel, pattern, merchant_class, solid_flag, sale_date,
       min(min(launch_date)) over (partition by pattern, merchant_class, channel) as launch_date,
@@ -330,6 +336,11 @@ def _(spark, root):
         stores_base(spark, root)[1], v.stores(spark, root), STORE)
 
 
+@query("c6_elbow")
+def _(spark, root):
+    return store_channel.district_elbow(stores_base(spark, root)[1], v.stores(spark, root), STORE)
+
+
 LAUNCHES3_SQL = f"""
     select pattern, merchant_class, min(launch_date) as launch_date from base3
     where district <> 'EUROPE' and merchant_class in {listed(CLASSES)} group by all"""

@@ -1,20 +1,25 @@
-"""Clustering of patterns: k-means with restarts, elbow costs, silhouettes."""
+"""Clustering of patterns: k-means with restarts, elbow costs, silhouettes.
+
+All fits that are asked for at once, of every number of clusters and every start, go
+through the rows together: a pass adds up, for each centre of each fit, the rows that
+are nearest to it. So a sweep costs as many passes as its slowest fit.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from launchlens.operators.materialize import materialize
+from launchlens.operators.partials import batches_of, combined
 
 __all__ = [
     "Clusters",
@@ -22,6 +27,8 @@ __all__ = [
     "cluster_distances",
     "elbow_curve",
     "kmeans_fit",
+    "kmeans_runs",
+    "kmeans_sweep",
     "one_cluster_cost",
     "silhouette",
     "silhouette_score_squared",
@@ -29,53 +36,164 @@ __all__ = [
 
 #: Rows that a partition of a keyed fit holds at most, as far as the shuffle partitions allow.
 PARTITION_ROWS = 50_000
+#: Rows whose distances to all centres a task holds at a time.
+BLOCK = 256
 
 
 @dataclass
 class Clusters:
-    """A fitted k-means with its clusters numbered from 1 by the order of their centres."""
+    """A k-means fit: centres in ascending order (cluster 1 first), cost, and passes until it stood still."""
 
-    model: KMeansModel
+    centres: np.ndarray
     cols: list[str]
     cost: float
-
-    @property
-    def number(self) -> dict[int, int]:
-        centres = [tuple(c) for c in self.model.clusterCenters()]
-        ordered = sorted(range(len(centres)), key=centres.__getitem__)
-        return {label: n + 1 for n, label in enumerate(ordered)}
-
-
-def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(
-        inputCols=list(cols), outputCol="_features", handleInvalid="skip"
-    ).transform(df)
+    k: int = 0
+    start: int = 0
+    passes: int = 0
 
 
 def _placed(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """Feature vectors; with a key, on the same partition and in the same order every time.
+    """The complete rows as doubles; with a key, on the same partition and in the same order every time.
 
-    k-means draws its starting centres by partition and position. A fit is dozens of
-    passes, so a small frame is one partition.
+    Sums of doubles depend on their order, if only in the last digits. A fit is dozens
+    of passes, so a small frame is one partition.
+    """
+    rows = df.select(*key, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    rows = rows.dropna(subset=[f"_x{i}" for i in range(len(cols))])
+    if key:
+        n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + df.count() // PARTITION_ROWS)
+        rows = rows.repartition(n, *key).sortWithinPartitions(*key)
+    return rows.drop(*key)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the values of each row; equal rows have equal ones."""
+    out = np.full(len(rows), 0x9E3779B97F4A7C15, np.uint64)
+    for column in (rows + 0.0).T:
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + np.ascontiguousarray(column).view(np.uint64))
+    return out
+
+
+def _first_centres(rows: DataFrame, runs: Sequence[tuple[int, int]], width: int) -> np.ndarray | None:
+    """For each (k, seed) the k different rows of least hash; places that no row takes are infinite."""
+    edges = np.cumsum([0, *[k for k, _ in runs]])
+    salts = _mixed(np.array([(seed << 20) + k for k, seed in runs], np.uint64))
+
+    def least(found: np.ndarray) -> np.ndarray:
+        """The least ranks of each run, once each, out of (run, rank, values) rows."""
+        out = np.full((edges[-1], 2 + width), np.inf)
+        for i, (k, _) in enumerate(runs):
+            mine = found[found[:, 0] == i]
+            _, first = np.unique(mine[:, 1], return_index=True)
+            first = first[:k]
+            out[edges[i]: edges[i] + len(first)] = mine[first]
+        return out
+
+    def state(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        best = np.full((edges[-1], 2 + width), np.inf)
+        for block in batches_of(batches, 64 * BLOCK):
+            hashes = _row_hashes(block)
+            hashes, first = np.unique(hashes, return_index=True)
+            block = block[first]
+            candidates = [best]
+            for i, (k, _) in enumerate(runs):
+                rank = (_mixed(hashes ^ salts[i]) >> np.uint64(11)).astype(float)  # 53 bits, exact as a double
+                near = np.argsort(rank, kind="stable")[:k]
+                candidates.append(np.column_stack([np.full(len(near), i), rank[near], block[near]]))
+            best = least(np.concatenate(candidates))
+        return best.ravel()
+
+    found = combined(rows, state, lambda a, b: least(np.concatenate([a.reshape(-1, 2 + width), b.reshape(-1, 2 + width)])).ravel())
+    return None if found is None else found.reshape(-1, 2 + width)[:, 2:]
+
+
+def _pass(rows: DataFrame, centres: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all fits at once: sums and counts of the rows nearest to each centre, and the cost of each fit.
+
+    ``edges`` are the numbers of the first centre of each fit, and of all centres.
     """
-    vectors = _vectors(df.select(*key, *cols), cols)
-    if not key:
-        return vectors
-    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + df.count() // PARTITION_ROWS)
-    return vectors.repartition(n, *key).sortWithinPartitions(*key)
+    count, width, n = len(edges) - 1, centres.shape[1], len(centres)
+
+    def state(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        sums, counts, cost = np.zeros((width, n)), np.zeros(n), np.zeros(count)
+        for block in batches_of(batches, BLOCK):
+            squared = np.zeros((len(block), n))
+            for j in range(width):
+                squared += np.subtract.outer(block[:, j], centres[:, j]) ** 2
+            nearest = np.column_stack([a + squared[:, a:z].argmin(1) for a, z in zip(edges[:-1], edges[1:])])
+            cost += np.take_along_axis(squared, nearest, 1).sum(0)
+            flat = nearest.ravel()
+            counts += np.bincount(flat, minlength=n)
+            for j in range(width):
+                sums[j] += np.bincount(flat, np.repeat(block[:, j], count), minlength=n)
+        return np.concatenate([sums.ravel(), counts, cost])
+
+    found = combined(rows, state, np.add)
+    return found[: width * n].reshape(width, n).T, found[width * n: -count], found[-count:]
+
+
+def kmeans_runs(
+    df: DataFrame,
+    cols: Sequence[str],
+    ks: Sequence[int],
+    n_start: int = 20,
+    max_iter: int = 100,
+    seed: int = 1,
+    key: Sequence[str] = (),
+) -> list[Clusters]:
+    """Every fit of every number of clusters, from ``n_start`` sets of starting rows each.
 
+    A start takes different rows by a hash of their values, so it does not depend on
+    their order. With fewer different rows than clusters each row is a cluster; an
+    empty cluster keeps its centre. Rows with a NULL take no part; without rows
+    there are no fits.
+    """
+    rows = _placed(df, cols, key).persist()
+    try:
+        runs = [(k, seed + start) for k in ks for start in range(n_start if k > 1 else 1)]
+        first = _first_centres(rows, runs, len(cols))
+        if first is None:
+            return []
+        bounds = np.cumsum([0, *[k for k, _ in runs]])
+        centres = [first[a:z] for a, z in zip(bounds[:-1], bounds[1:])]
+        cost, passes = [float("inf")] * len(runs), [0] * len(runs)
+        active = list(range(len(runs)))
+        while active:
+            edges = np.cumsum([0, *[len(centres[i]) for i in active]])
+            sums, counts, costs = _pass(rows, np.concatenate([centres[i] for i in active]), edges)
+            still = []
+            for at, i in enumerate(active):
+                part = slice(edges[at], edges[at + 1])
+                size = counts[part, None]
+                moved = np.where(size > 0, sums[part] / np.maximum(size, 1), centres[i])
+                cost[i] = float(costs[at])
+                if passes[i] < max_iter and not np.array_equal(moved, centres[i]):
+                    centres[i], passes[i] = moved, passes[i] + 1
+                    still.append(i)
+            active = still
+        fits = []
+        for (k, s), c, total, n in zip(runs, centres, cost, passes):
+            c = c[np.isfinite(c).all(1)]
+            fits.append(Clusters(c[np.lexsort(c.T[::-1])], list(cols), total, k, s - seed, n))
+        return fits
+    finally:
+        rows.unpersist()
 
-def _best_of(
-    vectors: DataFrame, k: int, n_start: int, max_iter: int, seed: int, parallelism: int
-) -> KMeansModel:
-    def fit(s: int) -> KMeansModel:
-        return KMeans(
-            k=k, featuresCol="_features", predictionCol="_label", maxIter=max_iter, seed=s
-        ).fit(vectors)
 
-    with ThreadPool(min(parallelism, n_start)) as pool:
-        models = pool.map(fit, range(seed, seed + n_start))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def kmeans_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int], n_start: int = 20, max_iter: int = 100, seed: int = 1,
+                 key: Sequence[str] = ()) -> dict[int, Clusters]:
+    """The cheapest fit of each number of clusters; of equally cheap ones the first start."""
+    best: dict[int, Clusters] = {}
+    for fit in kmeans_runs(df, cols, ks, n_start, max_iter, seed, key):
+        if fit.k not in best or fit.cost < best[fit.k].cost:
+            best[fit.k] = fit
+    return best
 
 
 def kmeans_fit(
@@ -85,28 +203,29 @@ def kmeans_fit(
     n_start: int = 20,
     max_iter: int = 100,
     seed: int = 1,
-    parallelism: int = 8,
     key: Sequence[str] = (),
 ) -> Clusters:
     """The cheapest of several seeded k-means fits.
 
-    ``key`` identifies a row and makes the fit repeat whatever order rows come in.
+    ``key`` identifies a row and makes the fit repeat to the last digit whatever order rows come in.
     """
-    vectors = _placed(df, cols, key).select("_features").persist()
-    try:
-        model = _best_of(vectors, k, n_start, max_iter, seed, parallelism)
-        return Clusters(model, list(cols), model.summary.trainingCost)
-    finally:
-        vectors.unpersist()
+    found = kmeans_sweep(df, cols, [k], n_start, max_iter, seed, key)
+    if not found:
+        raise ValueError("no complete rows to cluster")
+    return found[k]
 
 
 def assign_clusters(df: DataFrame, clusters: Clusters) -> DataFrame:
-    """Adds the ``cluster`` of each row; rows with a NULL feature have none and are left out."""
-    labelled = clusters.model.transform(_vectors(df, clusters.cols))
-    numbers = F.array(*[F.lit(clusters.number[i]) for i in range(len(clusters.number))])
-    return labelled.withColumn(
-        "cluster", F.element_at(numbers, F.col("_label") + 1)
-    ).drop("_features", "_label")
+    """Adds the ``cluster`` of each row, the nearest centre (of equally near ones the first); NULL for a row with a NULL feature."""
+    def distance(centre: np.ndarray):
+        parts = [F.pow(F.col(c).cast("double") - F.lit(float(v)), F.lit(2.0)) for c, v in zip(clusters.cols, centre)]
+        return F.aggregate(F.array(*parts), F.lit(0.0), lambda a, b: a + b)
+
+    near = [F.struct(distance(c).alias("d"), F.lit(i + 1).alias("cluster")) for i, c in enumerate(clusters.centres)]
+    complete = F.lit(True)
+    for c in clusters.cols:
+        complete = complete & F.col(c).isNotNull()
+    return df.withColumn("cluster", F.when(complete, F.array_min(F.array(*near))["cluster"]))
 
 
 def one_cluster_cost(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -126,23 +245,11 @@ def elbow_curve(
     n_start: int = 20,
     max_iter: int = 100,
     seed: int = 1,
-    parallelism: int = 8,
     key: Sequence[str] = (),
 ) -> DataFrame:
-    """Lowest cost found for each number of clusters, as rows (k, cost)."""
-    vectors = _placed(df, cols, key).persist()
-    try:
-        rows = []
-        for k in ks:
-            if k == 1:
-                cost = one_cluster_cost(vectors, cols).first()["cost"]
-            else:
-                best = _best_of(vectors.select("_features"), k, n_start, max_iter, seed, parallelism)
-                cost = best.summary.trainingCost
-            rows.append((k, float(cost)))
-        return df.sparkSession.createDataFrame(rows, "k int, cost double")
-    finally:
-        vectors.unpersist()
+    """Lowest cost found for each number of clusters, as rows (k, cost), out of one sweep."""
+    best = kmeans_sweep(df, cols, ks, n_start, max_iter, seed, key)
+    return df.sparkSession.createDataFrame([(k, best[k].cost) for k in ks if k in best], "k int, cost double")
 
 
 def cluster_distances(
@@ -152,10 +259,12 @@ def cluster_distances(
 
     Returns (id, own, other, n, total). This is all a silhouette needs of the
     distance matrix, so no pair of rows is ever a record: rows are dealt into
-    blocks of about ``block_rows``, each task takes two blocks and adds up
-    their distances in numpy. The work grows with the square of the rows, which
-    exact Euclidean silhouettes cannot avoid, but no group grows; use
-    ``silhouette_score_squared`` where squared distances do, in linear time.
+    blocks of about ``block_rows``, and each unordered pair of blocks is one task's work,
+    which adds up distances in numpy for the rows of both. A block meets each block,
+    itself included, once, so every row is sent once for each block. The work
+    grows with the square of the rows, which exact Euclidean silhouettes cannot avoid,
+    but no group grows; use ``silhouette_score_squared`` where squared distances do, in
+    linear time.
 
     ``vector`` is an array column; see :func:`silhouette` for scalar columns.
     """
@@ -166,15 +275,23 @@ def cluster_distances(
     points = materialize(points.dropna())
     n_blocks = max(1, -(-points.count() // block_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    # Each pair of blocks (a, b) gets a's points as rows and b's as columns.
-    rows = points.select("*", block.alias("a"), F.explode(every).alias("b"), F.lit(True).alias("row"))
-    columns = points.select("*", F.explode(every).alias("a"), block.alias("b"), F.lit(False).alias("row"))
+    met = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    sent = points.select("*", block.alias("mine"), met.alias("met"))
+    pairs = sent.select("*", F.least("mine", "met").alias("a"), F.greatest("mine", "met").alias("b"))
     id_type = points.schema["id"].dataType.simpleString()
     names = ["id", "own", "other", "n", "total"]
 
+    def sums(left: pd.DataFrame, labels: np.ndarray, dist: np.ndarray) -> Iterator[pd.DataFrame]:
+        for other in np.unique(labels):
+            inside = labels == other
+            yield pd.DataFrame({
+                "id": left["id"], "own": left["own"], "other": int(other),
+                "n": int(inside.sum()), "total": dist[:, inside].sum(axis=1),
+            })
+
     def add_up(pair: pd.DataFrame) -> pd.DataFrame:
-        left, right = pair[pair["row"]], pair[~pair["row"]]
+        first, second = pair["a"].iloc[0], pair["b"].iloc[0]
+        left, right = pair[pair["mine"] == first], pair[pair["mine"] == second]
         if left.empty or right.empty:
             return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
         x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
@@ -182,18 +299,13 @@ def cluster_distances(
         for j in range(x.shape[1]):
             squared += np.subtract.outer(x[:, j], y[:, j]) ** 2
         dist = np.sqrt(squared)
-        own = right["own"].to_numpy()
-        parts = []
-        for other in np.unique(own):
-            inside = own == other
-            parts.append(pd.DataFrame({
-                "id": left["id"], "own": left["own"], "other": int(other),
-                "n": int(inside.sum()), "total": dist[:, inside].sum(axis=1),
-            }))
+        parts = [*sums(left, right["own"].to_numpy(), dist)]
+        if first != second:
+            parts += sums(right, left["own"].to_numpy(), dist.T)
         return pd.concat(parts)[names]
 
     return (
-        rows.union(columns).groupBy("a", "b")
+        pairs.groupBy("a", "b")
         .applyInPandas(add_up, f"id {id_type}, own int, other int, n bigint, total double")
         .groupBy("id", "own", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     )
@@ -237,5 +349,6 @@ def silhouette_score_squared(
     df: DataFrame, cols: Sequence[str], cluster: str = "cluster"
 ) -> float:
     """Mean silhouette on squared Euclidean distances, in one pass over the rows."""
-    labelled = _vectors(df, cols).withColumn("_label", F.col(cluster).cast("int"))
+    vectors = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(df.dropna(subset=[*cols, cluster]))
+    labelled = vectors.withColumn("_label", F.col(cluster).cast("int"))
     return ClusteringEvaluator(featuresCol="_features", predictionCol="_label").evaluate(labelled)

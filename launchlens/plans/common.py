@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from launchlens import operators as op
 from launchlens.sources import POS_LINES, WEB_LINES
 
-__all__ = ["Matrix", "clean_pos", "clean_sales", "clean_web", "design_matrix", "evaluate_fit", "split_rows"]
+__all__ = [
+    "Matrix", "clean_pos", "clean_sales", "clean_web", "clustered", "design_matrix", "elbow", "evaluate_fit", "split_rows",
+]
 
 
 def clean_sales(df: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
@@ -31,6 +33,25 @@ def clean_pos(raw: DataFrame) -> DataFrame:
     return clean_sales(op.conform(raw, POS_LINES), "slip", ("net_sale_amount", "sale_quantity"))
 
 
+def clustered(
+    profile: DataFrame, cols: Sequence[str], k: int, starts: int, max_iter: int, seed: int, key: str = "pattern"
+) -> DataFrame:
+    """A profile, one row per key, with cluster, nearest other cluster and silhouette width, on z-scores."""
+    profile = op.materialize(profile)
+    scaled = op.zscore(profile, cols)
+    fit = op.kmeans_fit(scaled, cols, k, starts, max_iter, seed, key=[key])
+    labelled = op.materialize(op.assign_clusters(scaled, fit).select(key, "cluster", *cols))
+    widths = op.silhouette(labelled, key, cols).select(key, "neighbor", "sil_width")
+    return profile.join(labelled.select(key, "cluster"), key, "left").join(widths, key, "left")
+
+
+def elbow(
+    profile: DataFrame, cols: Sequence[str], ks: Sequence[int], starts: int, max_iter: int, seed: int, key: str = "pattern"
+) -> DataFrame:
+    """Least k-means cost of a profile's z-scores for each number of clusters."""
+    return op.elbow_curve(op.zscore(op.materialize(profile), cols), cols, ks, starts, max_iter, seed, key=[key])
+
+
 @dataclass(frozen=True)
 class Matrix:
     """A model table ready to fit: the frame, its target, its feature and identity columns, and the rows left out."""

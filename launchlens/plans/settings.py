@@ -37,6 +37,8 @@ class TwoChannelSettings:
     burst_limit: float = 1000
     clusters: int = 3
     starts: int = 20
+    elbow_starts: int = 20
+    elbow_ks: tuple[int, ...] = tuple(range(1, 16))
     max_iter: int = 100
     log_offset: float = 0.001
     train_share: float = 0.7
@@ -66,6 +68,7 @@ class StoreSettings:
     clusters: int = 4
     starts: int = 50
     elbow_starts: int = 100
+    elbow_ks: tuple[int, ...] = tuple(range(1, 16))
     max_iter: int = 100
     log_offset: float = 1.0
     tails: tuple[float, float] = (0.01, 0.99)

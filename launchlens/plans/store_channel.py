@@ -19,7 +19,7 @@ from launchlens.functions import (
     solid_flag,
     web_discount_flag,
 )
-from launchlens.plans.common import Matrix, design_matrix, evaluate_fit, split_rows
+from launchlens.plans.common import Matrix, clustered, design_matrix, elbow, evaluate_fit, split_rows
 from launchlens.plans.settings import StoreSettings
 
 DEFAULT = StoreSettings()
@@ -120,13 +120,15 @@ def district_profile(
 def cluster_patterns_by_district(
     stores_base: DataFrame, stores: DataFrame, s: StoreSettings = DEFAULT
 ) -> DataFrame:
-    """District profile of each pattern with its k-means cluster."""
-    profile = op.materialize(district_profile(stores_base, stores, s))
-    cols = [c for c in profile.columns if c != "pattern"]
-    scaled = op.zscore(profile, cols)
-    fit = op.kmeans_fit(scaled, cols, s.clusters, s.starts, s.max_iter, s.seed, key=["pattern"])
-    labels = op.assign_clusters(scaled, fit).select("pattern", "cluster")
-    return profile.join(labels, "pattern", "left")
+    """District profile of each pattern with its k-means cluster and silhouette: nearest other cluster and width."""
+    profile = district_profile(stores_base, stores, s)
+    return clustered(profile, [c for c in profile.columns if c != "pattern"], s.clusters, s.starts, s.max_iter, s.seed)
+
+
+def district_elbow(stores_base: DataFrame, stores: DataFrame, s: StoreSettings = DEFAULT) -> DataFrame:
+    """Least k-means cost of the district profiles for each number of clusters: (k, cost)."""
+    profile = district_profile(stores_base, stores, s)
+    return elbow(profile, [c for c in profile.columns if c != "pattern"], s.elbow_ks, s.elbow_starts, s.max_iter, s.seed)
 
 
 def pattern_launches(base: DataFrame, s: StoreSettings = DEFAULT) -> DataFrame:
@@ -208,7 +210,8 @@ def run(
     web_final, pos_final = build_bucketed(web, pos, skus, stores, s)
     base = op.materialize(build_pattern_base(web_final, pos_final, skus, top, s))
     stores_base = model_stores(base, s)
-    clusters = cluster_patterns_by_district(stores_base, stores, s)
+    clusters = op.materialize(cluster_patterns_by_district(stores_base, stores, s))
     launches = op.materialize(pattern_launches(base, s))
     table = model_table_pos(stores_base, launches, clusters, skus, s)
-    return train_linear_family(matrix(table, s), s)
+    found = train_linear_family(matrix(table, s), s)
+    return {**found, "clusters": clusters, "elbow": district_elbow(stores_base, stores, s)}

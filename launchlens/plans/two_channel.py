@@ -18,7 +18,7 @@ from launchlens.functions import (
     solid_flag,
     weighted_mean,
 )
-from launchlens.plans.common import Matrix, design_matrix, evaluate_fit, split_rows
+from launchlens.plans.common import Matrix, clustered, design_matrix, elbow, evaluate_fit, split_rows
 from launchlens.plans.settings import TwoChannelSettings
 
 DEFAULT = TwoChannelSettings()
@@ -81,12 +81,13 @@ def early_profile(base: DataFrame, top: DataFrame) -> DataFrame:
 def cluster_patterns(
     base: DataFrame, top: DataFrame, s: TwoChannelSettings = DEFAULT
 ) -> DataFrame:
-    """Early profile of each top pattern with its k-means cluster."""
-    profile = op.materialize(early_profile(base, top))
-    scaled = op.zscore(profile, PROFILE_COLS)
-    fit = op.kmeans_fit(scaled, PROFILE_COLS, s.clusters, s.starts, s.max_iter, s.seed, key=["pattern"])
-    labels = op.assign_clusters(scaled, fit).select("pattern", "cluster")
-    return profile.join(labels, "pattern", "left")
+    """Early profile of each top pattern with its k-means cluster and silhouette: nearest other cluster and width."""
+    return clustered(early_profile(base, top), PROFILE_COLS, s.clusters, s.starts, s.max_iter, s.seed)
+
+
+def pattern_elbow(base: DataFrame, top: DataFrame, s: TwoChannelSettings = DEFAULT) -> DataFrame:
+    """Least k-means cost of the early profiles for each number of clusters: (k, cost)."""
+    return elbow(early_profile(base, top), PROFILE_COLS, s.elbow_ks, s.elbow_starts, s.max_iter, s.seed)
 
 
 def cannibalisation_metrics(base: DataFrame, top: DataFrame) -> DataFrame:
@@ -190,7 +191,8 @@ def run(
     """The whole workflow from clean lines to model metrics."""
     base = op.materialize(focus(build_sku_daily(web, pos, skus, stores, s), s))
     top = op.materialize(op.top_patterns(base, s.n_patterns))
-    clusters = cluster_patterns(base, top, s)
+    clusters = op.materialize(cluster_patterns(base, top, s))
     overlap = cannibalisation_metrics(base, top)
     table = model_table(base, top, overlap, clusters, s)
-    return train_all(matrix(table, s), s, **train)
+    found = train_all(matrix(table, s), s, **train)
+    return {**found, "clusters": clusters, "elbow": pattern_elbow(base, top, s)}

@@ -70,3 +70,47 @@ def test_elbow(df):
 
 def test_squared_silhouette_score(df):
     assert op.silhouette_score_squared(df.filter("cluster < 4"), ["x", "y"]) > 0.8
+
+
+def lloyd(x, centres):
+    """One fit by hand from given centres, and its cost."""
+    while True:
+        squared = ((x[:, None] - centres[None]) ** 2).sum(-1)
+        label = squared.argmin(1)
+        moved = np.array([x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(len(centres))])
+        if np.array_equal(moved, centres):
+            return squared.min(1).sum()
+        centres = moved
+
+
+def test_every_run_is_a_fit_of_its_own(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(70, 3)).round(3)
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double")
+    runs = op.kmeans_runs(frame.repartition(3), ["a", "b", "c"], (1, 2, 5), n_start=3)
+    assert [(r.k, r.start) for r in runs] == [(1, 0), (2, 0), (2, 1), (2, 2), (5, 0), (5, 1), (5, 2)]
+    for r in runs:
+        assert r.cost == pytest.approx(lloyd(x, r.centres))
+        assert ((x[:, None] - r.centres[None]) ** 2).sum(-1).min(1).sum() == pytest.approx(r.cost)
+    alone = op.kmeans_runs(frame, ["a", "b", "c"], (5,), n_start=1, seed=3)
+    assert alone[0].cost == pytest.approx(runs[-1].cost)
+    assert len({round(r.cost, 6) for r in runs[-3:]}) > 1
+
+
+def test_kmeans_of_few_rows_nulls_and_copies(frame):
+    rows = frame([(1, 0.0, 0.0), (2, 0.0, -0.0), (3, 4.0, 1.0), (4, None, 1.0)] + [(i, 4.0, 1.0) for i in range(5, 60)], "id int, x double, y double")
+    fit = op.kmeans_fit(rows, ["x", "y"], 4, n_start=3)
+    assert fit.cost == 0 and fit.centres.tolist() == [[0, 0], [4, 1]]
+    got = {r.id: r.cluster for r in op.assign_clusters(rows, fit).collect()}
+    assert got[1] == got[2] == 1 and got[3] == got[59] == 2 and got[4] is None
+    with pytest.raises(ValueError):
+        op.kmeans_fit(rows.filter("id = 4"), ["x", "y"], 2)
+    assert op.elbow_curve(rows.filter("id = 4"), ["x", "y"]).count() == 0
+
+
+def test_limited_passes_report_the_cost_of_the_last_centres(spark):
+    x = np.random.default_rng(2).normal(size=(300, 2))
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")
+    fit = op.kmeans_runs(frame, ["a", "b"], (6,), n_start=1, max_iter=2)[0]
+    assert fit.passes == 2
+    assert ((x[:, None] - fit.centres[None]) ** 2).sum(-1).min(1).sum() == pytest.approx(fit.cost)
