@@ -344,25 +344,47 @@ def _(spark, root):
         "term string, estimate double, aic double")
 
 
+def tree_report(rows, y, model) -> DataFrame:
+    """Metrics on the fitted rows and, by fold, on those held out."""
+    fitted = op.regression_metrics(op.obs_pred(model.transform(rows), y, "prediction", None))
+    return fitted.select(F.lit("fitted").alias("part"), F.lit(None).cast("int").alias("fold"), "rmse", "r2", "mae").unionByName(
+        model.resampled.select(F.lit("held out").alias("part"), "fold", "rmse", "r2", "mae"))
+
+
 @query("m17_fit_forest")
 def _(spark, root):
     rows, y, xs = model_rows(spark, root)
-    model = op.fit_forest(rows, y, xs, "fold")
-    return op.regression_metrics(op.obs_pred(model.transform(rows), y, "prediction", None))
+    return tree_report(rows, y, op.fit_forest(rows, y, xs, "fold"))
+
+
+@query("m17_tuning")
+def _(spark, root):
+    rows, y, xs = model_rows(spark, root)
+    return op.fit_forest(rows, y, xs, "fold").tuning
 
 
 @query("m18_fit_boosted")
 def _(spark, root):
     rows, y, xs = model_rows(spark, root)
-    model = op.fit_boosted(rows, y, xs)
-    return op.regression_metrics(op.obs_pred(model.transform(rows), y, "prediction", None))
+    return tree_report(rows, y, op.fit_boosted(rows, y, xs, fold="fold"))
 
 
 @query("m19_fit_bagged")
 def _(spark, root):
     rows, y, xs = model_rows(spark, root)
-    model = op.fit_bagged(rows, y, xs)
-    return op.regression_metrics(op.obs_pred(model.transform(rows), y, "prediction", None))
+    return tree_report(rows, y, op.fit_bagged(rows, y, xs, "fold"))
+
+
+# A column of two values: a tree without drawn rows has one cut, and its leaves are the group means.
+ONE_CUT = {"rounds": 1, "depth": 1, "step": 1.0, "gamma": 0.0, "columns": 1.0, "row_share": 1.1, "min_rows": 1, "penalty": 0.0}
+
+
+@query("m18_one_cut", """
+    select p_partkey, round(avg(p_retailprice) over (partition by p_size > 25), 4) as prediction from part""")
+def _(spark, root):
+    parts = v.load_table(spark, "part", root, ["p_partkey", "p_size", "p_retailprice"]).withColumn("large", (F.col("p_size") > 25).cast("int"))
+    model = op.fit_boosted(parts, "p_retailprice", ["large"], ONE_CUT)
+    return rounded(model.transform(parts).select("p_partkey", "prediction"), "prediction", digits=4)
 
 
 @query("m20_score")

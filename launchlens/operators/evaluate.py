@@ -31,12 +31,12 @@ def regression_metrics(
 ) -> DataFrame:
     """RMSE, R squared and MAE in one aggregate, for the whole frame or by group.
 
-    R squared is the squared correlation of observed and predicted values.
+    R squared is the squared correlation of observed and predicted values, NULL where one of them does not vary.
     """
     o, p = F.col(obs), F.col(pred)
     error = o - p
     return df.groupBy(*by).agg(
         F.sqrt(F.avg(error * error)).alias("rmse"),
-        F.pow(F.corr(o, p), F.lit(2.0)).alias("r2"),
+        F.try_divide(F.pow(F.covar_pop(o, p), F.lit(2.0)), F.var_pop(o) * F.var_pop(p)).alias("r2"),
         F.avg(F.abs(error)).alias("mae"),
     )

@@ -162,23 +162,22 @@ def train_all(
     m: Matrix,
     s: TwoChannelSettings = DEFAULT,
     boosted: dict[str, object] | None = None,
-    candidates: list[dict[str, object]] | None = None,
+    candidates: list[int] | None = None,
 ) -> dict[str, DataFrame]:
-    """Linear, forest, boosted and bagged models: their metrics and importances."""
+    """Linear, forest, boosted and bagged models: metrics, held-out metrics by fold, the forest's tuning table, importances."""
     rows = split_rows(m, s.train_share, s.folds, s.seed)
-    # A rollup, and boosting alone reads it thousands of times: one partition.
-    train = rows.filter("is_train").coalesce(1)
+    train = rows.filter("is_train")
     linear = op.fit_linear(train, m.y, m.xs, fold="fold")
-    forest = op.fit_forest(train, m.y, m.xs, "fold", s.folds, s.forest_trees,
-                           candidates=candidates, seed=s.seed)
-    boost = op.fit_boosted(train, m.y, m.xs, boosted or op.BOOSTED, s.seed)
-    bagged = op.fit_bagged(train, m.y, m.xs, seed=s.seed)
-    metrics = [evaluate_fit(linear.predict(rows), m.y, "linear")]
-    for label, model in (("forest", forest), ("boosted", boost), ("bagged", bagged)):
-        metrics.append(evaluate_fit(model.transform(rows), m.y, label))
+    forest = op.fit_forest(train, m.y, m.xs, "fold", s.forest_trees, candidates=candidates, seed=s.seed)
+    boost = op.fit_boosted(train, m.y, m.xs, boosted or op.BOOSTED, "fold", s.seed)
+    bagged = op.fit_bagged(train, m.y, m.xs, "fold", seed=s.seed)
+    fits = (("linear", linear), ("forest", forest), ("boosted", boost), ("bagged", bagged))
+    scored = [evaluate_fit(fit.predict(rows) if label == "linear" else fit.transform(rows), m.y, label) for label, fit in fits]
+    held = [fit.resampled.select("fold", "rmse", "r2", "mae").withColumn("model", F.lit(label)) for label, fit in fits]
     return {
-        "metrics": reduce(DataFrame.unionByName, metrics),
-        "resampled": linear.resampled,
+        "metrics": reduce(DataFrame.unionByName, scored),
+        "resampled": reduce(DataFrame.unionByName, held),
+        "forest_tuning": forest.tuning,
         "linear_importance": op.importance(rows, linear, top=15),
         "boosted_importance": op.importance(rows, boost, m.xs, top=20),
     }

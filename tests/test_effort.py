@@ -38,8 +38,8 @@ def asked(monkeypatch, query, name):
     ("m2_kmeans_fit", "kmeans_fit", {"n_start": 20, "max_iter": 100}),
     ("m3_elbow_curve", "elbow_curve", {"ks": tuple(range(1, 16)), "n_start": 20, "max_iter": 100}),
     ("m6_assign_clusters", "kmeans_fit", {"n_start": 50, "max_iter": 100}),
-    ("m17_fit_forest", "fit_forest", {"df": (5, "rows"), "n_folds": 5, "trees": 500, "depth": 30, "candidates": None}),
-    ("m18_fit_boosted", "fit_boosted", {"params": op.BOOSTED}),
+    ("m17_fit_forest", "fit_forest", {"df": (5, "rows"), "trees": 500, "depth": 30, "candidates": None}),
+    ("m18_fit_boosted", "fit_boosted", {"params": {"rounds": 450, "depth": 7, "step": 0.03, "gamma": 0.5, "columns": 0.5, "min_rows": 7, "row_share": 0.7, "penalty": 1.0}}),
     ("m19_fit_bagged", "fit_bagged", {"trees": 25, "depth": 30}),
     ("m23_importance", "fit_bagged", {"trees": 25, "depth": 30}),
 ])

@@ -104,7 +104,7 @@ def test_trees_beat_the_mean_and_repeat(df):
     mean = df.agg(F.stddev_pop("y")).first()[0]
     fits = {
         "forest": lambda: op.fit_forest(df, "y", XS, trees=15, depth=6),
-        "boosted": lambda: op.fit_boosted(df, "y", XS, {"maxIter": 15, "maxDepth": 3, "stepSize": 0.3}),
+        "boosted": lambda: op.fit_boosted(df, "y", XS, {"rounds": 15, "depth": 3, "step": 0.3, "gamma": 0}),
         "bagged": lambda: op.fit_bagged(df, "y", XS, trees=10, depth=6),
     }
     for name, fit in fits.items():
@@ -116,9 +116,61 @@ def test_trees_beat_the_mean_and_repeat(df):
 
 
 def test_forest_picks_a_candidate_by_mae(df):
-    model = op.fit_forest(df, "y", XS, "fold", 4, trees=10, depth=5,
-                          candidates=[{"featureSubsetStrategy": "1"}, {"featureSubsetStrategy": "all"}])
-    assert model.stages[-1].getFeatureSubsetStrategy() == "all"
+    model = op.fit_forest(df, "y", XS, "fold", trees=10, depth=5, candidates=[1, len(XS)])
+    table = {r.parameters: r.mae for r in model.tuning.collect()}
+    assert list(table) == ["tried=1", f"tried={len(XS)}"] and model.chosen == {"tried": min(table, key=table.get) == "tried=1" and 1 or len(XS)}
+    held = model.resampled.collect()
+    assert sorted(r.fold for r in held) == sorted({r.fold for r in df.select("fold").collect()})
+    assert np.mean([r.mae for r in held]) == pytest.approx(min(table.values()))
+
+
+def test_held_out_predictions_do_not_see_their_fold(spark):
+    """A target that is the fold's number cannot be known from outside the fold."""
+    rows = spark.createDataFrame([(float(i % 4), float(i % 4), i % 4) for i in range(80)], "y double, x double, fold int")
+    for fit in (op.fit_bagged(rows, "y", ["x"], "fold"), op.fit_boosted(rows, "y", ["x"], {"rounds": 30, "step": 0.3}, "fold")):
+        assert fit.transform(rows).agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 0.5
+        assert min(r.mae for r in fit.resampled.collect()) > 0.5
+
+
+def tree_by_hand(x, y, depth, min_rows):
+    """A regression tree over all cuts between different values: (column, cut, left, right) or a mean."""
+    best = None
+    for j in range(x.shape[1]):
+        for cut in sorted(set(x[:, j]))[:-1]:
+            left = x[:, j] <= cut
+            if min(left.sum(), (~left).sum()) >= min_rows:
+                gain = y[left].sum() ** 2 / left.sum() + y[~left].sum() ** 2 / (~left).sum() - y.sum() ** 2 / len(y)
+                if best is None or gain > best[0] + 1e-9:
+                    best = (gain, j, cut, left)
+    if depth == 0 or best is None or best[0] <= 1e-9:
+        return y.mean()
+    _, j, cut, left = best
+    return (j, cut, tree_by_hand(x[left], y[left], depth - 1, min_rows), tree_by_hand(x[~left], y[~left], depth - 1, min_rows))
+
+
+def test_one_tree_is_the_tree_by_hand(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 9, (120, 3)).astype(float), rng.normal(size=120)
+    rows = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, y double")
+    model = op.fit_boosted(rows, "y", ["a", "b", "c"], {
+        "rounds": 1, "depth": 4, "step": 1.0, "gamma": 0.0, "columns": 1.0, "row_share": 1.1, "min_rows": 6, "penalty": 0.0})
+
+    def value(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    tree = tree_by_hand(x, y - y.mean(), 4, 6)
+    got = {(r.a, r.b, r.c): r.prediction for r in model.transform(rows).collect()}
+    assert all(got[tuple(r)] == pytest.approx(y.mean() + value(tree, r)) for r in x)
+
+
+def test_trees_skip_holes_and_say_null(frame):
+    rows = frame([(float(i % 2), float(i % 2) * 3, i % 2) for i in range(40)] + [(None, 9.0, 0), (1.0, None, 1)], "x double, y double, fold int")
+    model = op.fit_bagged(rows, "y", ["x"], "fold")
+    assert {(r.x, r.prediction) for r in model.transform(rows).collect()} == {(0.0, 0.0), (1.0, 3.0), (None, None)}
+    with pytest.raises(ValueError):
+        op.fit_bagged(rows.filter("x is null"), "y", ["x"])
 
 
 def test_importance_is_scaled(df):
