@@ -170,6 +170,28 @@ def _(spark, root):
     return spark.createDataFrame(names, "dropped string")
 
 
+# Two columns that say nothing new beside quantity, amount and price: one is made of the first two.
+PLANTED = {"qty": "qty", "amount": "amount", "made": "3 * qty - amount / 1000", "seven": "qty * 0 + 7", "retail_price": "retail_price"}
+
+
+def left_share(col: str) -> str:
+    """What quantity and amount leave of a column's variance, as a share of it."""
+    return (f"1 - (var_pop(amount) * covar_pop({col}, qty) * covar_pop({col}, qty) + var_pop(qty) * covar_pop({col}, amount) * covar_pop({col}, amount)"
+            f" - 2 * covar_pop(qty, amount) * covar_pop({col}, qty) * covar_pop({col}, amount))"
+            f" / (var_pop(qty) * var_pop(amount) - power(covar_pop(qty, amount), 2)) / var_pop({col})")
+
+
+@query("m9_linear_combos_planted", with_views(f"""
+    select dropped from (
+      select 'made' as dropped, {left_share('made')} as rest from planted
+      union all select 'retail_price', {left_share('retail_price')} from planted
+      union all select 'seven', var_pop(seven) from planted) where rest <= 1e-6""",
+    "clean", planted=f"select {', '.join(f'{e} as {c}' for c, e in PLANTED.items())} from clean"))
+def _(spark, root):
+    lines = op.materialize(v.clean(spark, root).selectExpr(*[f"{e} as {c}" for c, e in PLANTED.items()]))
+    return spark.createDataFrame([(c,) for c in op.linear_combos(lines, list(PLANTED))], "dropped string")
+
+
 NZV = ("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_suppkey", "one")
 
 
@@ -249,7 +271,7 @@ def _(spark, root):
       round(regr_r2(amount, qty), 6) as r2 from clean""", "clean"))
 def _(spark, root):
     fit = op.fit_linear(op.materialize(v.clean(spark, root).select("amount", "qty")), "amount", ["qty"])
-    row = (round(fit.intercept, 4), round(fit.coefs["qty"], 4), round(fit.summary.summary.r2, 6))
+    row = (round(fit.intercept, 4), round(fit.coefs["qty"], 4), round(fit.summary.r2, 6))
     return spark.createDataFrame([row], "intercept double, slope double, r2 double")
 
 
@@ -308,6 +330,93 @@ def _(spark, root):
     return rounded(rounded(held, "rmse", "mae", digits=3), "r2")
 
 
+SKU_TWO_SQL = f"""
+    select sku, {money_sql('amount')} as y, {money_sql('qty')} as x, count(*)::double as z from clean group by sku"""
+TWO_FOLDS_SQL = FOLDS_SQL.replace("y, x,", "y, x, z,").replace("sku_units", "sku_two")
+# Least squares on two columns, from variances and covariances by group.
+TWO_SUMS = """count(*) as n, avg(x) as mx, avg(z) as mz, avg(y) as my, var_pop(x) as vx, var_pop(z) as vz, var_pop(y) as vy,
+    covar_pop(x, z) as cxz, covar_pop(x, y) as cxy, covar_pop(z, y) as czy"""
+TWO_SLOPES = """*, vx * vz - cxz * cxz as det, (vz * cxy - cxz * czy) / (vx * vz - cxz * cxz) as bx,
+    (vx * czy - cxz * cxy) / (vx * vz - cxz * cxz) as bz"""
+TWO = {"sku_two": SKU_TWO_SQL, "folds": TWO_FOLDS_SQL, "fits": f"""
+    select {TWO_SLOPES}, my - bx * mx - bz * mz as b0, n * (vy - bx * cxy - bz * czy) as rss
+    from (select h.fold, {TWO_SUMS} from (select distinct fold from folds) h join folds t on t.fold <> h.fold
+      group by h.fold)"""}
+
+
+def sku_two(spark, root) -> DataFrame:
+    rows = v.clean(spark, root).groupBy("sku").agg(
+        fn.exact_sum("amount").alias("y"), fn.exact_sum("qty").alias("x"), F.count("*").cast("double").alias("z"))
+    return op.materialize(op.assign_folds(op.materialize(rows), 5, ["sku"], 1234))
+
+
+@query("m14_fit_linear_folds_two", with_views("""
+    select f.fold, round(sqrt(avg(power(y - b0 - bx * x - bz * z, 2))), 3) as rmse,
+      round(power(corr(y, b0 + bx * x + bz * z), 2), 6) as r2, round(avg(abs(y - b0 - bx * x - bz * z)), 3) as mae
+    from fits f join folds r on r.fold = f.fold group by f.fold""", "clean", **TWO))
+def _(spark, root):
+    held = op.fit_linear(sku_two(spark, root), "y", ["x", "z"], fold="fold").resampled
+    return rounded(rounded(held, "rmse", "mae", digits=3), "r2")
+
+
+@query("m14_fold_summary", with_views("""
+    select fold, n, term, round(estimate, 3) as estimate, round(std_error, 3) as std_error, round(estimate / std_error, 4) as t
+    from (
+      select fold, n, 'x' as term, bx as estimate, sqrt(rss / (n - 3) * vz / (n * det)) as std_error from fits
+      union all select fold, n, 'z', bz, sqrt(rss / (n - 3) * vx / (n * det)) from fits
+      union all select fold, n, '(Intercept)', b0,
+        sqrt(rss / (n - 3) * (1 + (mx * mx * vz + mz * mz * vx - 2 * mx * mz * cxz) / det) / n) from fits)""", "clean", **TWO))
+def _(spark, root):
+    rows = sku_two(spark, root)
+    table = op.fold_summary(rows, op.fit_linear(rows, "y", ["x", "z"], fold="fold")).drop("p")
+    return rounded(rounded(table, "estimate", "std_error", digits=3), "t", digits=4)
+
+
+SHARES = (0.9, 0.5, 0.1, 0.01)
+# The path has one bend on two columns: alone up to it is the column that pulls more, then both move to least squares.
+LASSO_TWO_SQL = f"""
+    select share, round(wx / sqrt(n * vx), 5) as x, round(wz / sqrt(n * vz), 5) as z,
+      round(my - mx * wx / sqrt(n * vx) - mz * wz / sqrt(n * vz), 2) as intercept
+    from (select *, case when x_first then own else other end as wx, case when x_first then other else own end as wz
+      from (select *, s * case when goal <= bend then goal else bend + (goal - bend) / (size - bend) * (s * la - bend) end as own,
+          case when goal <= bend then 0 else (goal - bend) / (size - bend) * lb end as other
+        from (select *, share * size as goal
+          from (select *, least((abs(ca) - cb) / (1 - s * r), (abs(ca) + cb) / (1 + s * r)) as bend, abs(la) + abs(lb) as size
+            from (select *, sign(ca) as s, (ca - r * cb) / (1 - r * r) as la, (cb - r * ca) / (1 - r * r) as lb
+              from (select *, case when x_first then cx else cz end as ca, case when x_first then cz else cx end as cb
+                from (select *, abs(cx) >= abs(cz) as x_first
+                  from (select *, cxz / sqrt(vx * vz) as r, n * cxy / sqrt(n * vx) as cx, n * czy / sqrt(n * vz) as cz
+                    from (select {TWO_SUMS} from sku_two))))), (select unnest({list(SHARES)})::double as share)))))"""
+
+
+@query("m15_lasso_shares", with_views(LASSO_TWO_SQL, "clean", sku_two=SKU_TWO_SQL))
+def _(spark, root):
+    rows = sku_two(spark, root)
+    out = []
+    for share in SHARES:
+        fit = op.fit_lasso(rows, "y", ["x", "z"], fractions=[share])
+        out.append((share, round(fit.coefs["x"], 5), round(fit.coefs["z"], 5), round(fit.intercept, 2)))
+    return spark.createDataFrame(out, "share double, x double, z double, intercept double")
+
+
+@query("m15_lasso_path")
+def _(spark, root):
+    rows, y, xs = model_rows(spark, root)
+    return rounded(op.lasso_path(rows, y, xs), "share", "estimate")
+
+
+@query("m16_fit_step_aic_two", with_views(f"""
+    select case when least(ax, az, axz) > a0 then '' when axz <= least(ax, az) then 'x,z'
+        when a0 < least(ax, az) then '' when ax < az then 'x' else 'z' end as terms,
+      round(case when least(ax, az, axz) > a0 then a0 when axz <= least(ax, az) then axz else least(a0, ax, az) end, 4) as aic
+    from (select n * ln(vy) + 2 as a0, n * ln(vy - cxy * cxy / vx) + 4 as ax, n * ln(vy - czy * czy / vz) + 4 as az,
+        n * ln(vy - bx * cxy - bz * czy) + 6 as axz
+      from (select {TWO_SLOPES} from (select {TWO_SUMS} from sku_two)))""", "clean", sku_two=SKU_TWO_SQL))
+def _(spark, root):
+    fit = op.fit_step_aic(sku_two(spark, root), "y", ["x", "z"])
+    return spark.createDataFrame([(",".join(fit.coefs), round(fit.tuning["aic"], 4))], "terms string, aic double")
+
+
 @query("m20_score_one", with_views("""
     select sku, round((select regr_intercept(y, x) from sku_units)
       + (select regr_slope(y, x) from sku_units) * x, 3) as prediction

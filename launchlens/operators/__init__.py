@@ -4,6 +4,7 @@ from launchlens.operators.clean import *  # noqa: F401,F403
 from launchlens.operators.cluster import *  # noqa: F401,F403
 from launchlens.operators.evaluate import *  # noqa: F401,F403
 from launchlens.operators.features import *  # noqa: F401,F403
+from launchlens.operators.gram import *  # noqa: F401,F403
 from launchlens.operators.impute import *  # noqa: F401,F403
 from launchlens.operators.materialize import *  # noqa: F401,F403
 from launchlens.operators.moments import *  # noqa: F401,F403

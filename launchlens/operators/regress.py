@@ -1,9 +1,10 @@
 """Linear models: least squares, lasso by L1 share, backward elimination by AIC.
 
 All three are solved from cross products, which one pass over the rows gathers
-for every fold at once. A fit then costs p x p arithmetic on the driver, and
-k-fold resampling costs one more pass to score, whatever k and however many
-grid points.
+for every fold at once. A fit, its standard errors included, then costs p x p
+arithmetic on the driver, and k-fold resampling costs one more pass to score,
+whatever k and however many grid points. Rows with a NULL take no part in a fit
+and get a NULL prediction.
 """
 
 from __future__ import annotations
@@ -13,23 +14,56 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from launchlens.operators.evaluate import regression_metrics
+from launchlens.operators.gram import LassoPath, Swept, student_p
 from launchlens.operators.moments import CrossProducts, cross_products
 
 __all__ = [
+    "Inference",
     "LinearFit",
     "fit_lasso",
     "fit_linear",
     "fit_step_aic",
+    "fold_summary",
+    "lasso_path",
     "linear_summary",
 ]
 
 
+@dataclass
+class Inference:
+    """What least squares says about its coefficients: NULL for a column that is a combination of earlier ones.
+
+    The terms are the columns in order, then ``(Intercept)``.
+    """
+
+    n: int
+    df: int
+    r2: float | None
+    sigma: float | None
+    estimates: dict[str, float | None]
+    errors: dict[str, float | None]
+
+    def rows(self) -> list[tuple[str, float | None, float | None, float | None, float | None]]:
+        """(term, estimate, std_error, t, p) of every term."""
+        out = []
+        for term, b in self.estimates.items():
+            error = self.errors[term]
+            t = p = None
+            if error:
+                t = b / error
+                p = student_p(t, self.df)
+            out.append((term, b, error, t, p))
+        return out
+
+    @property
+    def t_values(self) -> dict[str, float | None]:
+        return {term: t for term, _, _, t, _ in self.rows()}
+
+
 @dataclass
 class LinearFit:
     """Coefficients in original units, with what resampling said about them."""
@@ -38,7 +72,8 @@ class LinearFit:
     coefs: dict[str, float]
     tuning: dict[str, float] = field(default_factory=dict)
     resampled: DataFrame | None = None
-    summary: LinearRegressionModel | None = None
+    summary: Inference | None = None
+    by_fold: dict[int, Inference] = field(default_factory=dict)
 
     def score(self) -> Column:
         out = F.lit(self.intercept)
@@ -67,10 +102,39 @@ def _split(gram: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray,
     return n, s[:-1, :-1], s[:-1, -1], means[:-1], means[-1], s[-1, -1]
 
 
-def _least_squares(gram: np.ndarray) -> tuple[np.ndarray, float]:
-    _, sxx, sxy, mx, my, _ = _split(gram)
-    b = np.linalg.lstsq(sxx, sxy, rcond=None)[0]
-    return b, float(my - b @ mx)
+def _swept(gram: np.ndarray) -> Swept:
+    _, sxx, sxy, _, _, syy = _split(gram)
+    return Swept(sxx, sxy, syy)
+
+
+def _intercept(gram: np.ndarray, b: np.ndarray) -> float:
+    *_, mx, my, _ = _split(gram)
+    return float(my - b @ mx)
+
+
+def _inference(products: CrossProducts, gram: np.ndarray, swept: Swept, xs: Sequence[str]) -> Inference:
+    n, _, _, mx, my, syy = _split(gram)
+    used, p = swept.cols, len(xs)
+    df = int(round(n)) - len(used) - 1
+    unit, target = products.scale[:p], products.scale[-1]
+    estimates: dict[str, float | None] = dict.fromkeys([*xs, "(Intercept)"])
+    errors: dict[str, float | None] = dict(estimates)
+    slopes = swept.slopes
+    spread = swept.rest / df if df > 0 else None
+    inverse = swept.inverse
+    for at, j in enumerate(used):
+        estimates[xs[j]] = float(slopes[j] * target / unit[j])
+        if spread is not None:
+            errors[xs[j]] = float(math.sqrt(spread * inverse[at, at]) * target / unit[j])
+    fit = _in_units(products, slopes, float(my - slopes @ mx), xs)
+    estimates["(Intercept)"] = fit.intercept
+    if spread is not None:
+        # The point where all columns are 0, as seen from these rows' means.
+        away = (mx + products.mean[:p] / unit)[used]
+        errors["(Intercept)"] = float(math.sqrt(spread * (1 / n + away @ inverse @ away)) * target)
+    return Inference(
+        int(round(n)), df, float(1 - swept.rest / syy) if syy > 0 else None,
+        math.sqrt(spread) * float(target) if spread is not None else None, estimates, errors)
 
 
 def _by_fold(
@@ -88,81 +152,80 @@ def _by_fold(
 def fit_linear(
     df: DataFrame, y: str, xs: Sequence[str], fold: str | None = None
 ) -> LinearFit:
-    """Least squares by Spark's normal-equation solver, with t and p values.
+    """Least squares with standard errors, t and p values, all from the cross products.
 
-    With a fold column, also the metrics of each held-out fold.
+    With a fold column, also the coefficients of the fit without each fold
+    (``by_fold``) and the metrics of each held-out fold. A column that is a
+    combination of those before it gets slope 0 and no statistics.
     """
-    vectors = VectorAssembler(inputCols=list(xs), outputCol="_x", handleInvalid="skip").transform(
-        df.select(F.col(y).cast("double").alias(y), *xs)
-    )
-    model = LinearRegression(featuresCol="_x", labelCol=y, solver="normal").fit(vectors)
-    out = LinearFit(model.intercept, dict(zip(xs, map(float, model.coefficients))), summary=model)
+    products = cross_products(df, [*xs, y], fold)
+
+    def solve(gram: np.ndarray) -> LinearFit:
+        swept = _swept(gram)
+        fit = _in_units(products, swept.slopes, _intercept(gram, swept.slopes), xs)
+        fit.summary = _inference(products, gram, swept, xs)
+        return fit
+
+    out = solve(products.gram())
     if fold:
-        products = cross_products(df, [*xs, y], fold)
-        fits = {f: _in_units(products, *_least_squares(products.gram(f)), xs) for f in products.folds}
+        fits = {f: solve(products.gram(f)) for f in sorted(products.folds)}
+        out.by_fold = {f: fit.summary for f, fit in fits.items()}
         out.resampled = _by_fold(df, y, fold, fits, None)
     return out
 
 
+_SUMMARY = "term string, estimate double, std_error double, t double, p double"
+
+
 def linear_summary(df: DataFrame, fit: LinearFit) -> DataFrame:
     """Coefficient table of a least-squares fit: (term, estimate, std_error, t, p)."""
-    s = fit.summary.summary
-    names = [*fit.coefs, "(Intercept)"]
-    estimates = [*fit.coefs.values(), fit.intercept]
-    rows = [
-        (n, float(e), float(se), float(t), float(p))
-        for n, e, se, t, p in zip(
-            names, estimates, s.coefficientStandardErrors, s.tValues, s.pValues
-        )
-    ]
-    return df.sparkSession.createDataFrame(
-        rows, "term string, estimate double, std_error double, t double, p double"
-    )
+    return df.sparkSession.createDataFrame(fit.summary.rows(), _SUMMARY)
+
+
+def fold_summary(df: DataFrame, fit: LinearFit) -> DataFrame:
+    """The same for the fits without each fold, with the number of rows they saw: (fold, n, term, ...)."""
+    rows = [(f, part.n, *row) for f, part in fit.by_fold.items() for row in part.rows()]
+    return df.sparkSession.createDataFrame(rows, f"fold int, n long, {_SUMMARY}")
 
 
 # --- lasso -----------------------------------------------------------------------
 
-def _lasso_at(sxx: np.ndarray, sxy: np.ndarray, penalty: float, b: np.ndarray) -> np.ndarray:
-    """Coordinate descent on cross products for one penalty, from a starting point."""
-    b = b.copy()
-    for _ in range(10_000):
-        moved = 0.0
-        for j in range(len(b)):
-            if sxx[j, j] <= 0:
-                continue
-            pull = sxy[j] - sxx[j] @ b + sxx[j, j] * b[j]
-            new = math.copysign(max(abs(pull) - penalty, 0.0), pull) / sxx[j, j]
-            moved = max(moved, abs(new - b[j]))
-            b[j] = new
-        if moved < 1e-10:
-            break
-    return b
-
-
-def _lasso_share(gram: np.ndarray, fraction: float) -> tuple[np.ndarray, float]:
-    """Lasso whose L1 norm is a given share of the least-squares one, columns standardised."""
-    _, sxx, sxy, mx, my, _ = _split(gram)
-    lengths = np.sqrt(np.diag(sxx))
-    use = lengths > 1e-9
-    unit = np.where(use, lengths, 1.0)
-    sxx, sxy = sxx / np.outer(unit, unit), sxy / unit
-    full = np.linalg.lstsq(sxx, sxy, rcond=None)[0]
-    if fraction < 1:
-        goal = fraction * np.abs(full).sum()
-        low, high = 0.0, float(np.abs(sxy).max())
-        b = np.zeros(len(full))
-        for _ in range(60):
-            penalty = (low + high) / 2
-            b = _lasso_at(sxx, sxy, penalty, b)
-            if np.abs(b).sum() > goal:
-                low = penalty
-            else:
-                high = penalty
-            if high - low < 1e-12 * max(1.0, high):
-                break
-        full = b
-    b = np.where(use, full / unit, 0.0)
-    return b, float(my - b @ mx)
+def _lasso_path(gram: np.ndarray) -> tuple[LassoPath, np.ndarray]:
+    """The path on standardised columns, and the columns' lengths (0 for a constant one)."""
+    _, sxx, sxy, *_ = _split(gram)
+    lengths = np.sqrt(np.maximum(np.diag(sxx), 0.0))
+    lengths[lengths <= 1e-9] = 0.0
+    unit = np.where(lengths > 0, lengths, 1.0)
+    scaled = sxx / np.outer(unit, unit)
+    scaled[lengths == 0, :] = 0.0
+    scaled[:, lengths == 0] = 0.0
+    return LassoPath.trace(scaled, np.where(lengths > 0, sxy / unit, 0.0)), lengths
+
+
+def _lasso_shares(gram: np.ndarray, shares: Sequence[float]) -> dict[float, np.ndarray]:
+    """Slopes whose L1 norm is each share of the least-squares one, from one path."""
+    path, lengths = _lasso_path(gram)
+    unit = np.where(lengths > 0, lengths, 1.0)
+    return {s: path.at_share(s) / unit for s in shares}
+
+
+def lasso_path(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
+    """The knots of the lasso path: (step, term, share, estimate), estimates in original units.
+
+    ``share`` is the L1 norm of the standardised slopes over that at the end. Between
+    two knots every estimate is linear in the share.
+    """
+    products = cross_products(df, [*xs, y])
+    gram = products.gram()
+    path, lengths = _lasso_path(gram)
+    unit = np.where(lengths > 0, lengths, 1.0)
+    norms = path.norms
+    rows = []
+    for step, slopes in enumerate(path.slopes):
+        fit = _in_units(products, slopes / unit, _intercept(gram, slopes / unit), xs)
+        share = float(norms[step] / norms[-1]) if norms[-1] else 1.0
+        rows += [(step, term, share, b) for term, b in [*fit.coefs.items(), ("(Intercept)", fit.intercept)]]
+    return df.sparkSession.createDataFrame(rows, "step int, term string, share double, estimate double")
 
 
 def fit_lasso(
@@ -172,54 +235,77 @@ def fit_lasso(
     fold: str | None = None,
     fractions: Sequence[float] = (1.0, 0.1, 0.01, 0.001),
 ) -> LinearFit:
-    """Lasso at the L1 share with the lowest resampled RMSE (the first share without folds)."""
+    """Lasso at the L1 share with the lowest resampled RMSE (the first share without folds).
+
+    A share is met exactly on the path, which is followed once for all shares.
+    One pass scores every share of every fold.
+    """
     products = cross_products(df, [*xs, y], fold)
+
+    def solve(gram: np.ndarray, shares: Sequence[float]) -> dict[float, LinearFit]:
+        return {s: _in_units(products, b, _intercept(gram, b), xs)
+                for s, b in _lasso_shares(gram, shares).items()}
+
     scores: dict[float, float] = {}
     best, resampled = fractions[0], None
     if fold:
-        tables = {}
+        fits = {f: solve(products.gram(f), fractions) for f in products.folds}
+        held = _shares_by_fold(df, y, fold, fits, fractions).collect()
         for share in fractions:
-            fits = {f: _in_units(products, *_lasso_share(products.gram(f), share), xs)
-                    for f in products.folds}
-            tables[share] = _by_fold(df, y, fold, fits, None)
-        scored = None
-        for share, table in tables.items():
-            part = table.agg(F.lit(share).alias("share"), F.avg("rmse").alias("rmse"))
-            scored = part if scored is None else scored.union(part)
-        scores = {r["share"]: r["rmse"] for r in scored.collect()}
+            parts = [r["rmse"] for r in held if r["share"] == share and r["rmse"] is not None]
+            scores[share] = sum(parts) / len(parts) if parts else math.inf
         best = min(fractions, key=lambda s: scores[s])
-        resampled = tables[best]
-    out = _in_units(products, *_lasso_share(products.gram(), best), xs)
+        resampled = df.sparkSession.createDataFrame(
+            [(r["fold"], r["rmse"], r["r2"], r["mae"]) for r in held if r["share"] == best],
+            f"`{fold}` int, rmse double, r2 double, mae double")
+    out = solve(products.gram(), [best])[best]
     out.tuning = {"fraction": float(best), **{f"rmse_{s:g}": v for s, v in scores.items()}}
     out.resampled = resampled
     return out
 
 
+def _shares_by_fold(
+    df: DataFrame, y: str, fold: str, fits: dict[int, dict[float, LinearFit]], shares: Sequence[float]
+) -> DataFrame:
+    """Metrics by share and held-out fold: (share, fold, rmse, r2, mae)."""
+    def score(share: float) -> Column:
+        out: Column = F.lit(None).cast("double")
+        for f, fit in fits.items():
+            out = F.when(F.col(fold) == f, fit[share].score()).otherwise(out)
+        return out
+
+    each = F.array(*[F.struct(F.lit(float(s)).alias("share"), score(s).alias("pred")) for s in shares])
+    held = (df.filter(F.col(fold).isNotNull())
+            .select(F.col(fold).cast("int").alias("fold"), F.col(y).alias("obs"), F.explode(each).alias("s"))
+            .select("fold", "obs", "s.share", "s.pred"))
+    return regression_metrics(held, by=["share", "fold"])
+
+
 # --- backward elimination ------------------------------------------------------------
 
-def _backward(gram: np.ndarray) -> tuple[list[int], float]:
-    """Columns left after dropping, one at a time, whichever lowers the AIC most."""
-    n, sxx, sxy, _, _, syy = _split(gram)
+def _backward(gram: np.ndarray) -> tuple[Swept, float]:
+    """The columns left after dropping, one at a time, whichever lowers the AIC most.
 
-    def rss(cols: list[int]) -> float:
-        if not cols:
-            return syy
-        at = np.ix_(cols, cols)
-        return float(syy - sxy[cols] @ np.linalg.lstsq(sxx[at], sxy[cols], rcond=None)[0])
+    All columns are swept in, and each trial reads off what its column holds of
+    the rest of squares. Ties go to the first column; columns that are
+    combinations of earlier ones were never in.
+    """
+    n = gram[0, 0]
+    swept = _swept(gram)
 
-    def aic(cols: list[int]) -> float:
-        return n * math.log(max(rss(cols), 1e-300) / n) + 2 * (len(cols) + 1)
+    def aic(rest: float, columns: int) -> float:
+        return n * math.log(max(rest, 1e-300) / n) + 2 * (columns + 1)
 
-    cols = list(range(len(sxy)))
-    current = aic(cols)
-    while cols:
-        trials = [(aic([c for c in cols if c != drop]), drop) for drop in cols]
+    current = aic(swept.rest, len(swept.cols))
+    while swept.cols:
+        trials = [(aic(rest, len(swept.cols) - 1), col)
+                  for rest, col in zip(swept.rest_without(), swept.cols, strict=True)]
         lowest, drop = min(trials)
         if lowest >= current:
             break
-        cols.remove(drop)
+        swept.drop(drop)
         current = lowest
-    return cols, current
+    return swept, current
 
 
 def fit_step_aic(
@@ -229,11 +315,8 @@ def fit_step_aic(
     products = cross_products(df, [*xs, y], fold)
 
     def solve(gram: np.ndarray) -> tuple[LinearFit, float]:
-        cols, value = _backward(gram)
-        at = [0, *[c + 1 for c in cols], len(xs) + 1]
-        b = np.zeros(len(xs))
-        b[cols], b0 = _least_squares(gram[np.ix_(at, at)])
-        return _in_units(products, b, b0, xs), value
+        swept, value = _backward(gram)
+        return _in_units(products, swept.slopes, _intercept(gram, swept.slopes), xs), value
 
     out, value = solve(products.gram())
     # AIC of the target in its own units.
