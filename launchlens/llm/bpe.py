@@ -11,7 +11,8 @@ Cases: a null text is encoded as an empty one (no ids); repeated rows are
 encoded each; an empty table gives an empty result; words longer than
 ``FOLD_BYTES`` bytes are merged from a heap, because an array fold is quadratic in
 the word's length. Further columns stay; one that is called like the result is
-replaced.
+replaced. Under the public split pattern texts are cut at white space first and each
+distinct stretch is split once; under any other pattern the pattern splits whole texts.
 """
 
 from __future__ import annotations
@@ -144,26 +145,61 @@ def _merge_long(word: bytes, rank_of: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _known_split(pattern: str) -> bool:
+    """Whether texts may be cut by ``_UNITS`` before this pattern splits them."""
+    import public_tokenizers
+
+    return pattern == public_tokenizers.PATTERN
+
+
 def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     """How often each word of the column ``text`` occurs: word, n. Words beyond ``FOLD_BYTES`` bytes are left to their place."""
+    cut = _known_split(pattern)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, split = re.compile(_UNITS), regex.compile(pattern)
+        seen: Counter = Counter()
         for batch in batches:
-            words: Counter = Counter()
-            seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(units.findall(text))
+                    seen.update(units.findall(text) if cut else split.findall(text))
+                if len(seen) >= MEMO_UNITS:
+                    yield words_of(seen, split)
+                    seen = Counter()
+        yield words_of(seen, split)
+
+    def words_of(seen: Counter, split) -> pa.RecordBatch:
+        """A unit is split once, whatever it counts."""
+        words: dict[str, int] = {}
+        if cut:
             for unit, n in seen.items():
                 for word in split.findall(unit):
-                    words[word] += n
-            kept = [(word, n) for word, n in words.items() if len(word.encode()) <= FOLD_BYTES]
-            yield pa.record_batch({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
+                    words[word] = words.get(word, 0) + n
+        else:
+            words = seen
+        kept = [(word, n) for word, n in words.items() if len(word.encode()) <= FOLD_BYTES]
+        return pa.record_batch({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
 
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class _Units(dict):
+    """Ids of a unit as packed 32-bit numbers; the first ``MEMO_UNITS`` units are remembered."""
+
+    def __init__(self, split, ids_of: dict[str, bytes], rank_of: dict[bytes, int]) -> None:
+        self._split, self._ids_of, self._rank_of = split, ids_of, rank_of
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.ids(unit)
+        if len(self) < MEMO_UNITS:
+            self[unit] = found
+        return found
+
+    def ids(self, text: str) -> bytes:
+        return b"".join([self._ids_of.get(word) or np.array(merge_word(word.encode(), self._rank_of), np.int32).tobytes()
+                         for word in self._split.findall(text)])
+
+
 def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text: str = "text", ids: str = "ids", cache_words: int = 300_000) -> DataFrame:
     """``docs`` with the column ``ids`` (array<int>, never null): the ids of the text without special tokens.
 
@@ -184,25 +220,14 @@ def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text: str = "text
     kept = [c for c in docs.columns if c != ids]
     place = kept.index(text)
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, split = re.compile(_UNITS), regex.compile(pattern)
-        ids_of, rank_of, memo = _worker_tables(serial, known, pieces)
-
-        def of_unit(unit: str) -> list[int]:
-            found: list[int] = []
-            for word in split.findall(unit):
-                found += ids_of.get(word) or merge_word(word.encode(), rank_of)
-            if len(memo) < MEMO_UNITS:
-                memo[unit] = found
-            return found
+    cut = _known_split(pattern)
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, memo = re.compile(_UNITS), _worker_units(serial, known, pieces, pattern)
+        of_unit = memo.__getitem__
         for batch in slices(batches, text):
-            rows = []
-            for value in batch.column(place).to_pylist():
-                row: list[int] = []
-                for unit in units.findall(value or ""):
-                    row += memo.get(unit) or of_unit(unit)
-                rows.append(pa.array(row, pa.int32()))
+            values = [value or "" for value in batch.column(place).to_pylist()]
+            rows = [b"".join(map(of_unit, units.findall(value))) if cut else memo.ids(value) for value in values]
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(rows)], [*batch.schema.names, ids])
 
     rest = docs.select(*[F.col(f"`{c}`") for c in kept])
@@ -212,19 +237,25 @@ def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text: str = "text
 _held: dict = {}
 
 
-def _worker_tables(serial: str, known, pieces: list[bytes]) -> tuple[dict, dict, dict]:
-    """The word table, the ranks and the splits seen so far; a worker keeps them from task to task of one encoding."""
+def _worker_units(serial: str, known, pieces: list[bytes], pattern: str) -> _Units:
+    """The units seen so far, over the word table and the ranks; a worker keeps them from task to task of one encoding."""
     if serial not in _held:
         words = pa.ipc.open_stream(known.value).read_all()
-        ids_of = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
+        column = words.column("ids").combine_chunks()
+        packed = column.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+        ends = column.offsets.to_numpy() * 4
+        ids_of = {word: packed[start:end] for word, start, end in
+                  zip(words.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
         _held.clear()
-        _held[serial] = ids_of, {piece: rank for rank, piece in enumerate(pieces)}, {}
+        _held[serial] = _Units(regex.compile(pattern), ids_of, {piece: rank for rank, piece in enumerate(pieces)})
     return _held[serial]
 
 
-def _lists(rows: list[pa.Array]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(rows))
+def _lists(rows: list[bytes]) -> pa.Array:
+    """One list of ids for each row of packed numbers."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int64) // 4
+    values = pa.array(np.frombuffer(b"".join(rows), np.int32), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
 
 def decode(docs: DataFrame, pieces: list[bytes], ids: str = "ids", out: str = "decoded") -> DataFrame:

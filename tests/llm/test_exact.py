@@ -227,3 +227,15 @@ def test_bpe(spark, tokenizer):
 def test_bpe_digests(spark, tokenizer):
     row = bpe.digests(spark.createDataFrame([(1, None)], DOCS), *tokenizer).first()
     assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
+
+
+def test_bpe_with_another_pattern(spark, tokenizer):
+    import tiktoken
+
+    pieces, _ = tokenizer
+    pattern = r"[a-z]+ [a-z]+|\s+|[^\s]"  # joins words that the public pattern keeps apart
+    wanted = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
+    texts = ["the cat sat on the mat", "", None, "a  b\n\nc d e", "über the"]
+    frame = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: r.ids for r in bpe.encode(frame, pieces, pattern).collect()}
+    assert got == {i: wanted.encode_ordinary(text or "") for i, text in enumerate(texts)}
