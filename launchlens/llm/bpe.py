@@ -22,6 +22,7 @@ import heapq
 import json
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -110,15 +111,17 @@ def merge_word(word: bytes, rank_of: dict[bytes, int]) -> list[int]:
     """The same merges for a word that stands in no table; long ones from a heap of pairs over a linked list of parts."""
     if len(word) > FOLD_BYTES:
         return _merge_long(word, rank_of)
-    parts = [word[i:i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        ranks = [rank_of.get(left + right, _NONE) for left, right in zip(parts, parts[1:], strict=False)]
-        best = min(ranks)
-        if best == _NONE:
-            break
+    get, starts = rank_of.get, list(range(len(word) + 1))
+    ranks = [get(word[i:i + 2], _NONE) for i in range(len(word) - 1)]
+    while ranks and (best := min(ranks)) != _NONE:
         at = ranks.index(best)
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return [rank_of[part] for part in parts]
+        del ranks[at], starts[at + 1]
+        # Only the pairs on either side of the new part have changed.
+        if at:
+            ranks[at - 1] = get(word[starts[at - 1]:starts[at + 1]], _NONE)
+        if at < len(ranks):
+            ranks[at] = get(word[starts[at]:starts[at + 2]], _NONE)
+    return [rank_of[word[i:j]] for i, j in zip(starts, starts[1:], strict=False)]
 
 
 def _merge_long(word: bytes, rank_of: dict[bytes, int]) -> list[int]:
@@ -196,7 +199,7 @@ class _Units(dict):
         return found
 
     def ids(self, text: str) -> bytes:
-        return b"".join([self._ids_of.get(word) or np.array(merge_word(word.encode(), self._rank_of), np.int32).tobytes()
+        return b"".join([self._ids_of.get(word) or array("i", merge_word(word.encode(), self._rank_of)).tobytes()
                          for word in self._split.findall(text)])
 
 
