@@ -118,8 +118,10 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     """``docs`` without the rows whose text is contaminated; all columns stay."""
     found = find_hits(docs.select("doc_id", "text"), benchmark, window)
     bad = _once(found.where(contaminated(F.col("n_hit"), F.col("n_words"))), "n_words")
-    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
-    return keyed.join(bad, F.col("__text_key").eqNullSafe(F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti").drop("__text_key")
+    # The row travels as one column, so that no name of its own meets those of the join.
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    same = F.col("key").eqNullSafe(F.col("hit_key")) & F.col("id").eqNullSafe(F.col("hit_id"))
+    return keyed.join(bad, same, "left_anti").select("row.*")
 
 
 def _once(hits: DataFrame, column: str) -> DataFrame:

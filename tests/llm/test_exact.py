@@ -159,7 +159,9 @@ def test_decontaminate(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.find_hits(spark.createDataFrame(rows, DOCS), items).collect()}
     assert got == {1: (15, 13, ["1", "4"]), 2: (4, 2, ["2"]), 3: (0, 0, []), 4: (0, 0, []), 5: (12, 0, []), 6: (5003, 2, ["2"]), None: (2, 2, ["2"])}
     docs = spark.createDataFrame(rows, DOCS)
-    assert sorted(r.doc_id for r in decontaminate.remove_documents(clashing(docs), items).collect()) == [3, 4, 5, 6]
+    taken = clashing(docs).withColumns({"hit_id": F.col("doc_id"), "hit_key": F.lit(1), "row": F.lit(2), "key": F.lit(3)})
+    left = decontaminate.remove_documents(taken, items)
+    assert left.columns == taken.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6]
     cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, items).collect()}
     assert cut[1] == "x y" and cut[2] == "a b" and cut[6].split() == ["short"] + ["z"] * 5000
     assert decontaminate.find_hits(docs, items.limit(0)).where("n_hit > 0").count() == 0

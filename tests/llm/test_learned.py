@@ -61,9 +61,11 @@ def test_ngram_lm(spark):
     alone = lambda w: (seen[w] + 1) / (n + v + 1)
     kept = {p: (c - ngram_lm.DISCOUNT) / contexts[p[0]] for p, c in pairs.items() if c >= ngram_lm.KEPT}
     weight = {x: max(1e-9, 1 - sum(p for (a, _), p in kept.items() if a == x)) / (1 - sum(alone(w) for a, w in kept if a == x)) for x in contexts}
-    frame = spark.createDataFrame(rows, DOCS).withColumns({"part": F.lit(7), "n_known": F.lit("x"), "held": ~F.lit(False)}).drop("n_known")
+    frame = spark.createDataFrame(rows, DOCS).withColumns({"part": F.lit(7), "n_known": F.lit("x"), "score": F.lit(1), "learn": F.lit("own"), "row": F.lit(2), "n_tokens": F.lit(3)})
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
-    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score(frame, learn).collect())
+    scored = ngram_lm.score(frame, learn).collect()
+    assert {(r.learn, r.row, r.part) for r in scored} == {("own", 2, 7)}
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in scored)
     want = []
     for (d, _), own in zip(rows, tokens, strict=True):
         total = math.log10(alone(own[0]))
