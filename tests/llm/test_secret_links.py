@@ -137,3 +137,16 @@ def test_query_against_brute_force(spark):
     df = QUERIES["op13_secret_links"](spark, ROOT)
     assert df.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_query_counts_base_spans_by_kind(spark, frame, tmp_path):
+    access, run = "AKIA" + "Z8" * 9, "0a1b" * 8
+    texts = [None, "", "password=hunter22", run, f"{run} {access}", f"token: abcdefgh {access} {run} secret=abcdefgh", f"{access} " * 3 + f"api_key='{run}'"]
+    frame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, text in enumerate(texts):
+        kinds = [k for _, k, _ in by_hand(text or "")]
+        want.append((i, *map(kinds.count, range(3))))
+    got = QUERIES["op13_secret_links"](spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex").collect()
+    assert sorted(map(tuple, got)) == want
+    assert want[-2:] == [(5, 2, 1, 1), (6, 1, 3, 1)]
