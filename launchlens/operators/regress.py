@@ -155,8 +155,8 @@ def fit_linear(
     """Least squares with standard errors, t and p values, all from the cross products.
 
     With a fold column, also the coefficients of the fit without each fold
-    (``by_fold``) and the metrics of each held-out fold. A column that is a
-    combination of those before it gets slope 0 and no statistics.
+    (``by_fold``) and the metrics of each held-out fold, NULL for a fold that holds all
+    rows. A column that is a combination of those before it gets slope 0 and no statistics.
     """
     products = cross_products(df, [*xs, y], fold)
 
@@ -168,7 +168,7 @@ def fit_linear(
 
     out = solve(products.gram())
     if fold:
-        fits = {f: solve(products.gram(f)) for f in sorted(products.folds)}
+        fits = {f: solve(products.gram(f)) for f in sorted(products.folds) if len(products.folds) > 1}
         out.by_fold = {f: fit.summary for f, fit in fits.items()}
         out.resampled = _by_fold(df, y, fold, fits, None)
     return out

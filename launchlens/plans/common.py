@@ -72,7 +72,8 @@ def design_matrix(
     The model table is a rollup, small beside the sales, and every step from
     here on reads it again, so it is materialised first. A row with a hole cannot be
     fitted: ``missing`` says whether it is left out, and then listed in ``left_out``
-    with the columns at fault, or whether it is an error (``raise``).
+    with the columns at fault, or whether it is an error (``raise``). Where all rows are
+    left out, the matrix has no rows and no features.
     """
     if missing not in ("leave_out", "raise"):
         raise ValueError(f"missing must be leave_out or raise, not {missing}")
@@ -89,7 +90,8 @@ def design_matrix(
     table = rows.filter(F.col("_missing") == "").drop("_missing")
     coded, dummies = op.one_hot(table, categorical)
     xs = [*numeric, *dummies]
-    redundant = set(op.linear_combos(coded, xs))
+    # Without a complete row every column is a constant, and constants go.
+    redundant = set(xs) if table.isEmpty() else set(op.linear_combos(coded, xs))
     xs = [x for x in xs if x not in redundant]
     return Matrix(op.materialize(coded.select(y, *xs, *held)), y, xs, list(held), left_out)
 

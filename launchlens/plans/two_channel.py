@@ -37,6 +37,14 @@ NUMERIC = (
 )
 CATEGORICAL = ("channel", "merchant_class", "solid_flag", "cluster", "month")
 IDS = ("pattern", "launch_date", "merchant_class", "month", "season")
+#: Schemas of what training returns.
+RESULTS = {
+    "metrics": "model string, part string, rmse double, r2 double, mae double",
+    "resampled": "fold int, rmse double, r2 double, mae double, model string",
+    "forest_tuning": "candidate int, parameters string, rmse double, r2 double, mae double",
+    "linear_importance": "variable string, importance double",
+    "boosted_importance": "variable string, importance double",
+}
 
 
 def build_sku_daily(
@@ -164,7 +172,12 @@ def train_all(
     boosted: dict[str, object] | None = None,
     candidates: list[int] | None = None,
 ) -> dict[str, DataFrame]:
-    """Linear, forest, boosted and bagged models: metrics, held-out metrics by fold, the forest's tuning table, importances."""
+    """Linear, forest, boosted and bagged models: metrics, held-out metrics by fold, the forest's tuning table, importances.
+
+    A matrix without rows or features has nothing to fit, and all of these are empty.
+    """
+    if not m.xs or m.df.isEmpty():
+        return {name: m.df.sparkSession.createDataFrame([], schema) for name, schema in RESULTS.items()}
     rows = split_rows(m, s.train_share, s.folds, s.seed)
     train = rows.filter("is_train")
     linear = op.fit_linear(train, m.y, m.xs, fold="fold")
