@@ -2,6 +2,7 @@
 
 import dataclasses
 
+import numpy as np
 import pytest
 
 from launchlens.plans import two_channel
@@ -31,3 +32,55 @@ def test_training_on_few_rows(spark, n):
     for name, schema in two_channel.RESULTS.items():
         assert found[name].columns == [c.split()[0] for c in schema.split(", ")]
         assert found[name].count() > 0 or not m.xs
+
+
+def test_dealt_blocks_hold_every_row_once_and_pools_their_share(spark, monkeypatch):
+    from launchlens.operators import trees
+
+    rows = spark.createDataFrame([(float(i), i % 3, bytes([i % 7, i % 2])) for i in range(3000)], "y double, fold int, codes binary").repartition(4)
+    bins = trees.Bins([np.arange(6.0), np.array([0.0])])
+
+    def seen(limit, folds, chunks):
+        monkeypatch.setattr(trees, "POOL_ROWS", limit)
+
+        def grow(codes, y, candidate, out, chunk):
+            assert len(codes) == len(y) and (codes[:, 0] == y % 7).all() and (codes[:, 1] == y % 2).all()
+            assert out < 0 or (y % 3 != out).all()
+            return len(y), np.zeros(1, trees._NODE), np.array([y.sum(), len(set(y.tolist()))])
+
+        return {(r["candidate"], r["out"], r["chunk"]): (r["trees"], *r["gains"]) for r in trees._grown(rows, 3000, grow, bins, 2, chunks, folds).collect()}
+
+    whole = seen(5000, [-1, 0, 2], 2)
+    assert len(whole) == 12 and all(v[0] == v[2] == (3000 if k[1] < 0 else 2000) for k, v in whole.items())
+    pools = seen(1000, [-1], 3)
+    assert len(pools) == 6 and all(850 < v[0] < 1150 for v in pools.values())
+    assert pools[0, -1, 0] == pools[1, -1, 0] and len({v[1] for v in pools.values()}) == 3
+
+
+def test_trees_try_only_columns_that_are_drawn_and_leave_small_nodes():
+    from launchlens.operators import trees
+
+    draw = np.random.default_rng(1)
+    codes = np.column_stack([draw.integers(0, 8, 400), draw.integers(0, 2, 400)]).astype(np.uint8)
+    y = codes[:, 0] * 2.0 + codes[:, 1] + draw.random(400)
+    weight = np.ones((1, 400), np.int64)
+    starts = np.array([0, 8, 10])
+    one, gains = trees._grow(codes, starts, y, weight, 2, np.array([[False, True]]), 5, 5.0, 0.0, 0.0, draw)
+    assert gains[0] == 0 and len(one) == 3 and one["feature"][0] == 1
+    assert one["value"][1:].tolist() == pytest.approx([y[codes[:, 1] == k].mean() for k in (0, 1)])
+    best = min(((y[codes[:, 0] <= c].var() * (codes[:, 0] <= c).sum() + y[codes[:, 0] > c].var() * (codes[:, 0] > c).sum()), c) for c in range(7))
+    full, _ = trees._grow(codes, starts, y, weight, 2, None, 30, 5.0, 0.0, 0.0, draw)
+    assert (full["feature"][0], full["cut"][0]) == (0, best[1])
+    calls = []
+    inner = trees._best_cuts
+
+    def watched(codes, bins, asked, row, node, w, wy, size, *rest):
+        calls.append((len(asked), float(size[asked].min())))
+        return inner(codes, bins, asked, row, node, w, wy, size, *rest)
+
+    trees._best_cuts = watched
+    try:
+        trees._grow(codes, starts, y, weight, 1, None, 30, 5.0, 0.0, 0.0, draw)
+    finally:
+        trees._best_cuts = inner
+    assert all(least >= 10 for _, least in calls)
