@@ -84,3 +84,24 @@ def test_trees_try_only_columns_that_are_drawn_and_leave_small_nodes():
     finally:
         trees._best_cuts = inner
     assert all(least >= 10 for _, least in calls)
+
+
+@pytest.mark.parametrize("limit", [5000, 1000])
+def test_held_out_rows_are_scored_whole_by_trees_that_did_not_see_them(spark, monkeypatch, limit):
+    from launchlens.operators import trees
+
+    rows = spark.createDataFrame([(float(i), i % 3, bytes([i % 7, i % 2])) for i in range(3000)], "y double, fold int, codes binary").repartition(4)
+    bins = trees.Bins([np.arange(6.0), np.array([0.0])])
+    monkeypatch.setattr(trees, "POOL_ROWS", limit)
+
+    def grow(codes, y, candidate, out, chunk):
+        assert (y % 3 != out).all() and (len(y) == 2000 if limit > 3000 else 550 < len(y) < 800)
+        nodes = np.zeros(1, trees._NODE)
+        nodes["left"], nodes["value"] = -1, 100 * candidate + 10 * out + chunk
+        return 1, nodes, np.zeros(2)
+
+    sums = trees._grown(rows, 3000, grow, bins, 2, 3, [0, 1, 2], scored=True)
+    assert "nodes" not in sums.columns
+    got = [tuple(r) for r in trees._held_out(sums, lambda fold: 1000.0 * fold, None).collect()]
+    assert sorted((k, f, o) for k, f, o, _ in got) == [(k, f, float(i)) for k in (0, 1) for f in range(3) for i in range(f, 3000, 3)]
+    assert all(p == pytest.approx(1000 * f + 100 * k + 10 * f + 1) for k, f, _, p in got)
