@@ -115,6 +115,37 @@ def test_suffix_array(spark):
     assert suffix_array.dedup(docs.limit(0)).count() == 0
 
 
+def test_order_only_of_what_may_repeat(monkeypatch):
+    rng = random.Random(5)
+
+    def fresh(n):
+        return bytes(rng.randrange(256) for _ in range(n))
+
+    shared, passage, pair = fresh(230), fresh(240), fresh(260)
+    pieces = [fresh(20) + shared + fresh(100), fresh(50) + shared[10:] + fresh(30), fresh(300), b"a" * 300,
+              passage + fresh(90), fresh(90) + passage, pair, fresh(1) + pair[:-1] + fresh(1)]
+    counts = [1, 1, 1, 1, 1, 1, 2, 1]
+    places = {}
+    for piece, n in zip(pieces, counts, strict=True):
+        for a in range(len(piece) - 199):
+            places[piece[a: a + 200]] = places.get(piece[a: a + 200], 0) + n
+    want = [bytes(places[p[a: a + 200]] > 1 for a in range(len(p) - 199)) for p in pieces]
+    ordered = []
+    order = suffix_array.collection_order
+    monkeypatch.setattr(suffix_array, "collection_order", lambda strings, cap: ordered.extend(strings) or order(strings, cap))
+    assert suffix_array.judge(pieces, [7, 7, 7, 7, 8, 8, 9, 9], [0] * 8, counts) == want
+    assert 0 < sum(map(len, ordered)) < sum(map(len, pieces)) - 300 and b"a" * 300 in ordered
+    assert suffix_array.judge([], [], [], []) == [] and suffix_array.judge([pair], [9], [0], [2]) == [b"\x01" * 61]
+    data = np.frombuffer(shared + shared, np.uint8)
+    hashed = suffix_array._window_hashes(data)
+    assert len(hashed) == 261 and hashed[0] == hashed[230] and len(set(hashed.tolist())) == 230
+    changed = data.copy()
+    for at in range(30, 230):
+        changed[at] ^= 1
+        assert suffix_array._window_hashes(changed)[30] != hashed[30]
+        changed[at] ^= 1
+
+
 def test_jaccard(spark):
     random.seed(3)
     base = [f"w{random.randint(0, 50)}" for _ in range(120)]
