@@ -146,3 +146,15 @@ def test_launch_dates_need_no_window(frame):
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     got = sorted(((r.sku, r.launch_date) for r in out.collect()), key=str)
     assert got == sorted([(1, date(2020, 1, 3)), (1, date(2020, 1, 3)), (2, date(2020, 2, 1)), (None, None)], key=str)
+
+
+def test_rollups_of_days_are_dealt_into_all_partitions(spark):
+    """Adaptive execution would merge these few rows, and any rows up to its advisory size, into one task."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    days = spark.range(40).selectExpr(
+        "id as sku", "date'2020-01-01' as sale_date", "date'2020-01-01' as launch_date", "false as discount_flag", "'1W' as group_tag",
+        "1.5 as totalsales", "1L as trans", "2.0 as units", "0.5 as margins", "3.0 as price")
+    both = op.combine_channels(days.drop("group_tag", "discount_flag"), days.drop("group_tag", "discount_flag"))
+    assert both.rdd.getNumPartitions() == partitions and both.count() == 79
+    buckets = op.bucket_rollup(days.unionByName(days))
+    assert buckets.rdd.getNumPartitions() == partitions and {r.units for r in buckets.collect()} == {4.0}
