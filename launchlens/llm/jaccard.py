@@ -9,9 +9,11 @@ of speed only. Then
 
 1. every node is compared with one pivot for each of its tokens; linked nodes are
    similar and form groups;
-2. the token-group matrix holds each group (in parts of at most ``GROUP`` nodes) with
-   the union of its members' tokens. A node meets the groups of other components with which
-   it shares a rare token. Its overlap with the union bounds its overlap with every
+2. components of fewer than ``GROUP`` nodes that have the same pivot, whether they reached
+   the threshold or just missed it, are one group too, so that a family of near misses
+   is not a group for each of its nodes. The token-group matrix holds each group (in
+   parts of about ``GROUP`` nodes) with the union of its members' tokens. A node meets
+   the groups with nodes of other, larger components with which it shares a rare token. Its overlap with the union bounds its overlap with every
    member, so only groups that reach the bound are opened and compared member by
    member. Counts of tokens by their high bits bound pairs and unions first, so that
    the tokens themselves are fetched for few documents.
@@ -217,21 +219,25 @@ def _pivot_pairs(rare: DataFrame) -> DataFrame:
     return met.where(fits).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
 
 
-def _group_links(rare: DataFrame, labels: DataFrame, bins: DataFrame, table_of: Callable) -> DataFrame:
+def _group_links(rare: DataFrame, labels: DataFrame, pivots: DataFrame, bins: DataFrame, table_of: Callable) -> DataFrame:
     """Links between components: nodes against the groups that they share a rare token with."""
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    placed = labels.join(sizes, "label").select(
-        "node", "label", "size", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).alias("part"))
+    least = pivots.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("pivot"))
+    kin = labels.join(least, "node", "left").groupBy("label").agg(
+        F.count("*").alias("size"), F.min(F.coalesce("pivot", "node")).alias("pivot"))
+    kin = kin.select("label", "size", F.when(F.col("size") < GROUP, F.col("pivot")).otherwise(F.col("label")).alias("g"))
+    parts = kin.groupBy("g").agg(F.ceil(F.sum("size") / GROUP).alias("parts"))
+    placed = labels.join(kin.join(parts, "g"), "label").select(
+        "node", "label", "size", "g", F.pmod(F.xxhash64("node"), "parts").alias("p"))
     marked = rare.select("token", "node", "n").join(placed, "node")
     split = marked.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a < z").select("token")
     mixed = settled(marked.join(split, "token", "left_semi"))
-    matrix = mixed.groupBy("token", F.col("label").alias("g"), F.col("part").alias("p"), F.col("size").alias("s")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = mixed.groupBy("token", "g", "p").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.struct("size", "label")).alias("top"))
     # of two components the smaller one asks
-    asks = F.struct("size", "label") < F.struct(F.col("s").alias("size"), F.col("g").alias("label"))
+    asks = F.struct("size", "label") < F.col("top")
     fits = (F.col("n") * UNDER >= F.col("low") * OVER) & (F.col("high") * UNDER >= F.col("n") * OVER)
-    wanted = mixed.join(matrix, "token").where(asks & fits).select("node", "g", "p").distinct()
-    placed = settled(placed.select(F.col("label").alias("g"), F.col("part").alias("p"), F.col("node").alias("member")))
+    wanted = mixed.drop("g", "p").join(matrix, "token").where(asks & fits).select("node", "g", "p").distinct()
+    placed = settled(placed.select("g", "p", F.col("node").alias("member")))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,11 +310,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     def table_of(nodes: DataFrame) -> DataFrame:
         return settled(_token_table(rows, settled(bins.join(nodes, "node", "left_semi").select("owner"))))
 
-    pairs = settled(_can_reach(_pivot_pairs(rare), bins))
+    pivots = settled(_pivot_pairs(rare))
+    pairs = settled(_can_reach(pivots, bins))
     near = settled(_compare_pairs(pairs, table_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
     grouped = components(near)
     lone = rare.select("node").distinct().join(grouped, "node", "left_anti").select("node", F.col("node").alias("label"))
-    more = settled(_group_links(rare, settled(grouped.unionByName(lone)), bins.drop("owner"), table_of))
+    more = settled(_group_links(rare, settled(grouped.unionByName(lone)), pivots, bins.drop("owner"), table_of))
     labels = components(near.unionByName(more))
     named = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left")
     named = named.select("node", F.coalesce("label", "node").alias("label"), "first")

@@ -177,6 +177,37 @@ def test_jaccard(spark):
     assert kept == sorted({c for d, n, c in want if n} | {500, 501})
 
 
+def test_a_family_of_near_misses_meets_groups_not_nodes(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for at in rng.sample(range(150), 3):
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    asked = []
+    settled = jaccard.settled
+
+    def counted(df):
+        out = settled(df)
+        if out.columns == ["node", "g", "p"]:
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "settled", counted)
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.near_groups(docs).collect()) == list(enumerate(label))
+    assert len(set(label)) > 1 and 0 < asked[0] < 300 * 12
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 50), (60, 60)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
