@@ -114,3 +114,13 @@ def test_limited_passes_report_the_cost_of_the_last_centres(spark):
     fit = op.kmeans_runs(frame, ["a", "b"], (6,), n_start=1, max_iter=2)[0]
     assert fit.passes == 2
     assert ((x[:, None] - fit.centres[None]) ** 2).sum(-1).min(1).sum() == pytest.approx(fit.cost)
+
+
+def test_distances_of_a_block_do_not_depend_on_row_order(spark):
+    rows = [(i, [0.1 * i * i, 10.0 ** (i % 7)], i % 2) for i in range(60)]
+    schema = "id long, v array<double>, cluster int"
+    found = [
+        sorted(map(str, op.cluster_distances(spark.createDataFrame(some, schema).coalesce(1), "id", "v").collect()))
+        for some in (rows, rows[::-1], rows[30:] + rows[:30])
+    ]
+    assert found[0] == found[1] == found[2]
