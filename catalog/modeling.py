@@ -275,17 +275,23 @@ def _(spark, root):
     return spark.createDataFrame([row], "intercept double, slope double, r2 double")
 
 
-def model_rows(spark, root, k: int = 5) -> tuple[DataFrame, str, list[str]]:
-    """SKU rows with folds: sales after day 90 from the earlier buckets, products and prices."""
+def model_sums(spark, root) -> DataFrame:
+    """SKU rows: sales after day 90, the earlier buckets, days and prices."""
     days = v.sku_daily(spark, root)
     early = F.col("tag9").isin("1W", "2W", "3W", "2M", "3M")
-    rows = op.dealt(days, "sku").groupBy("sku", "merchant_class", "solid_flag").agg(
+    keys = ["sku", "merchant_class", "solid_flag"]
+    return op.dealt(days, *keys).groupBy(*keys).agg(
         fn.exact_sum(F.when(early, F.col("totalsales")).otherwise(0.0)).alias("early_sales"),
         fn.exact_sum(F.when(early, F.col("units")).otherwise(0.0)).alias("early_units"),
         fn.exact_sum(F.when(~early, F.col("units")).otherwise(0.0)).alias("y"),
         F.count_distinct("sale_date").alias("days"),
         fn.ratio_of_sums("price", "units").alias("avg_price"),
     ).dropna()
+
+
+def model_rows(spark, root, k: int = 5) -> tuple[DataFrame, str, list[str]]:
+    """SKU rows with folds: sales after day 90 from the earlier buckets, products and prices."""
+    rows = model_sums(spark, root)
     coded, dummies = op.one_hot(op.materialize(rows), ["merchant_class", "solid_flag"])
     xs = ["early_sales", "early_units", "days", "avg_price", *dummies[1:-2], dummies[-1]]
     return op.materialize(op.assign_folds(coded, k, ["sku"], 1234)), "y", xs

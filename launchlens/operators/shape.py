@@ -63,6 +63,7 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     Adaptive execution merges other shuffles until a partition has its advisory size, and
     puts joins and aggregates that agree on their keys into one task, which then holds
     several hash tables of all its rows at once. A counted deal is not merged and
-    begins a stage, so what a task holds shrinks with the number of partitions.
+    begins a stage, so what a task holds shrinks with the number of partitions. Spark leaves
+    out a deal by just the keys that the rows were joined by, so these are not enough.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

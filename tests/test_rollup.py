@@ -3,6 +3,7 @@ import datetime as dt
 from launchlens import operators as op
 
 D = dt.date
+SF = "/root/testdata/sf0.001"
 MEASURES = "totalsales double, trans long, units double, margins double, price double"
 
 
@@ -158,3 +159,21 @@ def test_rollups_of_days_are_dealt_into_all_partitions(spark):
     assert both.rdd.getNumPartitions() == partitions and both.count() == 79
     buckets = op.bucket_rollup(days.unionByName(days))
     assert buckets.rdd.getNumPartitions() == partitions and {r.units for r in buckets.collect()} == {4.0}
+
+
+def shuffled_joins_plan(spark, build):
+    """The plan of a frame where no table is small enough to be sent to all tasks."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_model_rows_are_summed_in_a_stage_of_their_own(spark):
+    from catalog import modeling
+
+    # Days are joined by SKU: a deal by SKU alone would be left out of the plan.
+    plan = shuffled_joins_plan(spark, lambda: modeling.model_sums(spark, SF))
+    assert plan.count("REPARTITION_BY_NUM") == 1
