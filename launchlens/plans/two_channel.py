@@ -59,11 +59,10 @@ def build_sku_daily(
     # The launch looks at all stores' sales, so it comes before any is left out.
     store_days = op.with_launch(op.daily_rollup(pos, op.POS_SPEC, ["store"]), skus, "inner")
     store_days = op.exclude_values(store_days, "store", s.excluded_stores)
-    district_days = op.rollup_to(
-        op.enrich(store_days, stores, "store", ["district", "store_type"])
-        .filter(F.col("store_type") == s.store_type),
-        ["sku", "district", "sale_date", "launch_date"],
-    )
+    by = ["sku", "district", "sale_date", "launch_date"]
+    placed = op.enrich(store_days, stores, "store", ["district", "store_type"]).filter(F.col("store_type") == s.store_type)
+    # Without the deal the sums would stay in the task that joined and sorted the SKU's days, with two tables of them.
+    district_days = op.rollup_to(op.dealt(placed.select(*by, *op.MEASURES), *by), by)
     both = op.enrich_sku(
         op.combine_channels(web_days, district_days.drop("district")), skus, list(s.product_cols)
     )

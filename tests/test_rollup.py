@@ -177,3 +177,11 @@ def test_model_rows_are_summed_in_a_stage_of_their_own(spark):
     # Days are joined by SKU: a deal by SKU alone would be left out of the plan.
     plan = shuffled_joins_plan(spark, lambda: modeling.model_sums(spark, SF))
     assert plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_district_days_are_summed_in_a_stage_of_their_own(spark):
+    from catalog import workflows
+
+    plan = shuffled_joins_plan(spark, lambda: workflows.two_sku_daily(spark, SF))
+    deals = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(deals) == 2 and sum("district" in line for line in deals) == 1
