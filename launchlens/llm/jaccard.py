@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from launchlens.llm.components import components
 from launchlens.llm.repeats import repeated_names
-from launchlens.llm.store import settled
+from launchlens.llm.store import release, settled
 from launchlens.llm.text import LOWER, flat, grams, hash_spans, mix, slices, window_rows, word_spans
 
 SHINGLE = 5
@@ -259,6 +259,7 @@ def _group_links(rare: DataFrame, labels: DataFrame, pivots: DataFrame, bins: Da
         F.collect_list("other").alias("others")).mapInArrow(unite, "g long, p long, union binary")
     wanted = settled(wanted.join(bins, "node").join(unions, ["g", "p"]).select("node", "g", "p", "n", "bins", "union").mapInArrow(
         bound, "node long, g long, p long"))
+    release(bins.sparkSession)
     opened = settled(placed.join(wanted.select("g", "p").distinct(), ["g", "p"], "left_semi"))
     table = table_of(wanted.select("node").union(opened.select("member")).distinct())
     members = opened.withColumnRenamed("member", "node").join(table, "node")
@@ -306,16 +307,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
     bins = base.join(rare.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.first("n").alias("n"), F.first("bins").alias("bins"), F.min("owner").alias("owner"))
     bins = settled(bins)
+    release(spark)
 
     def table_of(nodes: DataFrame) -> DataFrame:
-        return settled(_token_table(rows, settled(bins.join(nodes, "node", "left_semi").select("owner"))))
+        table = settled(_token_table(rows, settled(bins.join(nodes, "node", "left_semi").select("owner"))))
+        release(spark)
+        return table
 
     pivots = settled(_pivot_pairs(rare))
     pairs = settled(_can_reach(pivots, bins))
     near = settled(_compare_pairs(pairs, table_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
+    release(spark)
     grouped = components(near)
     lone = rare.select("node").distinct().join(grouped, "node", "left_anti").select("node", F.col("node").alias("label"))
     more = settled(_group_links(rare, settled(grouped.unionByName(lone)), pivots, bins.drop("owner"), table_of))
+    release(spark)
     labels = components(near.unionByName(more))
     named = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left")
     named = named.select("node", F.coalesce("label", "node").alias("label"), "first")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -16,3 +17,13 @@ def settled(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Gives back the disk of shuffles whose results are settled.
+
+    Spark removes a shuffle's files once the driver has collected the frames that made it, which a driver
+    with little garbage may not do before the job ends.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

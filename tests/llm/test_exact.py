@@ -1,8 +1,11 @@
 """Operators with exact results, against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, further columns."""
 
+import glob
 import hashlib
 import random
 import re
+import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from launchlens.llm import bpe, decontaminate, jaccard, kd_shards, substrings, suffix_array, topk
 from launchlens.llm.components import components
+from launchlens.llm.store import settled
 
 DOCS = "doc_id long, text string"
 
@@ -303,3 +307,21 @@ def test_bpe_with_another_pattern(spark, tokenizer):
     frame = spark.createDataFrame(list(enumerate(texts)), DOCS)
     got = {r.doc_id: r.ids for r in bpe.encode(frame, pieces, pattern).collect()}
     assert got == {i: wanted.encode_ordinary(text or "") for i, text in enumerate(texts)}
+
+
+def test_near_groups_leaves_few_shuffle_files(spark):
+    # Files of shuffles that are behind a checkpoint go while the job runs, and not when the driver happens to collect.
+    def files():
+        folder = spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+        return set(glob.glob(f"{folder}/blockmgr-*/*/shuffle_*.data"))
+
+    before = files()
+    settled(spark.range(1000).repartition(7))
+    made = files() - before
+    docs = spark.createDataFrame([(i, numbered(20, i % 5)) for i in range(50)], DOCS)
+    assert made and jaccard.near_groups(docs).count() == 50
+    for _ in range(50):
+        if not made & files():
+            break
+        time.sleep(0.1)
+    assert not made & files()
