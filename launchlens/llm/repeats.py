@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,7 +139,7 @@ def judged_spans(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lists = batch.column("runs")
-            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
             name, begin, count = (a.to_numpy() for a in lists.flatten().flatten())
             order = np.argsort(name.view(np.uint64))
             row, name, begin, count = row[order], name[order].view(np.uint64), begin[order], count[order]

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -190,7 +191,7 @@ def _sparse(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Row and number of every feature of a table's rows."""
     ids = table.column("ids")
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-    return np.repeat(np.arange(len(ids)), pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)), ids.flatten().to_numpy()
+    return np.repeat(np.arange(len(ids)), pc.list_value_length(ids).to_numpy(zero_copy_only=False)), ids.flatten().to_numpy()
 
 
 def _dense(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

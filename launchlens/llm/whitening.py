@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,7 +239,7 @@ def whole_numbers(df: DataFrame, vector: str = "embedding") -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("rounded")
-            sizes = pa.compute.list_value_length(lists).to_numpy()
+            sizes = pc.list_value_length(lists).to_numpy()
             ends = np.concatenate([[0], np.cumsum(sizes)]) * 8
             data = lists.flatten().to_numpy().astype(np.int64).tobytes()
             packed = pa.array([data[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())

@@ -1,11 +1,15 @@
 """Learned operators: held-out accuracy, brute-force models, and the odd cases."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +125,17 @@ def test_toxicity(spark):
     assert toxicity.reject(docs.limit(0), labels).count() == 0
 
 
+def test_lists_are_read_where_only_pyarrow_is_loaded():
+    """A worker that only receives batches has not loaded pyarrow.compute."""
+    batch, sink = pa.record_batch({"ids": pa.array([[3, 4], [], [5]], pa.list_(pa.int32()))}), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    code = ("import sys\nimport pyarrow as pa\nfrom launchlens.llm import toxicity\n"
+            "row, feature = toxicity._sparse(next(pa.ipc.open_stream(sys.stdin.buffer.read())))\n"
+            "assert (row.tolist(), feature.tolist()) == ([0, 0, 2], [3, 4, 5])")
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(corpus_pipeline.__file__), input=sink.getvalue().to_pybytes(), check=True)
+
+
 def dense_loss(x, y, weights, intercept, scale):
     margin = x @ weights + intercept
     return np.logaddexp(0, -np.where(y > 0, 1, -1) * margin).mean() + toxicity.PENALTY * np.abs(weights * scale).sum()
