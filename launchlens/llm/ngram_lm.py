@@ -1,20 +1,23 @@
 """Language-model scoring from an Elias-Fano n-gram trie.
 
-The model is a back-off bigram model. The first level of the trie holds the
+The model is a back-off model of order two or three (the query's: ``ORDER``). The first level of the trie holds the
 words with their probability, back-off weight and a pointer to their followers; the
 second level holds the followers seen at least ``KEPT`` times, numbered relative to
-their context, with their probability. Keys and pointers are monotone and coded by Elias and Fano, logarithms are
+their context, with their probability. The third level holds contexts of two words, numbered by the
+place of the nearer word, with their back-off weight and their followers seen at least ``KEPT`` times; so all
+that a word is scored by is in the shard of the word before it. Keys and pointers are monotone and coded by Elias and Fano, logarithms are
 quantised to 1 / ``STEPS``. A level is a few byte strings in a memory-mapped file, decoded
 when the file is opened; a follower is looked up by the successor of its key in the decoded level.
 
 Probabilities: P(w) = (c + 1) / (N + V + 1), which leaves a share for one unknown
 word; P(w | v) = (c(vw) - ``DISCOUNT``) / c(v) for kept pairs, and otherwise the back-off weight of v
-times P(w), such that each context adds up to one.
+times P(w), such that each context adds up to one. P(w | u v) = (c(uvw) - ``DISCOUNT``) / c(uv) for kept
+sequences, and otherwise the weight of u v times P(w | v), in the same way; a context without kept followers has the weight one.
 
 The trie is sharded by context, so no task holds the whole model, and the model
-grows with the corpus. Pairs are counted for each slice of the texts and added up by
+grows with the corpus. Pairs, with the word behind them for order three, are counted for each slice of the texts and added up by
 the hash of the pair; a shard meets only these sums. To be scored, texts are sent as packed lists
-of (context, follower, document). The occurrences of a shard are dealt by chunk over
+of (context, follower, document, word before). The occurrences of a shard are dealt by chunk over
 as many tasks as its tokens ask for (``PART_TOKENS``), each of which reads the
 shard and then one chunk after the other, adds up integers for each document, and the sums of a chunk
 of documents meet again. Followers are known by ``FOLLOWER_BITS`` bits of their hash.
@@ -41,9 +44,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from launchlens.llm.repeats import _by_part, _squeeze, _swell
-from launchlens.llm.store import settled
+from launchlens.llm.store import release, settled
 from launchlens.llm.text import LOWER, flat, hash_spans, slices, word_spans
 
+#: Words of the longest sequence in the query's model.
+ORDER = 3
 KEPT = 2
 DISCOUNT = 0.75
 STEPS = 4096
@@ -55,6 +60,12 @@ _SHIFT = np.uint64(64 - FOLLOWER_BITS)
 END = np.uint64(0xE0D0E0D0E0D0E0D0)
 #: Fractions of a decimal logarithm in which exact base scores are added up.
 _FINE = 10 ** 12
+#: Values that are turned into bits at a time, a multiple of eight.
+_BLOCK = 1 << 14
+#: Bytes of text that are cut into tokens at a time.
+_SLICE = 6 << 20
+#: What follows an end mark.
+_NONE = np.uint64(0)
 
 
 class EliasFano:
@@ -66,20 +77,23 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         low = max(0, int(np.floor(np.log2(top / max(1, n))))) if top > n else 0
-        bits = (values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
+        packed = b"".join(np.packbits(((values[at: at + _BLOCK, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()).tobytes()
+                          for at in range(0, n, _BLOCK))
         high = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
         unary[high] = 1
-        packed = np.packbits(bits.astype(np.uint8).ravel()).tobytes()
         return np.array([n, low, len(packed)], np.int64).tobytes() + packed + np.packbits(unary).tobytes()
 
     def __init__(self, coded: memoryview | bytes):
         n, low, size = np.frombuffer(coded, np.int64, 3).tolist()
         coded = memoryview(coded)
-        bits = np.unpackbits(np.frombuffer(coded[24:24 + size], np.uint8), count=n * low).reshape(n, low)
+        low_bytes = np.frombuffer(coded[24:24 + size], np.uint8)
         rest = np.zeros(n, np.uint64)
-        for i in range(low):
-            rest |= bits[:, i].astype(np.uint64) << np.uint64(i)
+        for at in range(0, n if low else 0, _BLOCK):
+            block = rest[at: at + _BLOCK]
+            bits = np.unpackbits(low_bytes[at // 8 * low: (at + _BLOCK) // 8 * low], count=len(block) * low).reshape(-1, low)
+            for i in range(low):
+                block |= bits[:, i].astype(np.uint64) << np.uint64(i)
         high = np.flatnonzero(np.unpackbits(np.frombuffer(coded[24 + size:], np.uint8)))[:n] - np.arange(n)
         self.values = (high.astype(np.uint64) << np.uint64(low)) | rest
 
@@ -154,6 +168,21 @@ def _unzip(packed: bytes, n: int) -> list[np.ndarray]:
     return [_swell(packed[a:z]) for a, z in zip([8 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
+def _numbered(*columns: np.ndarray) -> list[np.ndarray]:
+    """The distinct values of columns of one length, and the columns as places in them, each summed up: ``_zip`` keeps differences."""
+    names, at = np.unique(np.concatenate(columns), return_inverse=True)
+    return [names, *np.cumsum(at.reshape(len(columns), -1), axis=1)]
+
+
+def _named(names: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """The columns that ``_numbered`` was given."""
+    return [names[_steps(c)] for c in columns]
+
+
+def _steps(sums: np.ndarray) -> np.ndarray:
+    return np.diff(sums.astype(np.int64), prepend=0)
+
+
 def _part_count(docs: DataFrame, tokens: int = 0) -> int:
     """Ranges of contexts: one for each shuffle partition, more if the tokens ask for it."""
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -174,7 +203,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     parts = _part_count(texts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", _SLICE):
             hashes, _ = _tokens(batch.column("text"))
             words, n = np.unique(np.concatenate([hashes, np.repeat(END, batch.num_rows)]), return_counts=True)
             rows = [(p, _zip(words[at], n[at])) for p, at in _cut(words, parts)]
@@ -200,90 +229,140 @@ def _bigrams(column: pa.Array) -> tuple[np.ndarray, ...]:
     sizes = np.diff(first)
     follower = np.append(hashes[1:], END)[: len(hashes)]
     follower[first[1:][sizes > 0] - 1] = END
-    return hashes, follower >> _SHIFT, np.repeat(np.arange(len(sizes)), sizes), sizes
+    return hashes, follower, np.repeat(np.arange(len(sizes)), sizes), sizes
 
 
-def _summed(context: np.ndarray, follower: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct pairs in order, with the sums of ``n``."""
-    order = np.lexsort((follower, context))
-    context, follower, n = context[order], follower[order], n[order]
-    new = np.ones(len(context), bool)
-    new[1:] = (context[1:] != context[:-1]) | (follower[1:] != follower[:-1])
+def _before(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The word before each word, ``_NONE`` for the first of a row."""
+    before = np.append(_NONE, hashes[:-1])[: len(hashes)]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = _NONE
+    return before
+
+
+def _after_next(follower: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The second word after each word, ``_NONE`` if the next is the end mark."""
+    after = np.append(follower[1:], _NONE)[: len(follower)]
+    after[(np.cumsum(sizes) - 1)[sizes > 0]] = _NONE
+    return after
+
+
+def _summed(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct values of all columns but the last in order, with the sums of the last."""
+    order = np.lexsort(columns[-2::-1])
+    *keys, n = (c[order] for c in columns)
+    new = np.ones(len(n), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in keys], axis=0)
     begin = np.flatnonzero(new)
-    return context[begin], follower[begin], np.add.reduceat(n, begin) if len(begin) else n
+    return *(c[begin] for c in keys), np.add.reduceat(n, begin) if len(begin) else n
+
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pair_counts(texts: DataFrame, parts: int) -> DataFrame:
+def pair_counts(texts: DataFrame, parts: int, order: int = 2) -> DataFrame:
     """part, packed: of a range of contexts, those that a range of pairs has with their number there, and its pairs that occur ``KEPT`` times.
 
     Pairs are added up for a slice first, and meet by the hash of the pair, so a frequent context is dealt over all tasks.
+    With order three they travel with the word behind them, which gives the counts of three words; rows
+    with five further columns hold of a range of middle words: the middle word, the one before, how often
+    the two occur, the third word, and how often the three do, ``KEPT`` times at least.
     """
-    spread = np.uint64(0x9E3779B97F4A7C15)
+    buckets = min(parts, 1 << 16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            context, follower, *_ = _bigrams(batch.column("text"))
-            context, follower, n = _summed(context, follower, np.ones(len(context), np.int64))
-            mixed = (context ^ (follower * spread)) * spread
-            by_bucket = np.argsort(mixed >> np.uint64(64 - 16), kind="stable")
-            context, follower, n = context[by_bucket], follower[by_bucket], n[by_bucket]
-            rows = [(p, _zip(context[at], follower[at], n[at])) for p, at in _cut(mixed[by_bucket], min(parts, 1 << 16))]
+        for batch in slices(batches, "text", _SLICE):
+            context, follower, _, sizes = _bigrams(batch.column("text"))
+            third = [_after_next(follower, sizes)] if order > 2 else []
+            *words, n = _summed(context, follower, *third, np.ones(len(context), np.int64))
+            mixed = (words[0] ^ (words[1] * _SPREAD)) * _SPREAD
+            by_bucket = np.argsort(mixed >> np.uint64(64 - 17), kind="stable")
+            columns = [c[by_bucket] for c in (*words, n)]
+            rows = [(p, _zip(*_numbered(*(c[at] for c in columns[:-1])), columns[-1][at])) for p, at in _cut(mixed[by_bucket], buckets)]
             yield pa.record_batch({"part": pa.array([p for p, _ in rows], pa.int32()), "packed": pa.array([b for _, b in rows], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_part(batches):
-            context, follower, n = _summed(*(np.concatenate(c) for c in zip(*[_unzip(b, 3) for _, b in held], strict=True)))
-            rows = []
+            pieces = (_unzip(b, order + 2) for _, b in held)
+            *words, n = _summed(*(np.concatenate(c) for c in zip(*[(*_named(*words), n) for *words, n in pieces], strict=True)))
+            rows = list(_threes(*words, n, parts)) if order > 2 else []
+            context, follower, n = _summed(words[0], words[1] >> _SHIFT, n)
             for part, at in _cut(context, parts):
-                words, place = np.unique(context[at], return_inverse=True)
+                own, place = np.unique(context[at], return_inverse=True)
                 kept = n[at] >= KEPT
                 total = np.bincount(place, n[at].astype(float)).astype(np.int64)
-                rows.append((part, _zip(*(_whole(c) for c in (words, total, context[at][kept], follower[at][kept], n[at][kept])))))
+                columns = (own, total, context[at][kept], follower[at][kept], n[at][kept])
+                rows.append((part, _zip(*(_whole(c) for c in columns), *_EMPTY)))
             yield pa.record_batch({"part": pa.array([p for p, _ in rows], pa.int32()), "packed": pa.array([b for _, b in rows], pa.binary())})
 
     packed = texts.mapInArrow(count, "part int, packed binary").repartition("part").sortWithinPartitions("part")
     return packed.mapInArrow(add, "part int, packed binary")
 
 
+_EMPTY = [np.zeros(0, np.uint64)] * 5
+
+
+def _threes(first: np.ndarray, middle: np.ndarray, third: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """By range of the middle word, the sequences of three that occur ``KEPT`` times, with the number of the two before."""
+    new = np.ones(len(n), bool)
+    new[1:] = (first[1:] != first[:-1]) | (middle[1:] != middle[:-1])
+    both = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1] if len(n) else n
+    kept = (n >= KEPT) & (third != _NONE)
+    columns = [c[kept] for c in (middle, first >> _SHIFT, both, third >> _SHIFT, n)]
+    order = np.argsort(columns[0], kind="stable")
+    columns = [_whole(c[order]) for c in columns]
+    for part, at in _cut(columns[0], parts):
+        yield part, _zip(*_EMPTY, *(c[at] for c in columns))
+
+
 def _whole(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values).astype(np.uint64)
 
 
 def model_shards(counts: DataFrame) -> DataFrame:
-    """part, packed: the contexts of a range with their counts, and the pairs kept in order: place of the context, follower, count."""
+    """part, packed: the contexts of a range with their counts, and the pairs kept in order: place of the context, follower, count.
+
+    Then the sequences of three kept in order: place of the middle word, the word before, number of the two, third word, count.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_part(batches):
-            word, n, context, follower, often = (np.concatenate(c) for c in zip(*[_unzip(b, 5) for _, b in held], strict=True))
+            word, n, context, follower, often, *threes = (np.concatenate(c) for c in zip(*[_unzip(b, 10) for _, b in held], strict=True))
             words, at = np.unique(word, return_inverse=True)
             total = np.bincount(at, n.astype(float)).astype(np.int64)
             order = np.lexsort((follower, context))
             place = np.searchsorted(words, context[order])
-            yield pa.record_batch({"part": pa.array([held[0][0]], pa.int32()), "packed": pa.array(
-                [_zip(*(_whole(c) for c in (words, total, place, follower[order], often[order])))], pa.binary())})
+            threes[0] = np.searchsorted(words, threes[0])
+            by_two = np.lexsort((threes[3], threes[1], threes[0]))
+            columns = (words, total, place, follower[order], often[order], *(c[by_two] for c in threes))
+            yield pa.record_batch({"part": pa.array([held[0][0]], pa.int32()), "packed": pa.array([_zip(*(_whole(c) for c in columns))], pa.binary())})
 
     return counts.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "part int, packed binary")
 
 
-def _records(docs: DataFrame, parts: int, salts: np.ndarray) -> DataFrame:
+def _records(docs: DataFrame, parts: int, salts: np.ndarray, order_of_model: int) -> DataFrame:
     """Rows of two kinds. part >= 0: the contexts of a range, each with followers and documents of a chunk; part -1: the documents of a chunk.
 
+    With order three the word before each context comes as the last column, which is empty otherwise.
+
     ``salts``: over how many tasks the chunks of each range are dealt.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        for serial, batch in enumerate(slices(batches, "text", 8 << 20)):
+        for serial, batch in enumerate(slices(batches, "text", _SLICE)):
             task = context.partitionId() if context else 0
             chunk = (task << 32) | serial
             hashes, follower, row, sizes = _bigrams(batch.column("text"))
-            order = np.lexsort((row, follower, hashes))
-            hashes, follower, row = hashes[order], follower[order], row[order]
+            around = [follower >> _SHIFT] + ([_before(hashes, sizes) >> _SHIFT] if order_of_model > 2 else [])
+            order = np.argsort(hashes, kind="stable")
+            hashes, row, around = hashes[order], row[order], [c[order] for c in around]
             rows = []
             for part, at in _cut(hashes, parts):
                 words, begin = np.unique(hashes[at], return_index=True)
                 salt = (task * 31 + serial) % int(salts[part])
-                rows.append((part, salt, chunk, _zip(words, np.diff(np.append(begin, at.stop - at.start)), follower[at], row[at])))
+                names, *places = _numbered(*(c[at] for c in around))
+                rows.append((part, salt, chunk, _zip(
+                    words, np.diff(np.append(begin, at.stop - at.start)), np.cumsum(row[at]), names, places[0], *(places[1:] or _EMPTY[:1]))))
             head = pa.BufferOutputStream()
             table = batch.drop_columns(["text"]).append_column("n_tokens", pa.array(sizes + 1))
             with pa.ipc.new_stream(head, table.schema) as out:
@@ -301,7 +380,7 @@ def _kept_followers(shards: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, packed in zip(batch.column("part").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                words = np.unique(_unzip(packed, 5)[3])
+                words = np.unique(_unzip(packed, 10)[3])
                 yield pa.record_batch({"part": pa.array([part] * len(words), pa.int32()), "word": pa.array(words.astype(np.int64))})
 
     return shards.mapInArrow(find, "part int, word long")
@@ -339,7 +418,7 @@ class _Shard:
     """A shard of the model, opened to score chunks of occurrences."""
 
     def __init__(self, packed: bytes | None, known: bytes | None, log_word: Callable, path: str):
-        words, total, place, kept, often = _unzip(packed, 5) if packed else [np.zeros(0, np.uint64)] * 5
+        words, total, place, kept, often, *threes = _unzip(packed, 10) if packed else [np.zeros(0, np.uint64)] * 10
         total, place, often = (c.astype(np.int64) for c in (total, place, often))
         names, counts = _unzip(known, 2) if known else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         own = counts[np.minimum(np.searchsorted(names, kept), max(0, len(names) - 1))].astype(np.int64) if len(kept) else np.zeros(0, np.int64)
@@ -352,12 +431,35 @@ class _Shard:
         Trie.write(path, words, np.searchsorted(place, np.arange(len(words) + 1)), kept, quantised(log_word(total)), back_off, quantised(np.log10(given)))
         self.trie, self.total = Trie.open(path), total
         os.remove(path)
+        self.longer = self._third_level(threes, place, kept, given, path) if len(threes[0]) else None
         self.unknown = int(quantised(log_word(np.zeros(1)))[0])
 
+    @staticmethod
+    def _third_level(threes: list[np.ndarray], place: np.ndarray, kept: np.ndarray, given: np.ndarray, path: str) -> Trie:
+        """Of the two words before (the place of the nearer, then the farther one) back-off weights and third words.
+
+        The weight is what the kept third words leave, over what the pairs of the nearer word leave beside them.
+        """
+        middle, first, both, third, often = threes
+        two = (middle << np.uint64(FOLLOWER_BITS)) | first
+        contexts, begin, at = np.unique(two, return_index=True, return_inverse=True)
+        share = (often.astype(np.int64) - DISCOUNT) / both.astype(np.int64)
+        # a sequence that is kept has a pair that is kept, unless two words share the bits by which they are known
+        pair = np.searchsorted((place.astype(np.uint64) << np.uint64(FOLLOWER_BITS)) | kept, (middle << np.uint64(FOLLOWER_BITS)) | third).clip(max=len(kept) - 1)
+        left = 1 - np.bincount(at, share, len(contexts))
+        open_share = 1 - np.bincount(at, given[pair], len(contexts))
+        weight = np.maximum(left, 1e-9) / np.maximum(open_share, 1e-9)
+        back_off = np.clip(np.rint(-np.log10(weight) * STEPS) + _OFFSET, 0, 65535)
+        Trie.write(path, contexts, np.append(begin, len(two)), third, np.zeros(len(contexts)), back_off, quantised(np.log10(share)))
+        trie = Trie.open(path)
+        os.remove(path)
+        return trie
+
     def sums(self, packed: bytes) -> bytes:
         """Documents of a chunk with the number of known words, the score in steps and the finer base score."""
         trie, n_words, n_kept = self.trie, len(self.total), len(self.alone)
-        words, often, follower, document = _unzip(packed, 4)
+        words, often, document, names, *around = _unzip(packed, 6)
+        document, (follower, before) = _steps(document), _named(names, *around)
         at, pair = trie.look_up(np.repeat(words, often.astype(np.int64)), follower)
         seen = at >= 0
         steps = np.where(seen, trie.word[np.maximum(at, 0)].astype(np.int64) if n_words else self.unknown, self.unknown)
@@ -365,6 +467,13 @@ class _Shard:
             steps += np.where(seen & (pair < 0), trie.back_off[np.maximum(at, 0)].astype(np.int64) - _OFFSET, 0)
         if n_kept:
             steps += np.where(pair >= 0, (trie.pair.astype(np.int64) - self.alone)[np.maximum(pair, 0)], 0)
+        if self.longer is not None and len(before):
+            two, three = self.longer.look_up((np.maximum(at, 0).astype(np.uint64) << np.uint64(FOLLOWER_BITS)) | before, follower)
+            met = seen & (before != _NONE) & (two >= 0)
+            weight = self.longer.back_off[np.maximum(two, 0)].astype(np.int64) - _OFFSET
+            # a kept sequence takes the place of its pair
+            instead = self.longer.pair[np.maximum(three, 0)].astype(np.int64) - trie.pair[np.maximum(pair, 0)].astype(np.int64)
+            steps += np.where(met, np.where((three >= 0) & (pair >= 0), instead, weight), 0)
         fine = np.rint(np.log10(np.where(seen, self.total[np.maximum(at, 0)] if n_words else 0, 0) + 1) * _FINE).astype(np.int64)
         order = np.argsort(document, kind="stable")
         docs, begin = np.unique(document[order], return_index=True)
@@ -375,12 +484,14 @@ _OFFSET = 8 * STEPS
 _RESULTS = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
 
 
-def score(docs: DataFrame, learn: Column) -> DataFrame:
-    """Scores all rows of ``docs`` (text and further columns) by a model of those with ``learn``.
+def score(docs: DataFrame, learn: Column, order: int = 2) -> DataFrame:
+    """Scores all rows of ``docs`` (text and further columns) by a model of those with ``learn``, of ``order`` two or three.
 
     Adds n_tokens, n_known, train_tokens, base_score and score, and leaves out the text. Further columns
     stay, whatever their names; one that is called like a result is replaced.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     further = [c for c in docs.columns if c not in {"text", *_RESULTS}]
     row = F.struct(*[F.col(f"`{c}`") for c in further]) if further else F.struct(F.lit(0).alias("none"))
     # The row travels as one column, so that no name of its own meets those of the steps.
@@ -389,16 +500,18 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     total = lambda c, of: F.coalesce(F.sum(F.when(c, F.col(of))), F.lit(0)).alias
     totals = words.agg(total(F.col("word") == -1, "n")("n"), total(F.col("word") == -1, "v")("v"), total(F.col("word") == int(END >> _SHIFT), "n")("ends")).first()
     n, v, ends = totals["n"], totals["v"], totals["ends"]
+    release(docs.sparkSession)
 
     def log_word(count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (n + v + 1))
 
     parts = _part_count(docs, n)
-    shards = settled(model_shards(pair_counts(texts.where("learn").select("text"), parts)))
+    shards = settled(model_shards(pair_counts(texts.where("learn").select("text"), parts, order)))
     tokens_of = words.where("word >= 0").groupBy(F.shiftright("word", FOLLOWER_BITS - int(np.log2(parts))).alias("part")).agg(F.sum("n").alias("n"))
     salts = np.ones(parts, np.int64)
     for row in tokens_of.collect():
         salts[row["part"]] = max(1, -(-row["n"] // PART_TOKENS))
+    release(docs.sparkSession)
     kept = _kept_followers(shards)
     counted = kept.join(words.where("word >= 0").groupBy("word").agg(F.sum("n").alias("n")), "word")
 
@@ -412,7 +525,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     read = shards.join(known, "part", "left").select(
         "part", F.explode(F.sequence(F.lit(0), F.get(F.array(*[F.lit(int(x) - 1) for x in salts]), F.col("part")))).alias("salt"),
         F.lit(-1).cast("long").alias("chunk"), "packed", "known")
-    both = read.unionByName(_records(texts, parts, salts).withColumn("known", F.lit(None).cast("binary")))
+    both = read.unionByName(_records(texts, parts, salts, order).withColumn("known", F.lit(None).cast("binary")))
     sums = _shard_sums(both.repartition("part", "salt").sortWithinPartitions("part", "salt", "chunk"), log_word)
     kept_columns = [c for c in texts.columns if c != "text"]
 
@@ -445,5 +558,5 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    scored = score(docs.withColumn("held_out", held_out), ~F.col("held_out"))
+    scored = score(docs.withColumn("held_out", held_out), ~F.col("held_out"), ORDER)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,11 @@ def release(spark: SparkSession) -> None:
     """Gives back the disk of shuffles whose results are settled.
 
     Spark removes a shuffle's files once the driver has collected the frames that made it, which a driver
-    with little garbage may not do before the job ends.
+    with little garbage may not do before the job ends. The driver's Python gives up its frames in a thread that looks
+    for them every second, so a collection right after Python's own would still find them held; and a single round of both was seen to leave
+    the files of the last job.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        spark.sparkContext._jvm.System.gc()

@@ -84,6 +84,43 @@ def test_ngram_lm(spark):
     assert ngram_lm.score(frame, F.lit(False)).agg(F.max("n_known")).first()[0] == 0
 
 
+def test_ngram_lm_of_order_three(spark):
+    rows = [(i, syllables(i, 60, ["a", "b", "c"])) for i in range(70)] + [(100, None), (None, "A b"), (101, "unseen words here"), (102, "a " * 4000), (102, "a"), (103, "b")]
+    learns = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 != 2
+    tokens = [[*(t or "").lower().split(), "\0"] for _, t in rows]
+    counts = [Counter() for _ in range(3)]
+    for (d, _), own in zip(rows, tokens, strict=True):
+        for k in range(3):
+            counts[k].update(tuple(own[i: i + k + 1]) for i in range(len(own) - k) if learns(d))
+    n, v = sum(counts[0].values()), len(counts[0])
+
+    def chance(words):
+        """The last of the words after the others."""
+        if len(words) == 1:
+            return (counts[0][words] + 1) / (n + v + 1)
+        context = words[:-1]
+        kept = {w: c for w, c in counts[len(words) - 1].items() if w[:-1] == context and c >= ngram_lm.KEPT}
+        total = counts[len(context) - 1][context]
+        if words in kept:
+            return (kept[words] - ngram_lm.DISCOUNT) / total
+        left = 1 - sum(c - ngram_lm.DISCOUNT for c in kept.values()) / total if kept else 1
+        return max(left, 1e-9) / max(1 - sum(chance(w[1:]) for w in kept), 1e-9) * chance(words[1:])
+
+    cache = {}
+    want = sorted((str(d), len(own), sum(math.log10(cache.setdefault(w, 0) or cache.update({w: chance(w)}) or cache[w])
+                   for w in (tuple(own[max(0, i - 2): i + 1]) for i in range(len(own))))) for (d, _), own in zip(rows, tokens, strict=True))
+    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
+    frame = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in ngram_lm.score(frame, learn, 3).collect())
+    for mine, other in zip(got, want, strict=True):
+        assert mine[:2] == other[:2] and abs(mine[2] - other[2]) <= 4 / ngram_lm.STEPS * other[1]
+    assert ngram_lm.ORDER == 3
+    two = {(str(r.doc_id), r.n_tokens): r.score for r in ngram_lm.score(frame, learn).collect()}
+    assert any(abs(two[d, n] - s) > 1 for d, n, s in got)
+    assert ngram_lm.score(frame.limit(0), learn, 3).count() == 0
+    assert ngram_lm.score(frame, F.lit(False), 3).agg(F.max("n_known")).first()[0] == 0
+
+
 def test_ngram_lm_deals_out_a_frequent_word(spark, monkeypatch):
     rows = [(i, "a " * 200 + syllables(i, 20, ["b", "c"])) for i in range(64)]
     frame = spark.createDataFrame(rows, DOCS).repartition(8)
