@@ -63,7 +63,7 @@ _FINE = 10 ** 12
 #: Values that are turned into bits at a time, a multiple of eight.
 _BLOCK = 1 << 14
 #: Bytes of text that are cut into tokens at a time.
-_SLICE = 6 << 20
+_SLICE = 4 << 20
 #: What follows an end mark.
 _NONE = np.uint64(0)
 
