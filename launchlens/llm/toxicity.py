@@ -48,6 +48,9 @@ TOLERANCE = 1e-5
 #: Pairs of steps that a fit remembers.
 MEMORY = 10
 
+#: Bytes of text whose words are objects of a task at a time.
+SLICE = 512 << 10
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -169,7 +172,7 @@ class Chain:
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = table.keys()
-            for batch in slices(batches, text):
+            for batch in slices(batches, text, SLICE):
                 margins = np.zeros((batch.num_rows, len(models)))
                 for i, value in enumerate(batch.column(text)):
                     for token in known & tokens(value.as_py()):
@@ -251,7 +254,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         F.xxhash64("doc_id", "text").alias("rank"), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold"), "y", "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found = pa.array([sorted(tokens(t.as_py())) for t in batch.column("text")], pa.list_(pa.string()))
             yield batch.set_column(batch.schema.get_field_index("text"), "tokens", found)
 
