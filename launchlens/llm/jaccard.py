@@ -11,12 +11,13 @@ of speed only. Then
    similar and form groups;
 2. components of fewer than ``GROUP`` nodes that have the same pivot, whether they reached
    the threshold or just missed it, are one group too, so that a family of near misses
-   is not a group for each of its nodes. The token-group matrix holds each group (in
-   parts of about ``GROUP`` nodes) with the union of its members' tokens. A node meets
-   the groups with nodes of other, larger components with which it shares a rare token. Its overlap with the union bounds its overlap with every
-   member, so only groups that reach the bound are opened and compared member by
-   member. Counts of tokens by their high bits bound pairs and unions first, so that
-   the tokens themselves are fetched for few documents.
+   is not a group for each of its nodes. The token-group matrix holds each group in
+   parts of about ``GROUP`` nodes. A node meets
+   the groups with nodes of other, larger components with which it shares a rare token. Counts of tokens by
+   their high bits bound its overlap with every member (the union of 64 members would bound
+   next to nothing), so that tokens are fetched only for nodes and members with room for the threshold.
+   Among these its overlap with the union of the members' tokens comes first, and only groups that reach the
+   threshold by it are opened and compared member by member.
 
 Both steps emit about as many rows as there are shared tokens, whatever the size of
 a group of near copies, and between them every pair that can link is compared or
@@ -89,17 +90,32 @@ def _bins(tokens: np.ndarray, first: np.ndarray) -> list[bytes]:
     out = []
     for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         bits = min(16, max(4, (z - a).bit_length() - 1))
-        out.append(np.bincount((tokens[a:z] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes())
+        out.append(_packed(np.bincount((tokens[a:z] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)))
     return out
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts (an even number of them, up to 65,535 each) in 4, 8 or 16 bits, as the largest needs, after a byte that says how many."""
+    top = int(counts.max())
+    if top < 16:
+        return b"\x04" + (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return b"\x08" + counts.astype(np.uint8).tobytes() if top < 256 else b"\x10" + np.minimum(counts, 65535).astype(np.uint16).tobytes()
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    if packed[0] == 16:
+        return np.frombuffer(packed, np.uint16, offset=1).astype(np.int64)
+    raw = np.frombuffer(packed, np.uint8, offset=1)
+    return (raw if packed[0] == 8 else np.column_stack([raw & 15, raw >> 4]).ravel()).astype(np.int64)
+
+
 def _folded(bins: np.ndarray, size: int) -> np.ndarray:
     return bins.reshape(size, -1).sum(1) if len(bins) > size else bins
 
 
 def _most_common(query: bytes, members: list[bytes]) -> int:
     """The most tokens that a set can share with one of several others, by their bins."""
-    each = [np.frombuffer(b, np.uint16).astype(np.int64) for b in (query, *members)]
+    each = [_counts(b) for b in (query, *members)]
     size = min(map(len, each))
     own, *others = [_folded(b, size) for b in each]
     return int(np.minimum(own, np.max(others, axis=0)).sum())
@@ -239,28 +255,44 @@ def _group_links(rare: DataFrame, labels: DataFrame, pivots: DataFrame, bins: Da
     wanted = mixed.drop("g", "p").join(matrix, "token").where(asks & fits).select("node", "g", "p").distinct()
     placed = settled(placed.select("g", "p", F.col("node").alias("member")))
 
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            union = []
-            for others in batch.column("others").to_pylist():
-                each = [np.frombuffer(o, np.uint16).astype(np.int64) for o in others]
-                size = min(map(len, each))
-                union.append(np.minimum(np.max([_folded(e, size) for e in each], axis=0), 65535).astype(np.uint16).tobytes())
-            yield pa.record_batch({"g": batch.column("g"), "p": batch.column("p"), "union": pa.array(union, pa.binary())})
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [i for i, (n, own, union) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("n", "bins", "union")], strict=True))
-                    if UNDER * _most_common(own, [union]) >= OVER * n]
-            yield batch.select(["node", "g", "p"]).take(pa.array(kept, pa.int64()))
-
-    unions = placed.join(wanted.select("g", "p").distinct(), ["g", "p"], "left_semi").join(
-        bins.select(F.col("node").alias("member"), F.col("bins").alias("other")), "member").groupBy("g", "p").agg(
-        F.collect_list("other").alias("others")).mapInArrow(unite, "g long, p long, union binary")
-    wanted = settled(wanted.join(bins, "node").join(unions, ["g", "p"]).select("node", "g", "p", "n", "bins", "union").mapInArrow(
-        bound, "node long, g long, p long"))
+    def bound(asks: pa.Table, group: pa.Table) -> pa.Table:
+        """The nodes that some member leaves room for, and such members."""
+        node, member = [], np.zeros(group.num_rows, bool)
+        if asks.num_rows and group.num_rows:
+            each = [_counts(b) for b in group.column("other").to_pylist()]
+            sizes, widths = group.column("m").to_numpy(), np.array([len(e) for e in each])
+            alike = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
+            of_width = {(w, w): np.stack([each[i] for i in alike[w]]).astype(np.int32) for w in alike}
+            for ask, n, own in zip(*[asks.column(c).to_pylist() for c in ("node", "n", "bins")], strict=True):
+                own, found = _counts(own), False
+                for w, at in alike.items():
+                    size = min(w, len(own))
+                    if (w, size) not in of_width:
+                        of_width[w, size] = of_width[w, w].reshape(len(at), size, -1).sum(2)
+                    common = np.minimum(of_width[w, size], _folded(own, size)).sum(1)
+                    reached = at[_reaches(common, n, sizes[at])]
+                    member[reached] = True
+                    found = found or len(reached) > 0
+                if found:
+                    node.append(ask)
+        nodes = [*node, *group.column("member").filter(pa.array(member)).to_pylist()]
+        g, p = (([t.column(c)[0].as_py() for t in (group,) if t.num_rows] * len(nodes))[: len(nodes)] for c in ("h", "q"))
+        return pa.table({"node": pa.array(nodes, pa.int64()), "g": pa.array(g, pa.int64()), "p": pa.array(p, pa.int64()),
+                         "member": pa.array(np.arange(len(nodes)) >= len(node))})
+
+    # asks of a part of a group meet it in lots of about PAIRS
+    wanted = settled(wanted)
+    often = wanted.groupBy("g", "p").agg(F.ceil(F.count("*") / PAIRS).alias("lots"))
+    asks = wanted.join(often, ["g", "p"]).withColumn("lot", F.pmod(F.xxhash64("node"), "lots")).join(bins, "node").select(
+        "g", "p", "lot", "node", "n", "bins")
+    lots = often.select("g", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"))
+    met = placed.join(lots, ["g", "p"]).join(bins.select(F.col("node").alias("member"), F.col("n").alias("m"), F.col("bins").alias("other")), "member")
+    met = met.select(F.col("g").alias("h"), F.col("p").alias("q"), F.col("lot").alias("l"), "member", "m", "other")
+    open_ = settled(asks.groupBy("g", "p", "lot").cogroup(met.groupBy("h", "q", "l")).applyInArrow(
+        bound, "node long, g long, p long, member boolean"))
     release(bins.sparkSession)
-    opened = settled(placed.join(wanted.select("g", "p").distinct(), ["g", "p"], "left_semi"))
+    wanted = open_.where("not member").drop("member")
+    opened = settled(open_.where("member").select("g", "p", F.col("node").alias("member")).distinct())
     table = table_of(wanted.select("node").union(opened.select("member")).distinct())
     members = opened.withColumnRenamed("member", "node").join(table, "node")
 
